@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed application has no streaming path: every run is one bounded
+batch (no watermark, window or state). Nothing is owed here; all operators are
+batch DataFrame functions. Because they take and return DataFrames without
+actions, the row-local ones (tokenization, link extraction, parsing) also work
+unchanged on a ``readStream`` DataFrame.
+"""
