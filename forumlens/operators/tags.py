@@ -28,11 +28,12 @@ def tag_scores(stats: DataFrame, main_tag: str, k: int, lam: float = DEFAULT_LAM
     n_i = (w_i / c_i) / sum_j (w_j / c_j) with c the main tag's weights;
     weight_entropy, max and first arg-max of n; score_i = lam n_i +
     (1 - lam) cnt / doc_cnt; total_count_rel = cnt / doc_cnt."""
-    # One scalar subquery carrying the main tag's whole row.
-    main = stats.filter(F.col("tag") == main_tag).select(
-        F.struct("total_cnt", *[f"total_weight_topic_{i}" for i in range(k)]).alias("m")).scalar()
-    c = [main[f"total_weight_topic_{i}"] for i in range(k)]
-    doc_cnt = main["total_cnt"]
+    # The main tag's row is one row of k+1 numbers: fetch it once and use the
+    # values as literals (the tag table is not joined or re-scanned per column).
+    row = stats.filter(F.col("tag") == main_tag).select(
+        "total_cnt", *[f"total_weight_topic_{i}" for i in range(k)]).first()
+    c = [F.lit(row[f"total_weight_topic_{i}"] if row else None).cast("double") for i in range(k)]
+    doc_cnt = F.lit(row["total_cnt"] if row else None).cast("double")
     rest = stats.filter(F.col("tag") != main_tag)
     ratios = [F.try_divide(F.col(f"total_weight_topic_{i}"), c[i]) for i in range(k)]
     norm = ratios[0]
