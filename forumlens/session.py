@@ -17,6 +17,7 @@ SCALE_CONF = {
     # HTML rows can be large; keep Arrow batches small for the parse job.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
