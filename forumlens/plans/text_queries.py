@@ -91,3 +91,72 @@ SELECT count(*) AS vocab_size FROM vocab""")
 def vocabulary_size(spark, sf_dir):
     """D15."""
     return V.vocabulary_size(V.build_vocabulary(_tokens(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ phrases
+
+from forumlens.operators import phrases as PH  # noqa: E402
+
+_PHRASE_SQL = """
+ptrain AS (SELECT * FROM toks WHERE ml_tag = 0),
+ntot AS (SELECT sum(len(tokens)) AS n FROM ptrain),
+uni AS (SELECT t, count(*) AS c FROM (SELECT unnest(tokens) AS t FROM ptrain) GROUP BY t),
+pr AS (SELECT ord_key,
+              unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 1])) AS a,
+              unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 2])) AS b
+       FROM ptrain WHERE len(tokens) >= 2),
+pc AS (SELECT a, b, count(*) AS n_ab FROM pr GROUP BY a, b HAVING count(*) >= 20),
+sc AS (SELECT pc.a, pc.b, pc.n_ab,
+              ln((pc.n_ab / ntot.n) / ((ua.c / ntot.n) * (ub.c / ntot.n))) / (-ln(pc.n_ab / ntot.n)) AS score
+       FROM pc JOIN uni ua ON ua.t = pc.a JOIN uni ub ON ub.t = pc.b CROSS JOIN ntot),
+phr AS (SELECT * FROM sc WHERE score > 0.05)"""
+
+
+@register("phrase_scores", sql=lambda: f"""
+WITH {posts_cte()}, {tokens_cte()}, {_PHRASE_SQL}
+SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, 6) AS score FROM phr""")
+def phrase_scores(spark, sf_dir):
+    """Adjacent pairs of the training documents with count >= 20 and
+    normalised PMI > 0.05."""
+    p = PH.learn_phrases(_tokens(spark, sf_dir).filter(F.col("ml_tag") == 0))
+    return p.select("a", "b", "n_ab", F.round("score", 6).alias("score"))
+
+
+@register("phrase_tokens", sql=lambda: f"""
+WITH {posts_cte()}, {tokens_cte()}, {_PHRASE_SQL},
+allpr AS (SELECT ord_key, unnest(range(len(tokens) - 1)) AS i,
+                 unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 1])) AS a,
+                 unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 2])) AS b
+          FROM toks WHERE len(tokens) >= 2),
+flagged AS (SELECT allpr.* FROM allpr WHERE EXISTS (SELECT 1 FROM phr WHERE phr.a = allpr.a AND phr.b = allpr.b)),
+runs AS (SELECT ord_key, i, i - row_number() OVER (PARTITION BY ord_key ORDER BY i) AS grp FROM flagged),
+taken AS (SELECT ord_key, i FROM (SELECT *, min(i) OVER (PARTITION BY ord_key, grp) AS st FROM runs)
+          WHERE (i - st) % 2 = 0),
+k AS (SELECT ord_key, count(*) AS n FROM taken GROUP BY ord_key)
+SELECT t.ord_key, CAST(len(t.tokens) + coalesce(k.n, 0) AS BIGINT) AS n_ext,
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_phrases
+FROM toks t LEFT JOIN k ON k.ord_key = t.ord_key""")
+def phrase_tokens(spark, sf_dir):
+    """D6 + D8 (two-word phrases): extended token count and merged phrases
+    per document, phrases learned on the training split, applied to all."""
+    ext = PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=2)
+    return ext.select("ord_key", F.size("tokens").cast("bigint").alias("n_ext"),
+                      F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 2)).cast("bigint").alias("n_phrases"))
+
+
+@register("phrase_tokens_3gram")
+def phrase_tokens_3gram(spark, sf_dir):
+    """D5-D8 with three-word phrases (two chained passes): per document the
+    extended token count and the two- and three-word phrases appended."""
+    ext = PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=3)
+    return ext.select("ord_key", F.size("tokens").cast("bigint").alias("n_ext"),
+                      F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 2)).cast("bigint").alias("n_bigrams"),
+                      F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 3)).cast("bigint").alias("n_trigrams"))
+
+
+@register("phrase_vocabulary")
+def phrase_vocabulary(spark, sf_dir):
+    """D5-D10 as configured in the demo (3-grams): dictionary over extended
+    tokens of the training split."""
+    ext = PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=3)
+    return V.build_vocabulary(ext).select("token", "token_id", "df", "cf")
