@@ -1,0 +1,137 @@
+"""A small HTML tree on the standard library parser.
+
+Used inside the executor-side parse job (``operators/extract.py``); no
+third-party HTML library is available offline. It keeps what the extraction
+needs: element nesting with forgiving handling of unclosed tags, class-token
+tests, descendant search in document order, text extraction and
+serialisation.
+"""
+
+from __future__ import annotations
+
+import html
+from html.parser import HTMLParser
+
+# Elements that never have content.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict | None = None, parent: "Node | None" = None):
+        self.tag = tag
+        self.attrs = attrs or {}
+        self.children: list = []
+        self.parent = parent
+
+    # -- queries
+    def classes(self) -> list[str]:
+        return (self.attrs.get("class") or "").split()
+
+    def has_class(self, name: str) -> bool:
+        return name in self.classes()
+
+    def get(self, key: str, default=None):
+        return self.attrs.get(key, default)
+
+    def find_all(self, tag: str) -> list["Node"]:
+        out: list[Node] = []
+        stack = list(reversed(self.children))
+        while stack:
+            n = stack.pop()
+            if isinstance(n, Node):
+                if n.tag == tag:
+                    out.append(n)
+                stack.extend(reversed(n.children))
+        return out
+
+    def first(self, tag: str) -> "Node | None":
+        found = self.find_all(tag)
+        return found[0] if found else None
+
+    def texts(self) -> list[str]:
+        out: list[str] = []
+        stack = list(reversed(self.children))
+        while stack:
+            n = stack.pop()
+            if isinstance(n, Node):
+                stack.extend(reversed(n.children))
+            else:
+                out.append(n)
+        return out
+
+    def get_text(self, sep: str = "", strip: bool = False) -> str:
+        parts = self.texts()
+        if strip:
+            parts = [p.strip() for p in parts]
+            parts = [p for p in parts if p]
+        return sep.join(parts)
+
+    @property
+    def string(self):
+        """Text of a node with exactly one child (descending through single
+        element children); None otherwise."""
+        n = self
+        while True:
+            if len(n.children) != 1:
+                return None
+            c = n.children[0]
+            if isinstance(c, str):
+                return c
+            n = c
+
+    # -- edits
+    def clear(self) -> None:
+        for c in self.children:
+            if isinstance(c, Node):
+                c.parent = None
+        self.children = []
+
+    def set_string(self, s: str) -> None:
+        self.clear()
+        self.children = [s]
+
+    # -- output
+    def __str__(self) -> str:
+        attrs = "".join(f' {k}="{html.escape(v, quote=True)}"' if v is not None else f" {k}"
+                        for k, v in self.attrs.items())
+        if self.tag in VOID:
+            return f"<{self.tag}{attrs}/>"
+        inner = "".join(str(c) if isinstance(c, Node) else html.escape(c, quote=False) for c in self.children)
+        return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Node("[document]")
+        self.cur = self.root
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
+        self.cur.children.append(node)
+        if tag not in VOID:
+            self.cur = node
+
+    def handle_startendtag(self, tag, attrs):
+        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
+        self.cur.children.append(node)
+
+    def handle_endtag(self, tag):
+        n = self.cur
+        while n is not None and n.tag != tag:
+            n = n.parent
+        if n is not None and n.parent is not None:
+            self.cur = n.parent
+
+    def handle_data(self, data):
+        if data:
+            self.cur.children.append(data)
+
+
+def parse(doc: str | None) -> Node:
+    b = _Builder()
+    b.feed(doc or "")
+    b.close()
+    return b.root

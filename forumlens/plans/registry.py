@@ -28,7 +28,7 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 def _load_all() -> None:
     # Importing the modules fills the registry.
     from forumlens.plans import (  # noqa: F401
-        text_queries, outcome_queries, report_queries, graph_queries, model_queries,
+        text_queries, outcome_queries, report_queries, graph_queries, model_queries, extract_queries,
     )
 
 
