@@ -12,6 +12,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from forumlens.session import build_session
-    s = build_session("local[4]", shuffle_partitions=4)
+    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "6g"})
     yield s
     s.stop()
