@@ -130,3 +130,45 @@ def purge_mode(spark, sf_dir):
     """Purge every 'test' row from the outcome dataset."""
     o = outcomes(spark, sf_dir)
     return store.purge(o, F.col("modus") == "test").select("ord_key", "modus", "result_class_name")
+
+
+# ------------------------------------------------------------------ catalog
+
+from forumlens.sources import catalog as C  # noqa: E402
+from forumlens.sources.tables import catalog_artefacts, catalog_runs, catalog_steps  # noqa: E402
+
+
+@register("latest_run", sql="""
+SELECT o_orderkey AS flow_run_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS started_at, o_orderpriority AS topic
+FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1""")
+def latest_run(spark, sf_dir):
+    """The most recently started run."""
+    r = C.latest_run(catalog_runs(spark, sf_dir))
+    return r.select("flow_run_id", F.date_format("started_at_timest", "yyyy-MM-dd HH:mm:ss").alias("started_at"),
+                    "topic")
+
+
+@register("run_lineage", sql="""
+WITH g AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS exit_code,
+                  sum(l_quantity) AS quantity, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2),
+st AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, *
+       FROM g),
+st2 AS (SELECT run, k, '#' || k AS step, 'L' || run || '_' || k AS step_label,
+               CAST(exit_code AS INTEGER) AS exit_code, quantity, price FROM st),
+fin AS (SELECT run, list(step_label ORDER BY k) FILTER (WHERE k < mx) AS prev
+        FROM (SELECT *, max(k) OVER (PARTITION BY run) AS mx FROM st2) GROUP BY run),
+ex AS (SELECT DISTINCT run, CAST(unnest(range(len(prev))) AS INTEGER) AS pos, unnest(prev) AS lbl FROM fin
+       WHERE prev IS NOT NULL)
+SELECT ex.run, ex.pos, st2.step, st2.step_label, st2.exit_code,
+       round(CAST(st2.quantity AS DOUBLE), 6) AS quantity, round(CAST(st2.price AS DOUBLE), 6) AS price
+FROM ex JOIN st2 ON st2.step = '#' || (ex.pos + 1) AND st2.step_label = ex.lbl""")
+def run_lineage(spark, sf_dir):
+    """F5 + F6 + A13 + J2: for every run's final step, the earlier steps named
+    in its lineage list, joined with their stored artefacts (JSON parsed)."""
+    steps = catalog_steps(spark, sf_dir)
+    fin = steps.filter(F.col("prev_step_lbls").isNotNull())
+    lin = C.lineage(fin.unionByName(steps.filter(F.col("prev_step_lbls").isNull())), run_col="flow_run_id")
+    art = C.lineage_artefacts(lin, catalog_artefacts(spark, sf_dir).filter(F.col("artefact_key") == "line_value"))
+    v = F.from_json("artefact_value", "quantity double, price double")
+    return art.select("run", "pos", "step", "step_label", "exit_code",
+                      F.round(v["quantity"], 6).alias("quantity"), F.round(v["price"], 6).alias("price"))

@@ -106,3 +106,48 @@ def topic_vectors(spark: SparkSession, sf_dir: str, k: int = DEFAULT_TOPICS) ->
     s = F.aggregate(raw, F.lit(0.0), lambda acc, v: acc + v)
     return emb.select(F.col("vec_id").alias("post_id"),
                       F.transform(raw, lambda v: F.try_divide(v, s)).alias("w"))
+
+
+def catalog_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run overview stand-in: one run per order."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("flow_run_id"), F.col("o_orderdate").alias("started_at_timest"),
+                    F.col("o_orderpriority").alias("topic"),
+                    F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("exit_code"))
+
+
+def _catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step per distinct (order, line number), numbered 1..n in line order."""
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("exit_code"),
+        F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"))
+    # a run has a handful of steps: the window per run is bounded
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    g = g.withColumn("k", k)
+    return g.select(F.col("l_orderkey").alias("flow_run_id"), "k",
+                    F.concat(F.lit("#"), F.col("k").cast("string")).alias("step"),
+                    F.concat(F.lit("L"), F.col("l_orderkey").cast("string"), F.lit("_"),
+                             F.col("k").cast("string")).alias("step_label"),
+                    "exit_code", "quantity", "price")
+
+
+def catalog_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step overview stand-in: the lines of an order are the steps of its run;
+    the last step lists the labels of the earlier ones (in step order)."""
+    from pyspark.sql import Window
+    s = _catalog_lines(spark, sf_dir)
+    w = Window.partitionBy("flow_run_id").orderBy("k")
+    prev = F.collect_list("step_label").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max("k").over(Window.partitionBy("flow_run_id"))
+    return (s.withColumn("prev", prev).withColumn("last", last)
+            .select("flow_run_id", "step", "step_label", "exit_code",
+                    F.when(F.col("k") == F.col("last"), F.col("prev")).alias("prev_step_lbls")))
+
+
+def catalog_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artefact stand-in: a JSON value per step."""
+    s = _catalog_lines(spark, sf_dir)
+    return s.select("step", "step_label", F.lit("line_value").alias("artefact_key"),
+                    F.to_json(F.struct("quantity", "price")).alias("artefact_value"))
