@@ -22,33 +22,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlens.functions.text import with_run_lengths
 
 MAX_N = 3
 PROFILE_SIZE = 2000
 ALPHA = 1.0
 
 
+def _gram_counts(text: str, max_n: int):
+    """Counter of the 1..max_n character n-grams of a normalised text
+    (all-blank grams skipped)."""
+    from collections import Counter
+    c = Counter()
+    for n in range(1, max_n + 1):
+        c.update(text[i:i + n] for i in range(len(text) - n + 1))
+    for n in range(1, max_n + 1):
+        c.pop(" " * n, None)
+    return c
+
+
 def char_grams(df: DataFrame, text_col: str, key_cols, max_n: int = MAX_N) -> DataFrame:
-    """(keys..., gram, cnt): distinct character n-grams per row with counts."""
+    """(keys..., gram, cnt): distinct character n-grams per row with counts.
+
+    Normalisation is JVM-side (lower-case, non-letter runs -> one space,
+    padded); the n-gram counting of each whole text is a small per-row helper
+    in an Arrow-batched ``mapInArrow`` (a Counter is ~10x faster than
+    interpreted higher-order functions over 100k-element arrays)."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
                                                          r"[^\p{L}]+", " ")), F.lit(" "))
     d = df.select(*key_cols, t.alias("__t"))
-    length = F.length("__t")
-    def grams_of(n: int):
-        # (higher-order lambdas must take exactly the element argument)
-        g = F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))),
-                        lambda i: F.substring(F.col("__t"), i, F.lit(n)))
-        blank = F.lit(" " * n)
-        return F.filter(g, lambda s: (F.length(s) == n) & (s != blank))
-
-    grams = None
-    for n in range(1, max_n + 1):
-        g = grams_of(n)
-        grams = g if grams is None else F.concat(grams, g)
-    d = with_run_lengths(d.select(*key_cols, grams.alias("__g")), "__g", "__bag")
-    return (d.select(*key_cols, F.explode_outer("__bag").alias("e")).filter(F.col("e").isNotNull())
-            .select(*key_cols, F.col("e.token").alias("gram"), F.col("e.cnt").alias("cnt")))
+    key_fields = [f for f in d.schema.fields if f.name in key_cols]
+    out = T.StructType(key_fields + [T.StructField("gram", T.StringType()), T.StructField("cnt", T.LongType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = to_arrow_schema(out)
+    keys = list(key_cols)
+
+    def job(batches):
+        for b in batches:
+            cols = {k: [] for k in keys}
+            grams, cnts = [], []
+            data = b.to_pydict()
+            for i, text in enumerate(data["__t"]):
+                c = _gram_counts(text or "", max_n)
+                for k in keys:
+                    cols[k].extend([data[k][i]] * len(c))
+                grams.extend(c.keys())
+                cnts.extend(c.values())
+            yield pa.RecordBatch.from_pydict({**cols, "gram": grams, "cnt": cnts}, schema=schema)
+
+    return d.mapInArrow(job, out)
 
 
 def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
