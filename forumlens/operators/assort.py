@@ -106,9 +106,13 @@ def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: i
     obs = observed.first()["mean_cosine"]
     idx = with_dense_index(vecs, "node", "idx")
     perm = permutations(vecs.select("node"), n_iter, seed)
-    pv = perm.join(idx.select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)]), "src_idx").drop("src_idx")
+    # The explode that builds the permutation rows hides their count from the
+    # size estimate, so the joins below are pinned to shuffle joins: an
+    # implicit broadcast of n_iter x nodes rows must never happen.
+    pv = (perm.hint("merge").join(idx.select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)]), "src_idx")
+          .drop("src_idx"))
     if doc_roles is not None:
-        j = doc_roles.join(pv.withColumnRenamed("node", "doc"), "doc").filter(F.col("v0").isNotNull())
+        j = doc_roles.join(pv.withColumnRenamed("node", "doc").hint("merge"), "doc").filter(F.col("v0").isNotNull())
         per = j.groupBy("it", "user").agg(
             F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("sr2"),
             *[F.sum(F.col("r") * F.col(f"v{i}")).alias(f"s{i}") for i in range(k)])
@@ -120,7 +124,8 @@ def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: i
         e = edges.select("src", "dst", w.alias("w"))
         a = pv.select("it", F.col("node").alias("src"), *[F.col(f"v{i}").alias(f"a{i}") for i in range(k)])
         b = pv.select("it", F.col("node").alias("dst"), *[F.col(f"v{i}").alias(f"b{i}") for i in range(k)])
-        j = e.join(a, "src").join(b, ["it", "dst"]).select("it", "w", _dot("a", "b", k).alias("cos"))
+        j = (e.join(a.hint("merge"), "src").join(b.hint("merge"), ["it", "dst"])
+             .select("it", "w", _dot("a", "b", k).alias("cos")))
         stat = j.groupBy("it").agg((F.sum(F.col("w") * F.col("cos")) /
                                     F.sum(F.when(F.col("cos").isNotNull(), F.col("w")))).alias("stat"))
     stat = stat.checkpoint(eager=True)
