@@ -87,12 +87,12 @@ def n_joined(t):
 
 def phrase_passes(tokens: DataFrame, nr_grams: int, min_count: int = MIN_COUNT,
                   threshold: float = THRESHOLD, doc_col: str = "ord_key",
-                  train_filter=None, checkpoint: bool = True):
+                  train_filter=None, checkpoint: bool = True, checkpoint_input: bool = True):
     """``nr_grams - 1`` chained passes. Returns (list of phrase tables,
     list of merged token frames, one per pass). Each pass learns on the
     training documents of the previous pass's output."""
     train_filter = train_filter if train_filter is not None else (F.col("ml_tag") == 0)
-    cur = tokens
+    cur = tokens.checkpoint(eager=True) if checkpoint and checkpoint_input else tokens
     tables, merged = [], []
     for _ in range(nr_grams - 1):
         ph = learn_phrases(cur.filter(train_filter), min_count, threshold, doc_col)
@@ -122,5 +122,6 @@ def extended_tokens(tokens: DataFrame, nr_grams: int, min_count: int = MIN_COUNT
     """D5-D8 end to end: the token lists the dictionary and BoW steps use."""
     if nr_grams <= 1:
         return tokens
-    _, merged = phrase_passes(tokens, nr_grams, min_count, threshold, doc_col)
-    return extend_tokens(tokens, merged, doc_col)
+    base = tokens.checkpoint(eager=True)  # tokenized once, read by every pass
+    _, merged = phrase_passes(base, nr_grams, min_count, threshold, doc_col, checkpoint_input=False)
+    return extend_tokens(base, merged, doc_col)

@@ -58,8 +58,8 @@ def exact_quantiles(df: DataFrame, col: str, probs=SUMMARY_PROBS) -> DataFrame:
     h = p (n-1); q = v[floor h] + (h - floor h) (v[floor h + 1] - v[floor h]).
     Returns one row with a column per probability."""
     ranked = with_global_rank(df, col)
-    n = ranked.select(F.count(F.lit(1))).scalar()
-    return ranked.agg(*_quantile_exprs(n, probs))
+    n = ranked.select(F.count(F.lit(1))).first()[0]  # one number to the driver
+    return ranked.agg(*_quantile_exprs(F.lit(n), probs))
 
 
 def describe(df: DataFrame, col: str, probs=SUMMARY_PROBS, digits: int | None = 6) -> DataFrame:
@@ -67,7 +67,7 @@ def describe(df: DataFrame, col: str, probs=SUMMARY_PROBS, digits: int | None =
     percentiles, population skewness and excess kurtosis -- one aggregation
     over the ranked values."""
     ranked = with_global_rank(df, col)
-    n = ranked.select(F.count(F.lit(1))).scalar()
+    n = F.lit(ranked.select(F.count(F.lit(1))).first()[0])  # one number to the driver
     v = F.col("v")
     out = ranked.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                      F.min(v).alias("min"), F.max(v).alias("max"), *_quantile_exprs(n, probs),
@@ -84,14 +84,15 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
     spark = df.sparkSession
     c = F.col(col).cast("double")
     vals = df.select(c.alias("v")).filter(F.col("v").isNotNull())
-    mn = vals.select(F.min("v")).scalar()
-    mx = vals.select(F.max("v")).scalar()
+    # one small aggregate to the driver: min, max and count
+    st = vals.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    mn, mx = F.lit(st[0]).cast("double"), F.lit(st[1]).cast("double")
     lo = F.when(mx > mn, mn).otherwise(mn - 0.5)
     hi = F.when(mx > mn, mx).otherwise(mx + 0.5)
     width = (hi - lo) / F.lit(float(bins))
     b = F.least(F.floor((F.col("v") - lo) / width).cast("int"), F.lit(bins - 1))
     counts = vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
-    n = vals.select(F.count(F.lit(1))).scalar()
+    n = F.lit(st[2])
     allb = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     h = allb.join(counts, "bin", "left").fillna(0, ["cnt"])
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)

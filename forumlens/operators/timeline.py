@@ -17,8 +17,8 @@ DEFAULT_BINS = 40
 def with_time_bin(df: DataFrame, date_col: str = "asked_date", n_bins: int = DEFAULT_BINS) -> DataFrame:
     """Keep rows with a date (B12) and add ``bin`` and ``bin_label``."""
     d = df.filter(F.col(date_col).isNotNull()).withColumn("__d", F.to_date(date_col))
-    mn = d.select(F.min("__d")).scalar()
-    mx = d.select(F.max("__d")).scalar()
+    st = d.agg(F.min("__d"), F.max("__d")).first()  # two dates to the driver
+    mn, mx = F.lit(st[0]), F.lit(st[1])
     d = d.withColumn("__off", F.datediff(F.col("__d"), mn)).withColumn("__span", F.datediff(mx, mn))
     # integer ceil(n * off / span); the minimum (off = 0) is bin 0
     b = F.when(F.col("__off") <= 0, F.lit(0)).otherwise(

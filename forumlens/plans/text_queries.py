@@ -15,7 +15,9 @@ def _tokens(spark, sf_dir):
 
 
 def _vocab_and_bow(spark, sf_dir):
-    toks = _tokens(spark, sf_dir)
+    # the tokens step is materialised once (as the tokenization step's
+    # dataset would be) and feeds both the dictionary and the bag of words
+    toks = _tokens(spark, sf_dir).checkpoint(eager=True)
     vocab = V.build_vocabulary(toks)
     return toks, vocab, V.bag_of_words(toks, vocab)
 
