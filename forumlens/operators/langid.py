@@ -76,11 +76,12 @@ def char_grams(df: DataFrame, text_col: str, key_cols, max_n: int = MAX_N) -> Da
 
 
 def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                   profile_size: int = PROFILE_SIZE, alpha: float = ALPHA) -> DataFrame:
-    """Profiles (lang, gram, logp) plus one (lang, gram=null, logp=log prior,
-    unk=log-prob of an unseen gram) row per language."""
-    g = char_grams(labelled.withColumn("__row", F.monotonically_increasing_id()), text_col,
-                   ["__row", lang_col])
+                   profile_size: int = PROFILE_SIZE, alpha: float = ALPHA, grams: DataFrame | None = None):
+    """Profiles (lang, gram, logp) and per-language meta (lang, log prior,
+    log-prob of an unseen gram). ``grams`` (lang, gram, cnt) may be given when
+    the n-grams were already counted."""
+    g = grams if grams is not None else char_grams(
+        labelled.withColumn("__row", F.monotonically_increasing_id()), text_col, ["__row", lang_col])
     per = g.groupBy(lang_col, "gram").agg(F.sum("cnt").alias("c"))
     w = Window.partitionBy(lang_col).orderBy(F.col("c").desc(), "gram")
     top = per.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= profile_size)
@@ -98,9 +99,10 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
 
 
 def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """Per row: lang, lang_prob and the candidate lists (by probability)."""
-    g = char_grams(df, text_col, [key_col])
+           text_col: str = "text", grams: DataFrame | None = None) -> DataFrame:
+    """Per row: lang, lang_prob and the candidate lists (by probability).
+    ``grams`` (key, gram, cnt) may be given when already counted."""
+    g = grams if grams is not None else char_grams(df, text_col, [key_col])
     langs = F.broadcast(meta)          # one row per language
     profile = F.broadcast(prof)        # languages x profile_size rows
     # every known gram is scored against every language: grams missing from a
