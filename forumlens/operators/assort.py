@@ -93,26 +93,26 @@ def permutations(nodes: DataFrame, n_iter: int, seed: int = DEFAULT_SEED) -> Dat
     return ranked.select("it", "node", (F.col("g") - F.col("it").cast("long") * n).alias("src_idx"))
 
 
-def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: int = 1000,
-                     seed: int = DEFAULT_SEED, doc_roles: DataFrame | None = None) -> DataFrame:
-    """L15 + K11. ``vecs``: (node, v*) unit vectors; either ``edges`` (src,
-    dst[, weight]) or ``doc_roles`` (doc, user, r) for the factorised document
-    graph. Returns one row: observed mean, ECDF quantile, VA index, verdict
-    and the summary of the permutation distribution."""
-    if doc_roles is not None:
-        observed = doc_cosine_mean(doc_roles, vecs.withColumnRenamed("node", "doc"), k)
-    else:
-        observed = edge_cosine_mean(edges, vecs, k)
-    obs = observed.first()["mean_cosine"]
+def permutation_stats(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: int = 100,
+                      seed: int = DEFAULT_SEED, doc_roles: DataFrame | None = None) -> DataFrame:
+    """(it, stat): the mean edge cosine after relabelling the node
+    vectors with permutation ``it``. ``vecs``: (node, v*) unit vectors; either
+    ``edges`` (src, dst[, weight]) or ``doc_roles`` (doc, user, r) for the
+    factorised document graph."""
     idx = with_dense_index(vecs, "node", "idx")
+    # vectors by index, non-zero only: a permuted zero vector gives a null
+    # cosine, so rows taking one can be dropped before any join
+    nz = idx.filter(F.col("v0").isNotNull()).select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)])
+    nz = nz.checkpoint(eager=True)
     perm = permutations(vecs.select("node"), n_iter, seed)
     # The explode that builds the permutation rows hides their count from the
-    # size estimate, so the joins below are pinned to shuffle joins: an
-    # implicit broadcast of n_iter x nodes rows must never happen.
-    pv = (perm.hint("merge").join(idx.select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)]), "src_idx")
-          .drop("src_idx"))
+    # size estimate, so joins on them are pinned to shuffle joins (an implicit
+    # broadcast of n_iter x nodes rows must never happen); the vector table is
+    # left to AQE, which broadcasts it only when its measured size is small.
+    perm = perm.hint("merge").join(nz.select("src_idx"), "src_idx", "left_semi")
     if doc_roles is not None:
-        j = doc_roles.join(pv.withColumnRenamed("node", "doc").hint("merge"), "doc").filter(F.col("v0").isNotNull())
+        j = (doc_roles.join(perm.withColumnRenamed("node", "doc").hint("merge"), "doc")
+             .join(nz, "src_idx"))
         per = j.groupBy("it", "user").agg(
             F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("sr2"),
             *[F.sum(F.col("r") * F.col(f"v{i}")).alias(f"s{i}") for i in range(k)])
@@ -122,13 +122,27 @@ def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: i
     else:
         w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         e = edges.select("src", "dst", w.alias("w"))
-        a = pv.select("it", F.col("node").alias("src"), *[F.col(f"v{i}").alias(f"a{i}") for i in range(k)])
-        b = pv.select("it", F.col("node").alias("dst"), *[F.col(f"v{i}").alias(f"b{i}") for i in range(k)])
+        a = perm.select("it", F.col("node").alias("src"), F.col("src_idx").alias("ia"))
+        b = perm.select("it", F.col("node").alias("dst"), F.col("src_idx").alias("ib"))
+        va = nz.select(F.col("src_idx").alias("ia"), *[F.col(f"v{i}").alias(f"a{i}") for i in range(k)])
+        vb = nz.select(F.col("src_idx").alias("ib"), *[F.col(f"v{i}").alias(f"b{i}") for i in range(k)])
         j = (e.join(a.hint("merge"), "src").join(b.hint("merge"), ["it", "dst"])
-             .select("it", "w", _dot("a", "b", k).alias("cos")))
-        stat = j.groupBy("it").agg((F.sum(F.col("w") * F.col("cos")) /
-                                    F.sum(F.when(F.col("cos").isNotNull(), F.col("w")))).alias("stat"))
-    stat = stat.checkpoint(eager=True)
+             .join(va, "ia").join(vb, "ib").select("it", "w", _dot("a", "b", k).alias("cos")))
+        stat = j.groupBy("it").agg((F.sum(F.col("w") * F.col("cos")) / F.sum("w")).alias("stat"))
+    return stat
+
+
+def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: int = 100,
+                     seed: int = DEFAULT_SEED, doc_roles: DataFrame | None = None) -> DataFrame:
+    """L15 + K11 + G10 + G11 + G13: one row with the observed mean cosine, its
+    ECDF quantile in the permutation distribution, VA index, verdict and the
+    summary of the distribution."""
+    if doc_roles is not None:
+        observed = doc_cosine_mean(doc_roles, vecs.withColumnRenamed("node", "doc"), k)
+    else:
+        observed = edge_cosine_mean(edges, vecs, k)
+    obs = observed.first()["mean_cosine"]
+    stat = permutation_stats(edges, vecs, k, n_iter, seed, doc_roles).checkpoint(eager=True)
     summary = describe(stat, "stat", digits=None)
     q = stat.agg(F.avg((F.col("stat") <= F.lit(obs)).cast("double")).alias("quantile")).first()["quantile"]
     return summary.select(
