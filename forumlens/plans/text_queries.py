@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forumlens.operators import phrases as PH
 from forumlens.operators import vocab as V
+from forumlens.plans.memo import step
 from forumlens.plans.registry import register
 from forumlens.plans.sqlparts import posts_cte, tokens_cte, vocab_cte, ml_tag_sql
 from forumlens.sources.tables import posts
@@ -15,11 +17,19 @@ def _tokens(spark, sf_dir):
 
 
 def _vocab_and_bow(spark, sf_dir):
-    # the tokens step is materialised once (as the tokenization step's
-    # dataset would be) and feeds both the dictionary and the bag of words
-    toks = _tokens(spark, sf_dir).checkpoint(eager=True)
-    vocab = V.build_vocabulary(toks)
-    return toks, vocab, V.bag_of_words(toks, vocab)
+    # tokens, dictionary and bag of words are steps: each is written once
+    # and read by every query that needs it
+    def build():
+        toks = _tokens(spark, sf_dir).checkpoint(eager=True)
+        vocab = V.build_vocabulary(toks).checkpoint(eager=True)
+        return toks, vocab, V.bag_of_words(toks, vocab).checkpoint(eager=True)
+    return step(spark, "vocab_and_bow", sf_dir, build)
+
+
+def _ext_tokens(spark, sf_dir, nr_grams):
+    return step(spark, "ext_tokens", sf_dir,
+                lambda: PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=nr_grams).checkpoint(eager=True),
+                nr_grams)
 
 
 @register("token_stats", sql=lambda: f"""
@@ -97,7 +107,6 @@ def vocabulary_size(spark, sf_dir):
 
 # ------------------------------------------------------------------ phrases
 
-from forumlens.operators import phrases as PH  # noqa: E402
 
 _PHRASE_SQL = """
 ptrain AS (SELECT * FROM toks WHERE ml_tag = 0),
@@ -141,7 +150,7 @@ FROM toks t LEFT JOIN k ON k.ord_key = t.ord_key""")
 def phrase_tokens(spark, sf_dir):
     """D6 + D8 (two-word phrases): extended token count and merged phrases
     per document, phrases learned on the training split, applied to all."""
-    ext = PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=2)
+    ext = _ext_tokens(spark, sf_dir, 2)
     return ext.select("ord_key", F.size("tokens").cast("bigint").alias("n_ext"),
                       F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 2)).cast("bigint").alias("n_phrases"))
 
@@ -150,7 +159,7 @@ def phrase_tokens(spark, sf_dir):
 def phrase_tokens_3gram(spark, sf_dir):
     """D5-D8 with three-word phrases (two chained passes): per document the
     extended token count and the two- and three-word phrases appended."""
-    ext = PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=3)
+    ext = _ext_tokens(spark, sf_dir, 3)
     return ext.select("ord_key", F.size("tokens").cast("bigint").alias("n_ext"),
                       F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 2)).cast("bigint").alias("n_bigrams"),
                       F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 3)).cast("bigint").alias("n_trigrams"))
@@ -160,5 +169,5 @@ def phrase_tokens_3gram(spark, sf_dir):
 def phrase_vocabulary(spark, sf_dir):
     """D5-D10 as configured in the demo (3-grams): dictionary over extended
     tokens of the training split."""
-    ext = PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=3)
+    ext = _ext_tokens(spark, sf_dir, 3)
     return V.build_vocabulary(ext).select("token", "token_id", "df", "cf")
