@@ -52,7 +52,25 @@ def post_parse_outcomes(spark, sf_dir):
                        "comment_count", "total_comment_count")
 
 
-@register("page_counts")
+def _page_counts_sql() -> str:
+    return r"""
+WITH a AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1) AS topic,
+                  unnest(CASE WHEN len(regexp_extract_all(coalesce(html, ''), '(?is)<a(?:\s[^>]*)?>.*?</a>', 0)) = 0
+                              THEN [NULL]
+                              ELSE regexp_extract_all(coalesce(html, ''), '(?is)<a(?:\s[^>]*)?>.*?</a>', 0) END) AS a
+           FROM pages),
+p AS (SELECT topic,
+             CASE WHEN a IS NOT NULL
+                   AND list_contains(string_split_regex(regexp_extract(a, '(?is)^<a\s[^>]*?class\s*=\s*"([^"]*)"', 1), '\s+'),
+                                     's-pagination--item')
+                   AND contains(lower(regexp_extract(a, '(?is)^<a\s[^>]*?title\s*=\s*"([^"]*)"', 1)), 'go to page')
+                  THEN coalesce(TRY_CAST(trim(regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g')) AS INTEGER), -1)
+                  ELSE -1 END AS nr
+      FROM a)
+SELECT topic, CAST(max(nr) AS INTEGER) AS nr_pages FROM p GROUP BY topic"""
+
+
+@register("page_counts", sql=_page_counts_sql)
 def page_counts(spark, sf_dir):
     """Pagination maximum per site (host of the page URL); -1 when a
     site's pages carry no pagination."""
