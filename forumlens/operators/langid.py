@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 MAX_N = 3
 PROFILE_SIZE = 2000
 ALPHA = 1.0
+BROADCAST_PROFILE_ROWS = 2_000_000
 
 
 def _gram_counts(text: str, max_n: int):
@@ -103,8 +104,12 @@ def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_
     """Per row: lang, lang_prob and the candidate lists (by probability).
     ``grams`` (key, gram, cnt) may be given when already counted."""
     g = grams if grams is not None else char_grams(df, text_col, [key_col])
-    langs = F.broadcast(meta)          # one row per language
-    profile = F.broadcast(prof)        # languages x profile_size rows
+    lang_list = [r.lang for r in meta.select("lang").orderBy("lang").collect()]
+    # The profile has at most (languages x profile_size) rows: broadcast it
+    # only while that bound is small; otherwise plain joins.
+    bounded = len(lang_list) * PROFILE_SIZE <= BROADCAST_PROFILE_ROWS
+    langs = F.broadcast(meta) if bounded else meta
+    profile = F.broadcast(prof) if bounded else prof
     # every known gram is scored against every language: grams missing from a
     # language's profile count with that language's unseen-gram probability
     known = g.join(profile.select("gram").distinct(), "gram", "left_semi")
@@ -114,7 +119,6 @@ def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_
     keys = df.select(key_col).join(n_known, key_col, "left").fillna(0, ["n_known"])
     # (document, language) rows: each document expands to the few languages
     # (the language list is the profile's, a handful of labels)
-    lang_list = [r.lang for r in meta.select("lang").orderBy("lang").collect()]
     dl = keys.select(key_col, "n_known", F.explode(F.array(*[F.lit(x) for x in lang_list])).alias("lang"))
     sc = (dl.join(langs, "lang").join(hit, [key_col, "lang"], "left")
           .select(key_col, "lang",
