@@ -60,7 +60,7 @@ def link_report(links: DataFrame, post_stats: DataFrame | None = None, topic_col
     """Per lower-cased address: count, distinct referring posts, type and
     (when ``post_stats`` with votes/views/topic columns is given) the sums of
     question votes, views, answer votes (answer links only, null as 0) and
-    topic weights. Sorted by count descending, address."""
+    topic weights. Order it with :func:`top_links` or ``orderBy``."""
     df = links
     aggs = [F.count(F.lit(1)).alias("cnt"), F.count_distinct("post_id").alias("n_posts"),
             F.first("link_type").alias("link_type")]
@@ -93,3 +93,26 @@ def top_links(report: DataFrame, n: int = 5) -> DataFrame:
     s = (report.filter(F.col("link_type") == "std").orderBy(*order).limit(n)
          .withColumn("rank", F.row_number().over(w)).withColumn("scope", F.lit("std")))
     return a.unionByName(s)
+
+
+def post_links(info: DataFrame) -> DataFrame:
+    """J1 + C14 on parsed posts: the links of the question, its comments, the
+    answers and the answers' comments (a bag union), one row each with its
+    source, the answer's vote for answer links, and the address / type."""
+    def from_block(block, source, vote=None):
+        return F.transform(anchors(block), lambda a: F.struct(
+            a["text"].alias("text"), a["href"].alias("href"), F.lit(source).alias("source"),
+            (vote if vote is not None else F.lit(None).cast("int")).alias("answer_vote")))
+
+    q = from_block(F.col("question_links"), "question")
+    qc = F.flatten(F.transform(F.coalesce(F.col("comment_link_lst"), F.array()),
+                               lambda c: from_block(c, "comment")))
+    ans = F.flatten(F.transform(F.coalesce(F.col("answers"), F.array()), lambda a: F.concat(
+        from_block(a["answer_links"], "answer", a["answer_vote"]),
+        F.flatten(F.transform(F.coalesce(a["comment_link_lst"], F.array()),
+                              lambda c: from_block(c, "answer", a["answer_vote"]))))))
+    ex = info.select("post_id", "ord_key", F.posexplode(F.concat(q, qc, ans)).alias("pos", "l"))
+    addr = F.lower(F.col("l.href"))
+    return ex.select("post_id", "ord_key", F.col("pos").cast("int").alias("pos"), F.col("l.text").alias("text"),
+                     addr.alias("address"), link_type(addr).alias("link_type"), F.col("l.source").alias("source"),
+                     F.col("l.answer_vote").alias("answer_vote"))

@@ -34,10 +34,13 @@ def with_batch(outcomes: DataFrame, divisor: int = DEFAULT_DIVISOR) -> DataFrame
 
 def batch_slice(outcomes: DataFrame, step: str | None = None, step_label: str | None = None,
                 result_class_name: str | None = None, divisor: int = DEFAULT_DIVISOR,
-                batch_id: int | None = None) -> DataFrame:
+                batch_id: int | None = None, successful_only: bool = True) -> DataFrame:
     """B1: successful rows of one step/label/class (optionally one batch),
-    projected to post_id, ord_key, ml_tag (+ batch_id)."""
-    df = with_batch(outcomes, divisor).filter(F.col("exit_code") == 0)
+    projected to post_id, ord_key, ml_tag (+ batch_id). B2 is the same slice
+    on post metadata, which has no exit code (``successful_only=False``)."""
+    df = with_batch(outcomes, divisor)
+    if successful_only:
+        df = df.filter(F.col("exit_code") == 0)
     for c, v in (("step", step), ("step_label", step_label), ("result_class_name", result_class_name)):
         if v is not None:
             df = df.filter(F.col(c) == v)

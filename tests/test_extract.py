@@ -111,3 +111,18 @@ def test_spark_jobs(spark):
     pc = X.page_counts(spark.createDataFrame([("t", LISTING), ("t", "<p/>"), ("u", "<p/>")],
                                              "topic string, content_raw string"))
     assert {r.topic: r.nr_pages for r in pc.collect()} == {"t": 10, "u": -1}
+
+
+def test_post_links_and_report(spark):
+    from forumlens.operators import links as L
+    raw = spark.createDataFrame([(5, 0, 0, POST)], "post_id long, ord_key long, ml_tag int, content_raw string")
+    info = X.parse_posts(raw)
+    rows = L.post_links(info).orderBy("pos").collect()
+    assert [(r.address, r.source, r.link_type) for r in rows] == [
+        ("/x", "question", "internal"), ("#none#", "question", "std"),
+        ("http://e.com/a.png", "comment", "img"), ("/questions/1", "answer", "internal")]
+    assert rows[3].answer_vote == 5 and rows[0].answer_vote is None
+    stats = spark.createDataFrame([(5, 7, 100)], "post_id long, votes int, views int")
+    rep = {r.address: r for r in L.link_report(L.post_links(info), stats).collect()}
+    assert rep["/questions/1"].answers_votes_total == 5 and rep["/x"].answers_votes_total == 0
+    assert rep["/x"].question_votes_total == 7 and rep["/x"].views_total == 100
