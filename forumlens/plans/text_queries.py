@@ -26,10 +26,24 @@ def _vocab_and_bow(spark, sf_dir):
     return step(spark, "vocab_and_bow", sf_dir, build)
 
 
+MAX_GRAMS = 3  # the demo configuration's n-gram length
+
+
+def _phrase_passes(spark, sf_dir):
+    """The chained phrase passes up to MAX_GRAMS, run once: pass i of a
+    longer chain is the same job as pass i of a shorter one."""
+    def build():
+        base = _vocab_and_bow(spark, sf_dir)[0]
+        _, merged = PH.phrase_passes(base, MAX_GRAMS, checkpoint_input=False)
+        return base, merged
+    return step(spark, "phrase_passes", sf_dir, build, MAX_GRAMS)
+
+
 def _ext_tokens(spark, sf_dir, nr_grams):
-    return step(spark, "ext_tokens", sf_dir,
-                lambda: PH.extended_tokens(_tokens(spark, sf_dir), nr_grams=nr_grams).checkpoint(eager=True),
-                nr_grams)
+    def build():
+        base, merged = _phrase_passes(spark, sf_dir)
+        return PH.extend_tokens(base, merged[:nr_grams - 1]).checkpoint(eager=True)
+    return step(spark, "ext_tokens", sf_dir, build, nr_grams)
 
 
 @register("token_stats", sql=lambda: f"""
