@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from forumlens.functions.htmltree import parse
 from forumlens.functions.scalars import split_tag
+from forumlens.session import ship_package
 
 # The page layout the parser expects (overridable profile).
 FORUM_PROFILE = {
@@ -318,6 +319,7 @@ def listing_meta(doc: str | None, p=FORUM_PROFILE) -> list[dict]:
 def parse_posts(raw: DataFrame, html_col: str = "content_raw", profile: dict | None = None) -> DataFrame:
     """C13 over a DataFrame (post_id, ord_key, ml_tag, <html>): one
     ``QUESTION_INFO`` row per input row."""
+    ship_package(raw.sparkSession)
     p = dict(FORUM_PROFILE, **(profile or {}))
     schema = _arrow_schema(QUESTION_INFO)
     src = raw.select(F.col("post_id").cast("long"), F.col("ord_key").cast("long"),
@@ -346,6 +348,7 @@ def extract_listing(pages: DataFrame, html_col: str = "content_raw", profile: di
     """Listing pages (page_nr, <html>) -> one post_meta row per
     summary, with asked_date parsed, a split tag and order keys
     (``batch + divisor * (row number within the batch - 1)``)."""
+    ship_package(pages.sparkSession)
     p = dict(FORUM_PROFILE, **(profile or {}))
     schema = _arrow_schema(POST_META)
     src = pages.select(F.col("page_nr").cast("long"), F.col(html_col).alias("html"),
@@ -371,6 +374,7 @@ def extract_listing(pages: DataFrame, html_col: str = "content_raw", profile: di
 def page_counts(pages: DataFrame, html_col: str = "content_raw", topic_col: str = "topic",
                 profile: dict | None = None) -> DataFrame:
     """Per topic the largest page number found (-1 when none)."""
+    ship_package(pages.sparkSession)
     p = dict(FORUM_PROFILE, **(profile or {}))
     schema = _arrow_schema(PAGE_COUNT)
     src = pages.select(F.col(topic_col).cast("string").alias("topic"), F.col(html_col).alias("html"))
@@ -386,6 +390,7 @@ def page_counts(pages: DataFrame, html_col: str = "content_raw", topic_col: str
 def separate_page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """C7 over whole pages: (id, n_links, links, text_len) with the post-wide
     link counter, using the same tree as the post parser."""
+    ship_package(pages.sparkSession)
     out_schema = T.StructType([T.StructField("post_id", T.LongType()), T.StructField("n_links", T.IntegerType()),
                                T.StructField("links", T.StringType()), T.StructField("text_len", T.IntegerType())])
     schema = _arrow_schema(out_schema)

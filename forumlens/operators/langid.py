@@ -48,6 +48,8 @@ def char_grams(df: DataFrame, text_col: str, key_cols, max_n: int = MAX_N) -> Da
     padded); the n-gram counting of each whole text is a small per-row helper
     in an Arrow-batched ``mapInArrow`` (a Counter is ~10x faster than
     interpreted higher-order functions over 100k-element arrays)."""
+    from forumlens.session import ship_package
+    ship_package(df.sparkSession)
     import pyarrow as pa
     from pyspark.sql import types as T
 
