@@ -76,6 +76,10 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    # Submitted with --py-files (the cluster way): nothing to do.
+    if "forumlens" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(app)
+        return
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
