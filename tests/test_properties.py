@@ -35,3 +35,22 @@ def test_pagerank_sums_to_one_and_degree_sums(spark):
     assert d[0] == d[1] == G.user_response_edges(r).count()
     deg = G.doc_degrees(r).agg(F.sum("degree")).first()[0]
     assert deg == 2 * G.doc_edge_count(r).first().n_edges
+
+
+def test_time_bins_partition_rows(spark):
+    from forumlens.operators import timeline as TL
+    from forumlens.sources.tables import table
+    ev = table(spark, SF_SMALL, "events").select(F.to_date("ts").alias("asked_date"))
+    bins = TL.posts_per_bin(TL.with_time_bin(ev)).collect()
+    assert sum(r.n_posts for r in bins) == ev.filter(F.col("asked_date").isNotNull()).count()
+    assert all(0 <= r.bin <= 40 for r in bins)
+    assert len({r.bin for r in bins}) == len(bins)  # one label per bin
+
+
+def test_tag_normed_weights_sum_to_one(spark):
+    from forumlens.plans.report_queries import MAIN_TAG, K, _frame
+    from forumlens.operators import tags as T
+    sc = T.tag_scores(T.tag_stats(_frame(spark, SF_SMALL), K), MAIN_TAG, K).collect()
+    for r in sc:
+        s = sum(r[f"normed_weight_{i}"] for i in range(K))
+        assert abs(s - 1.0) < 1e-9
