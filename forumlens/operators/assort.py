@@ -66,10 +66,12 @@ def doc_cosine_mean(r: DataFrame, doc_vecs: DataFrame, k: int) -> DataFrame:
     return g.select(F.try_divide("num", "den").alias("mean_cosine"), F.col("den").cast("long").alias("n_edges"))
 
 
-def with_dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
-    """0-based position by ``order_col``: range-partitioned sort plus
-    per-partition offsets (no single-partition window over the data)."""
-    s = (df.orderBy(order_col)
+def with_dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
+    """0-based position by ``order_col`` (a column name or a list of them):
+    range-partitioned sort plus per-partition offsets (no single-partition
+    window over the data)."""
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    s = (df.orderBy(*cols)
          .withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
          .checkpoint(eager=True))
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"))
@@ -89,7 +91,7 @@ def permutations(nodes: DataFrame, n_iter: int, seed: int = DEFAULT_SEED) -> Dat
     # every (iteration, node) row, built by an explode per node (no join)
     rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("it"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("it"), F.col("node")))
-    ranked = with_dense_index(rows.withColumn("key", F.struct("it", "h", "node")), "key", "g")
+    ranked = with_dense_index(rows, ["it", "h", "node"], "g")
     return ranked.select("it", "node", (F.col("g") - F.col("it").cast("long") * n).alias("src_idx"))
 
 
