@@ -24,7 +24,7 @@ from forumlens.llm.common import (batch_column, dense, doc_index, grams, hash_sh
 BUCKETS = 1 << 18
 SAMPLE = 8000   # labelled texts, in expectation
 MEMBERS = 4
-EPOCHS = 2
+EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -70,9 +70,9 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, at: np.ndarray, x: np.ndarray, y: float) -> None:
+    def learn(self, at: np.ndarray, x: np.ndarray, y: float, weight: float = 1.0) -> None:
         w = self.weights(at)
-        g = (sigmoid(w @ x) - y) * x
+        g = weight * (sigmoid(w @ x) - y) * x
         step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         self.z[at] += g - step * w
         self.n[at] += g * g
@@ -96,9 +96,11 @@ def train(labelled: DataFrame, most: int = SAMPLE) -> np.ndarray:
         for _, _, buf, offs in text_chunks(pa.array(group["text"], pa.large_string(), from_pandas=True)):
             slot, x, fo = features(buf, offs)
             rows += [(np.append(slot[a:b], 0), np.append(x[a:b], 1.0)) for a, b in zip(fo[:-1], fo[1:])]
+        # Both labels weigh the same in all.
+        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         for _ in range(EPOCHS):
             for (at, x), label in zip(rows, y):
-                model.learn(at, x, label)
+                model.learn(at, x, label, 0.5 / (share if label else 1 - share))
         w = model.weights()
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "w": w[at]})

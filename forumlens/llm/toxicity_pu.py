@@ -26,7 +26,8 @@ BUCKETS = 1 << 20
 POSITIVES, UNLABELLED = 4000, 12000  # texts, in expectation
 MEMBERS = 3
 PREFIXES = (4, 5, 6)
-LEAST_DOCS, LEAST_LIFT = 4, 1.0      # of a feature: positives with it, log ratio of its shares
+LEAST_DOCS = 4    # positives that hold a feature
+LEAST_LIFT = 0.7  # log ratio of its shares, as a part of the largest that the prior allows
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 
 _WORDLY = np.full(256, 0x20, np.uint8)
@@ -56,14 +57,15 @@ def _presence(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(doc), np.concatenate(slot)
 
 
-def fit(texts: pd.Series, positive: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: pd.Series, positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights (bucket 0: the constant) of one classifier."""
     doc, slot = _presence(texts)
     n_p, n_u = int(positive.sum()), int((~positive).sum())
     df_p = np.bincount(slot[positive[doc]], minlength=BUCKETS)
     df_u = np.bincount(slot[~positive[doc]], minlength=BUCKETS)
     lift = np.log((df_p + 0.5) / (n_p + 1)) - np.log((df_u + 0.5) / (n_u + 1))
-    used = np.flatnonzero((df_p >= LEAST_DOCS) & (lift >= LEAST_LIFT))
+    # A feature of positives alone has the log ratio log(1 / prior).
+    used = np.flatnonzero((df_p >= LEAST_DOCS) & (lift >= LEAST_LIFT * np.log(1 / prior)))
     at = np.full(BUCKETS, -1)
     at[used] = np.arange(len(used))
     has = at[slot] >= 0
@@ -120,7 +122,7 @@ def train(learn: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABE
         positive = group["positive"].to_numpy(bool)
         if positive.all() or not positive.any():
             return pd.DataFrame({"slot": [0], "w": [np.log(prior / (1 - prior))]})
-        at, w = fit(group["text"], positive, prior, 0)
+        at, w = fit(group["text"], positive, prior)
         return pd.DataFrame({"slot": at, "w": w})
 
     got = both.groupBy("member").applyInPandas(learn_one, "slot long, w double")
