@@ -5,8 +5,9 @@ Sizes are counted in words. Targets are a water level: source ``s`` gets
 sum to the wished total. The mix is dealt out in blocks of ``block_words`` words:
 
 1. blocks go to sources by highest quotients ``votes / (2k + 1)`` of their targets;
-2. each source's blocks go to its shards (documents hashed into shards of about
-   ``shard_words`` words) the same way, which gives an integer quota per shard and source;
+2. each source's blocks go the same way to its racks of ``RACK`` shards, and a rack's to
+   its shards (documents are hashed into shards of about ``shard_words`` words), which
+   gives an integer quota per shard and source;
 3. in each shard the source's documents form a ring in seeded order, cut into blocks
    from a seeded start; the quota takes the ring's blocks from there on, round after
    round. A quota is at most three rounds, so no document is taken over 3 times.
@@ -24,6 +25,7 @@ from forumlens.llm.common import WORD
 from forumlens.sources.scratch import scratch
 
 CAP = 3  # rounds of a source, and of a document
+RACK = 1024  # shards, so that no apportionment ranks all shards at once
 
 
 def word_count(text: Column) -> Column:
@@ -81,7 +83,16 @@ def apportion(votes: DataFrame, group: list[str], order: list[Column]) -> DataFr
             .withColumn("quota", F.col("_low") + F.col("_won")).drop("_low", "_won"))
 
 
-def mix(docs: DataFrame, block_words: int = 8, shard_words: int = 2_000_000, seed: int = 7) -> DataFrame:
+def _by_source(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """Join on source (null equals null) and on ``more``."""
+    a, b = left.alias("a"), right.alias("b")
+    on = F.col("a.source").eqNullSafe(F.col("b.source"))
+    for c in more:
+        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return a.join(b, on).select("a.*", *[f"b.{c}" for c in right.columns if c != "source" and c not in more])
+
+
+def mix(docs: DataFrame, block_words: int = 4, shard_words: int = 100_000, seed: int = 7) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each row of ``docs``.
 
     Null texts and empty texts have size 0 and are never taken; a null source is a
@@ -100,11 +111,16 @@ def mix(docs: DataFrame, block_words: int = 8, shard_words: int = 2_000_000, see
         "seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long"))
     blocks = apportion(blocks.withColumn("_all", F.lit(0)), ["_all"], [F.col("source").asc_nulls_last()])
     blocks = blocks.select("source", "source_size", "target", F.col("quota").alias("seats"))
-    parts = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    quotas = apportion(
-        parts.alias("p").join(blocks.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")))
-        .select("p.source", "p.shard", "p.words", "b.source_size", "b.target", "b.seats",
-                F.col("p.words").cast("double").alias("vote")), ["source"], [F.col("shard")])
+    parts = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn(
+        "rack", F.expr(f"shard div {RACK}"))
+
+    def vote(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("vote", F.col("words").cast("double"))
+
+    racks = parts.groupBy("source", "rack").agg(F.sum("words").alias("words"))
+    racks = apportion(vote(_by_source(racks, blocks)), ["source"], [F.col("rack")]).select(
+        "source", "rack", "source_size", "target", F.col("quota").alias("seats"))
+    quotas = apportion(vote(_by_source(parts, racks, "rack")), ["source", "rack"], [F.col("shard")])
     quotas = quotas.select(
         "source", "shard", "words", "source_size", "target",
         (F.least("quota", F.floor(F.col("words") * CAP / block_words)) * block_words).cast("long").alias("take"),
@@ -114,8 +130,7 @@ def mix(docs: DataFrame, block_words: int = 8, shard_words: int = 2_000_000, see
     ring = Window.partitionBy("source", "shard").orderBy(
         F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("hi", F.sum("size").over(ring)).withColumn("lo", F.col("hi") - F.col("size"))
-    d, q = placed.alias("d"), quotas.alias("q")
-    out = d.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
+    out = _by_source(placed, quotas, "shard")
     rest = F.when(F.col("words") > 0, F.col("take") % F.col("words")).otherwise(F.lit(0))
     rounds = F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(F.lit(0))
 
