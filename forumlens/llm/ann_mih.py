@@ -26,15 +26,14 @@ from pyspark.sql import functions as F
 from forumlens.llm.common import hash_share
 from forumlens.sources.scratch import scratch
 
-BITS, SUB = 128, 8
+BITS, SUB = 256, 8
 SAMPLE = 6000        # vectors for learning, in expectation
 RECALL = 0.985       # share of the sample's true neighbours within the radius
 ROUNDS = 15
 ROWS, QUERIES = 4096, 4096  # of a block
 
 _POP = np.array([bin(i).count("1") for i in range(256)])
-#: by radius and value: the substring values within it
-_NEAR = [[np.flatnonzero(_POP[np.arange(256) ^ v] <= r) for v in range(256)] for r in range(SUB + 1)]
+_AWAY = _POP[np.arange(256)[:, None] ^ np.arange(256)]  # between substring values
 
 
 @dataclass
@@ -67,29 +66,36 @@ def learn(x: np.ndarray, norm: float, k: int, recall: float = RECALL, seed: int
     return codes
 
 
+# A block's index holds 256 bitmaps of its entries for each substring: the buckets that
+# probing from a value reaches, joined, so that probing is an OR of one bitmap a substring.
 def search_block(codes: Codes, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(query, entry, score) of the k best entries found for each query; the radius grows for a
     query until it has k of them or all. Ties go to smaller ids."""
     cx, cq = codes.of(x, False), codes.of(q, True)
     m, k = cx.shape[1], min(k, len(x))
-    order = np.argsort(cx, axis=0, kind="stable")
-    starts = np.stack([np.searchsorted(cx[order[:, t], t], np.arange(257)) for t in range(m)])
+    wx, wq = cx.view(np.uint64), cq.view(np.uint64)
+
+    def buckets(radius: int) -> list[np.ndarray]:
+        """For each substring: by query value, the entries that pigeonhole probing reaches."""
+        a, b = divmod(radius, m)
+        reach = [a if t <= b else a - 1 for t in range(m)]
+        return [(_AWAY <= r)[:, cx[:, t]] for t, r in enumerate(reach) if r >= 0]
+
+    index = {codes.radius: buckets(codes.radius)}
     out = []
     for i in range(len(q)):
         radius = codes.radius
         while True:
-            a, b = divmod(min(radius, BITS), m)
-            cand = np.zeros(len(x), bool)
-            for t in range(m):
-                reach = a if t <= b else a - 1
-                if reach >= 0:
-                    for v in _NEAR[min(reach, SUB)][cq[i, t]]:
-                        cand[order[starts[t, v]:starts[t, v + 1], t]] = True
+            if radius not in index:
+                index[radius] = buckets(radius)
+            cand = index[radius][0][cq[i, 0]].copy()
+            for t, reached in enumerate(index[radius][1:], 1):
+                cand |= reached[cq[i, t]]
             at = np.flatnonzero(cand)
-            at = at[np.bitwise_count(cx[at] ^ cq[i]).sum(1) <= radius]
+            at = at[np.bitwise_count(wx[at] ^ wq[i]).sum(1) <= radius]
             if len(at) >= k or radius >= BITS:
                 break
-            radius += m // 2
+            radius = min(BITS, radius + m // 4)
         s = (x[at] * q[i]).sum(1)
         best = np.lexsort((ids[at], -s))[:k]
         out.append((np.full(len(best), i), at[best], s[best]))
