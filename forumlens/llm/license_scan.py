@@ -79,8 +79,10 @@ def _hashes(ws: Column) -> Column:
 
 
 def _minhashes(sh: Column, bands: int) -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), F.array_min(F.transform(sh, lambda h, b=b: F.xxhash64(h, F.lit(b)))))
-                     for b in range(bands)])
+    def least(band: int) -> Column:
+        return F.array_min(F.transform(sh, lambda h: F.xxhash64(h, F.lit(band))))
+
+    return F.array(*[F.xxhash64(F.lit(b), least(b)) for b in range(bands)])
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, min_containment: float = 0.8,
