@@ -6,12 +6,6 @@ stop-word test is an ``IN`` list that the optimizer turns into a hash set.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import re
-import zipfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +15,23 @@ TOKEN_SPLIT = "[^a-z]"
 MIN_TOKEN_LEN = 2
 
 
-@functools.lru_cache(maxsize=None)
-def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark's own English stop-word list, passed through the tokenizer.
+# Spark's public English stop-word list as the tokenizer sees it
+# (words with apostrophes as their pieces of two letters or more).
+STOP_WORDS = tuple("""
+me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very
+can will just don should now ll re ve isn aren wasn weren haven hasn hadn doesn didn won wouldn shan
+shouldn mustn couldn cannot could let ought would
+""".split())
 
-    Read from the MLlib jar that ships with PySpark, so no JVM is needed (the
-    DuckDB oracle uses the same list). Words with apostrophes become their
-    ``[a-z]`` pieces, e.g. ``aren't`` -> ``aren``.
-    """
-    import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    out: list[str] = []
-    for word in raw.split():
-        for piece in re.split(TOKEN_SPLIT, word.lower()):
-            if len(piece) >= MIN_TOKEN_LEN and piece not in out:
-                out.append(piece)
-    return tuple(out)
+def default_stop_words() -> tuple[str, ...]:
+    """The English stop words, without a JVM (the DuckDB oracle uses the same list)."""
+    return STOP_WORDS
 
 
 def tokenize(text: Column | str, to_lower_case: bool = True, stop_words=None,

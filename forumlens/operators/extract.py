@@ -10,15 +10,19 @@ Class tests are class-token membership.
 from __future__ import annotations
 
 import itertools
+import re
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forumlens.functions.htmltree import parse
+from forumlens.functions.htmltree import Node, parse
 from forumlens.functions.scalars import split_tag
+from forumlens.operators.assort import with_dense_index
 from forumlens.session import ship_package
 
 # The page layout the parser expects (overridable profile).
@@ -110,7 +114,6 @@ POST_META = T.StructType([
     T.StructField("user", T.StringType()),
     T.StructField("user_url", T.StringType()),
 ])
-PAGE_COUNT = T.StructType([T.StructField("topic", T.StringType()), T.StructField("nr_pages", T.IntegerType())])
 
 
 def _arrow_schema(st: T.StructType) -> pa.Schema:
@@ -126,190 +129,175 @@ def parse_date(s):
         return None
 
 
-# ------------------------------------------------------------ row helpers
-
-def separate_links(node, cnt, p=FORUM_PROFILE):
-    """Give every anchor an id from the post-wide counter, remember
-    (href or '#none#', its single text), empty it; return (text, links)."""
-    found = []
-    for a in node.find_all("a"):
-        key = f"link_id_{next(cnt)}"
-        a.attrs["id"] = key
-        found.append((key, a.get("href", NO_HREF), a.string))
-        a.clear()
-    content = node.get_text().strip()
-    links = "\n".join(LINK_TEMPLATE.format(id=k, href=h or "", content=s or "") for k, h, s in found)
-    return content, links
-
-
-def comment_lists(base, cnt, p=FORUM_PROFILE):
-    """Five parallel lists over the ``li.comment`` items of a block."""
-    raw, txt, users, dates, links = [], [], [], [], []
-    for li in base.find_all("li"):
-        if not li.has_class(p["comment_class"]):
-            continue
-        user_url = comment_date = c_txt = c_links = None
-        c_raw = str(li)
-        for a in li.find_all("a"):
-            if a.has_class(p["comment_user_class"]):
-                user_url = a.get("href")
-                a.set_string("")
-        for span in li.find_all("span"):
-            if span.has_class(p["comment_date_class"]):
-                title = span.get("title")
-                comment_date = parse_date(title.split(",")[0]) if title is not None else None
-                if comment_date is not None:
-                    span.set_string("")
-            elif span.has_class(p["comment_copy_class"]):
-                c_txt, c_links = separate_links(span, cnt, p)
-        raw.append(c_raw)
-        txt.append(c_txt)
-        users.append(user_url)
-        dates.append(comment_date)
-        links.append(c_links)
-    return {"comment_lst_raw": raw, "comment_lst": txt, "comment_user_url_lst": users,
-            "comment_date_lst": dates, "comment_link_lst": links}
-
-
-EMPTY_COMMENTS = {"comment_lst_raw": [], "comment_lst": [], "comment_user_url_lst": [],
-                  "comment_date_lst": [], "comment_link_lst": []}
+# ------------------------------------------------------------ field rules
+#
+# A record is read from its element by a table of rules: where a field stands (tag
+# and the profile's class), and what is taken there. One walker applies any table.
 
 
-def parse_post(doc: str | None, post_id, p=FORUM_PROFILE) -> dict:
-    """C6-C11 + C13 for one post page; raises on layout errors."""
-    root = parse(doc)
-    codes = {}
-    for i, code in enumerate(root.find_all("code")):
-        key = f"code_{i}"
-        code.attrs["id"] = key
-        codes[key] = code.string
-        code.clear()
-    cnt = itertools.count(0)
-    question = question_raw = None
-    q_links = ""
-    q_comments = None
-    answers = []
-    n_q = n_a = 0
-    for div in root.find_all("div"):
-        if div.get("id") == p["question_id"]:
-            if n_q > 0:
-                raise ValueError(MSG_MULTI_QUESTION.format(post_id=post_id))
-            for sub in div.find_all("div"):
-                if sub.has_class(p["postcell_class"]):
-                    for body in sub.find_all("div"):
-                        if any(body.has_class(c) for c in p["body_classes"]):
-                            question_raw = str(body)
-                            question, q_links = separate_links(body, cnt, p)
-                elif sub.has_class(p["comments_class"]):
-                    q_comments = comment_lists(sub, cnt, p)
-            n_q += 1
-        elif div.get("id") == p["answers_id"]:
-            if n_a > 0:
-                raise ValueError(MSG_MULTI_QUESTION.format(post_id=post_id))
-            for adiv in div.find_all("div"):
-                if not adiv.has_class(p["answer_class"]):
-                    continue
-                ans = {"answer_raw": None, "answer_txt": None, "answer_links": "", "user_url": None,
-                       "user_name": None, "answer_date": None, "answer_vote": None,
-                       "is_accepted_answer": adiv.has_class(p["accepted_class"])}
-                comments = None
-                for sub in adiv.find_all("div"):
-                    if any(sub.has_class(c) for c in p["body_classes"]):
-                        ans["answer_raw"] = str(sub)
-                        ans["answer_txt"], ans["answer_links"] = separate_links(sub, cnt, p)
-                    elif sub.has_class(p["vote_class"]):
-                        ans["answer_vote"] = int(sub.get("data-value"))
-                    elif sub.has_class(p["comments_class"]):
-                        comments = comment_lists(sub, cnt, p)
-                    elif sub.has_class(p["answer_meta_class"]):
-                        for meta in sub.find_all("div"):
-                            if meta.has_class(p["user_details_class"]):
-                                for a in meta.find_all("a"):
-                                    href = a.get("href")
-                                    if href is not None and href.startswith(p["user_prefix"]):
-                                        ans["user_url"], ans["user_name"] = href, a.get_text()
-                                        break
-                                    ans["user_url"] = None
-                            elif meta.has_class(p["action_time_class"]):
-                                for span in meta.find_all("span"):
-                                    t = span.get("title")
-                                    ans["answer_date"] = parse_date(t) if t is not None else None
-                ans.update(comments or EMPTY_COMMENTS)
-                answers.append(ans)
-            n_a += 1
-    if question is None:
-        raise ValueError(MSG_NO_QUESTION.format(post_id=post_id))
-    qc = q_comments or EMPTY_COMMENTS
-    n_comments = len(qc["comment_lst_raw"])
-    out = {"question_raw": question_raw, "question_txt": question, "question_links": q_links,
-           "code_pieces": "\n".join(CODE_TEMPLATE.format(id=k, content=v or "") for k, v in codes.items()),
-           **qc, "answers": answers, "answer_count": len(answers), "comment_count": n_comments,
-           "total_comment_count": n_comments + sum(len(a["comment_lst"]) for a in answers)}
+@dataclass(frozen=True)
+class Rule:
+    field: str
+    tag: str
+    hook: str                      # profile key of the class, or classes
+    take: Callable[[Node], object]  # value of the last element that fits
+
+
+def _fits(node: Node, hook, p: dict) -> bool:
+    wanted = p[hook]
+    return not set(node.classes()).isdisjoint([wanted] if isinstance(wanted, str) else wanted)
+
+
+def elements(base: Node, tag: str, hook: str, p: dict) -> list[Node]:
+    return [n for n in base.find_all(tag) if _fits(n, hook, p)]
+
+
+def read(base: Node, rules: Sequence[Rule], p: dict) -> dict:
+    """Field -> value; a field whose element is absent is None."""
+    out = {}
+    for r in rules:
+        found = elements(base, r.tag, r.hook, p)
+        out[r.field] = r.take(found[-1]) if found else None
+    return out
+
+
+def _attr(name: str):
+    return lambda n: n.get(name)
+
+
+def _child(tag: str, take):
+    def inner(n: Node):
+        c = n.first(tag)
+        return None if c is None else take(c)
+    return inner
+
+
+def _number(text: str | None) -> int:
+    return int(re.sub(r"[^0-9-]", "", text or ""))
+
+
+def _strong_number(n: Node):
+    return _child("strong", lambda s: int(s.get_text()))(n)
+
+
+def _state(n: Node):
+    return next((c for c in n.classes() if c != FORUM_PROFILE["status_class"]), None)
+
+
+def _profile_link(n: Node, prefix: str) -> Node | None:
+    return next((a for a in n.find_all("a") if (a.get("href") or "").startswith(prefix)), None)
+
+
+LISTING_RULES = (
+    Rule("post_url", "a", "question_link_class", _attr("href")),
+    Rule("heading", "a", "question_link_class", Node.get_text),
+    Rule("votes", "span", "vote_count_class", _strong_number),
+    Rule("views", "div", "views_class", lambda n: _number(n.get("title"))),
+    Rule("answers", "div", "status_class", _strong_number),
+    Rule("answer_status", "div", "status_class", _state),
+    Rule("excerpt", "div", "excerpt_class", lambda n: n.get_text(strip=True)),
+    Rule("asked_date_raw", "div", "action_time_class", _child("span", _attr("title"))),
+    Rule("user", "div", "user_details_class", lambda n: next((t.strip() for t in n.texts() if t.strip()), None)),
+    Rule("user_url", "div", "user_details_class", _child("a", _attr("href"))),
+    Rule("tags", "div", "tags_class", lambda n: [a.get_text() for a in n.find_all("a")]),
+)
+LISTING_NEEDS = ("votes", "answers", "views")
+
+ANSWER_RULES = (
+    Rule("answer_vote", "div", "vote_class", lambda n: int(n.get("data-value"))),
+    Rule("answer_date", "div", "action_time_class", _child("span", lambda s: parse_date(s.get("title")))),
+)
+
+
+def detach(nodes: list[Node], label: str, number: Iterator[int]) -> list[tuple[str, Node, str]]:
+    """Give each element the next id and empty it: (id, element, its single text)."""
+    out = []
+    for n in nodes:
+        n.attrs["id"] = f"{label}_{next(number)}"
+        out.append((n.attrs["id"], n, n.string or ""))
+        n.clear()
     return out
 
 
-def page_count(doc: str | None, p=FORUM_PROFILE) -> int:
-    """Largest page number in the pagination; -1 when none or not a number."""
-    best = -1
-    for a in parse(doc).find_all("a"):
-        if a.has_class(p["pagination_class"]) and p["pagination_title"] in (a.get("title") or "").lower():
-            try:
-                v = int(a.get_text())
-            except ValueError:
-                v = -1
-            best = max(best, v)
-    return best
+def separate_links(node: Node, number: Iterator[int]) -> tuple[str, str]:
+    """(text, links): anchors leave the text and are listed with their ids."""
+    links = [LINK_TEMPLATE.format(id=k, href=a.get("href", NO_HREF) or "", content=s)
+             for k, a, s in detach(node.find_all("a"), "link_id", number)]
+    return node.get_text().strip(), "\n".join(links)
+
+
+def comment_lists(blocks: list[Node], number: Iterator[int], p=FORUM_PROFILE) -> dict:
+    """The comments of a block as five parallel lists."""
+    def one(item: Node) -> tuple:
+        raw = str(item)
+        stamp = [parse_date((n.get("title") or "").split(",")[0]) for n in elements(item, "span", "comment_date_class", p)]
+        user = [n.get("href") for n in elements(item, "a", "comment_user_class", p)]
+        body = [separate_links(n, number) for n in elements(item, "span", "comment_copy_class", p)]
+        text, links = body[-1] if body else (None, None)
+        return raw, text, user[-1] if user else None, stamp[-1] if stamp else None, links
+
+    rows = [one(li) for block in blocks[-1:] for li in elements(block, "li", "comment_class", p)]
+    return {f.name: [r[i] for r in rows] for i, f in enumerate(COMMENT_FIELDS)}
+
+
+def _only(root: Node, key: str, post_id, p: dict) -> Node | None:
+    found = [d for d in root.find_all("div") if d.get("id") == p[key]]
+    if len(found) > 1:
+        raise ValueError(MSG_MULTI_QUESTION.format(post_id=post_id))
+    return found[0] if found else None
+
+
+def _body(nodes: list[Node], number: Iterator[int]) -> tuple:
+    """(html, text, links) of the last of the bodies."""
+    return (str(nodes[-1]), *separate_links(nodes[-1], number)) if nodes else (None, None, "")
+
+
+def _answer(node: Node, number: Iterator[int], p: dict) -> dict:
+    raw, text, links = _body(elements(node, "div", "body_classes", p), number)
+    profile = [_profile_link(n, p["user_prefix"]) for n in elements(node, "div", "user_details_class", p)]
+    user = profile[-1] if profile else None
+    return {"answer_raw": raw, "answer_txt": text, "answer_links": links,
+            "user_url": user and user.get("href"), "user_name": user and user.get_text(),
+            "is_accepted_answer": _fits(node, "accepted_class", p), **read(node, ANSWER_RULES, p),
+            **comment_lists(elements(node, "div", "comments_class", p), number, p)}
+
+
+def parse_post(doc: str | None, post_id, p=FORUM_PROFILE) -> dict:
+    """C6-C11 + C13 for one post page; raises on layout errors. Link ids run through
+    the page: the question's body and comments, then each answer's."""
+    root = parse(doc)
+    codes = detach(root.find_all("code"), "code", itertools.count())
+    asked, replies = _only(root, "question_id", post_id, p), _only(root, "answers_id", post_id, p)
+    cells = elements(asked, "div", "postcell_class", p) if asked else []
+    bodies = [n for c in cells for n in elements(c, "div", "body_classes", p)]
+    if not bodies:
+        raise ValueError(MSG_NO_QUESTION.format(post_id=post_id))
+    number = itertools.count()
+    raw, text, links = _body(bodies, number)
+    comments = comment_lists(elements(asked, "div", "comments_class", p), number, p)
+    answers = [_answer(n, number, p) for n in (elements(replies, "div", "answer_class", p) if replies else [])]
+    own = len(comments["comment_lst"])
+    return {"question_raw": raw, "question_txt": text, "question_links": links,
+            "code_pieces": "\n".join(CODE_TEMPLATE.format(id=k, content=s) for k, _, s in codes),
+            **comments, "answers": answers, "answer_count": len(answers), "comment_count": own,
+            "total_comment_count": own + sum(len(a["comment_lst"]) for a in answers)}
 
 
 def listing_meta(doc: str | None, p=FORUM_PROFILE) -> list[dict]:
     """One record per question summary; a missing field is null and a
     record that lacks a required number fails with exit_code 1."""
+    empty = {r.field: None for r in LISTING_RULES}
     out = []
-    pos = 0
-    for div in parse(doc).find_all("div"):
-        if not div.has_class(p["summary_class"]):
-            continue
-        rec = {"pos": pos, "post_id": -1, "exit_code": 0, "exit_msg": "", "post_url": None, "heading": None,
-               "excerpt": None, "asked_date_raw": None, "votes": None, "answers": None, "answer_status": None,
-               "views": None, "tags": None, "user": None, "user_url": None}
-        pos += 1
+    for pos, node in enumerate(elements(parse(doc), "div", "summary_class", p)):
+        rec = {"pos": pos, "post_id": -1, "exit_code": 0, "exit_msg": "", **empty}
         try:
-            rec["post_id"] = int((div.get("id") or "")[p["summary_id_prefix_len"]:])
-            for a in div.find_all("a"):
-                if a.has_class(p["question_link_class"]):
-                    rec["post_url"], rec["heading"] = a.get("href"), a.get_text()
-            for span in div.find_all("span"):
-                if span.has_class(p["vote_count_class"]):
-                    strong = span.first("strong")
-                    rec["votes"] = int(strong.get_text()) if strong is not None else None
-            for sub in div.find_all("div"):
-                if sub.has_class(p["views_class"]):
-                    rec["views"] = int((sub.get("title") or "")[:-6].replace(",", ""))
-                elif sub.has_class(p["status_class"]):
-                    strong = sub.first("strong")
-                    rec["answers"] = int(strong.get_text()) if strong is not None else None
-                    others = [c for c in sub.classes() if c != p["status_class"]]
-                    rec["answer_status"] = others[0] if others else None
-                elif sub.has_class(p["excerpt_class"]):
-                    rec["excerpt"] = sub.get_text(strip=True)
-                elif sub.has_class(p["action_time_class"]):
-                    span = sub.first("span")
-                    rec["asked_date_raw"] = span.get("title") if span is not None else None
-                elif sub.has_class(p["user_details_class"]):
-                    parts = sub.get_text("|", strip=True).split("|")
-                    rec["user"] = parts[0] if parts and parts[0] else None
-                    a = sub.first("a")
-                    rec["user_url"] = a.get("href") if a is not None else None
-                elif sub.has_class(p["tags_class"]):
-                    rec["tags"] = [a.get_text() for a in sub.find_all("a")]
-            for req in ("votes", "answers", "views"):
-                if rec[req] is None:
-                    raise ValueError(f"missing {req} for post {rec['post_id']}")
+            rec["post_id"] = int((node.get("id") or "")[p["summary_id_prefix_len"]:])
+            rec.update(read(node, LISTING_RULES, p))
+            missing = [f for f in LISTING_NEEDS if rec[f] is None]
+            if missing:
+                raise ValueError(f"missing {missing[0]} for post {rec['post_id']}")
         except Exception as exc:  # noqa: BLE001
-            rec.update({"exit_code": 1, "exit_msg": str(exc)[:4094]})
-            for k in ("post_url", "heading", "excerpt", "asked_date_raw", "votes", "answers",
-                      "answer_status", "views", "tags", "user", "user_url"):
-                rec[k] = None
+            rec.update(empty, exit_code=1, exit_msg=str(exc))
         out.append(rec)
     return out
 
@@ -335,7 +323,7 @@ def parse_posts(raw: DataFrame, html_col: str = "content_raw", profile: dict | N
                     data = parse_post(r["html"], r["post_id"], p)
                     rows.append({**base, "exit_code": 0, "exit_msg": "", **data})
                 except Exception as exc:  # noqa: BLE001
-                    rows.append({**base, "exit_code": 1, "exit_msg": str(exc)[:4094],
+                    rows.append({**base, "exit_code": 1, "exit_msg": str(exc),
                                  **{k: None for k in data_keys}})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -350,41 +338,51 @@ def extract_listing(pages: DataFrame, html_col: str = "content_raw", profile: di
     (``batch + divisor * (row number within the batch - 1)``)."""
     ship_package(pages.sparkSession)
     p = dict(FORUM_PROFILE, **(profile or {}))
-    schema = _arrow_schema(POST_META)
+    out = T.StructType([*POST_META.fields, T.StructField("batch_id", T.LongType())])
+    schema = _arrow_schema(out)
     src = pages.select(F.col("page_nr").cast("long"), F.col(html_col).alias("html"),
-                       (F.col(batch_col) if batch_col else F.lit(0)).alias("batch_id"))
+                       (F.col(batch_col) if batch_col else F.lit(0)).cast("long").alias("batch_id"))
 
     def job(batches):
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                for rec in listing_meta(r["html"], p):
-                    rows.append({"page_nr": r["page_nr"], **rec})
+            rows = [{"page_nr": r["page_nr"], "batch_id": r["batch_id"], **rec}
+                    for r in b.to_pylist() for rec in listing_meta(r["html"], p)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    meta = src.select("page_nr", "html").mapInArrow(job, POST_META)
-    meta = meta.join(src.select("page_nr", "batch_id"), "page_nr")
-    w = Window.partitionBy("batch_id").orderBy("page_nr", "pos")
+    # Row numbers within a batch are global positions less the batch's first one: no
+    # window over a batch, however many posts it has.
+    meta = with_dense_index(src.mapInArrow(job, out), ["batch_id", "page_nr", "pos", "post_id"], "__i")
+    first = meta.groupBy("batch_id").agg(F.min("__i").alias("__first"))
     asked = F.to_date(F.try_to_timestamp(F.col("asked_date_raw"), F.lit("yyyy-MM-dd HH:mm:ssX")))
-    return (meta.withColumn("ord_key", F.col("batch_id") + F.lit(divisor) * (F.row_number().over(w) - 1))
+    return (meta.join(first, "batch_id")
+            .withColumn("ord_key", F.col("batch_id") + F.lit(divisor) * (F.col("__i") - F.col("__first")))
             .withColumn("asked_date", asked)
-            .withColumn("ml_tag", split_tag("post_id", test_fraction, val_fraction)))
+            .withColumn("ml_tag", split_tag("post_id", test_fraction, val_fraction)).drop("__i", "__first"))
+
+
+def page_count(html: Column, p: dict = FORUM_PROFILE) -> Column:
+    """Largest page number in the pagination of an HTML text; -1 when none or not a number."""
+    def attribute(a: Column, name: str) -> Column:
+        return F.regexp_extract(a, rf'(?is)^<a\s(?:[^>]*?\s)?{name}\s*=\s*"([^"]*)"', 1)
+
+    def is_page(a: Column) -> Column:
+        return (F.array_contains(F.split(attribute(a, "class"), r"\s+"), p["pagination_class"])
+                & F.contains(F.lower(attribute(a, "title")), F.lit(p["pagination_title"])))
+
+    def number(a: Column) -> Column:
+        text = F.regexp_replace(F.regexp_extract(a, r"(?is)^<a[^>]*>(.*)</a>$", 1), "<[^>]*>", "")
+        return F.coalesce(F.trim(text).try_cast("int"), F.lit(-1))
+
+    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a(?:\s[^>]*)?>.*?</a>"), 0)
+    return F.coalesce(F.array_max(F.transform(F.filter(links, is_page), number)), F.lit(-1))
 
 
 def page_counts(pages: DataFrame, html_col: str = "content_raw", topic_col: str = "topic",
                 profile: dict | None = None) -> DataFrame:
     """Per topic the largest page number found (-1 when none)."""
-    ship_package(pages.sparkSession)
     p = dict(FORUM_PROFILE, **(profile or {}))
-    schema = _arrow_schema(PAGE_COUNT)
-    src = pages.select(F.col(topic_col).cast("string").alias("topic"), F.col(html_col).alias("html"))
-
-    def job(batches):
-        for b in batches:
-            rows = [{"topic": r["topic"], "nr_pages": page_count(r["html"], p)} for r in b.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return src.mapInArrow(job, PAGE_COUNT).groupBy("topic").agg(F.max("nr_pages").alias("nr_pages"))
+    return pages.groupBy(F.col(topic_col).cast("string").alias("topic")).agg(
+        F.max(page_count(F.col(html_col), p)).alias("nr_pages"))
 
 
 def separate_page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -402,7 +400,7 @@ def separate_page_links(pages: DataFrame, id_col: str = "page_id", html_col: str
             for r in b.to_pylist():
                 root = parse(r["html"])
                 n = len(root.find_all("a"))
-                txt, links = separate_links(root, itertools.count(0))
+                txt, links = separate_links(root, itertools.count())
                 rows.append({"post_id": r["post_id"], "n_links": n, "links": links, "text_len": len(txt)})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

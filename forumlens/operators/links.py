@@ -17,27 +17,30 @@ from forumlens.functions.scalars import link_type
 
 # Anchor patterns and the missing-href marker.
 ANCHOR_RE = r"(?is)<a(?:\s[^>]*)?>.*?</a>"
-HREF_RE = r'(?is)^<a\s[^>]*?href\s*=\s*"([^"]*)"'
+COMMENT_RE = r"(?s)<!--.*?-->"
+HREF_RE = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
 ANCHOR_TEXT_RE = r"(?is)^<a[^>]*>(.*)</a>$"
 TAG_RE = r"<[^>]*>"
 NO_HREF = "#none#"
 
 
 def unescape(c: Column) -> Column:
-    """The five XML entities, as an HTML parser decodes them."""
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Common entities, as an HTML parser decodes them (other names and numbers stay)."""
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+                    ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
 
 
 def anchors(html) -> Column:
-    """C14: ``array<struct<text, href>>`` of every ``<a>`` in an HTML string;
-    a missing href becomes ``#none#``; null or empty input gives []."""
-    h = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
+    """C14: ``array<struct<text, href>>`` of every ``<a>`` in an HTML string outside
+    comments, its href in double, single or no quotes; a missing href becomes
+    ``#none#``; null or empty input gives []."""
+    h = F.regexp_replace(F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit("")), COMMENT_RE, "")
     raw = F.regexp_extract_all(h, F.lit(ANCHOR_RE), 0)
 
     def one(a):
-        href = F.regexp_extract(a, HREF_RE, 1)
+        href = F.concat(*[F.regexp_extract(a, HREF_RE, i) for i in (1, 2, 3)])  # one of them matched
         has = F.regexp_like(a, F.lit(HREF_RE))
         txt = F.regexp_replace(F.regexp_extract(a, ANCHOR_TEXT_RE, 1), TAG_RE, "")
         return F.struct(unescape(txt).alias("text"),

@@ -5,8 +5,8 @@ Plan shape at scale:
 * the dictionary is one partial-aggregated ``groupBy(token)`` (hot tokens
   collapse map-side, so a token present in a third of all documents is one row
   per partition before the shuffle);
-* the kept vocabulary is bounded by ``keep_n`` (default 100,000), which is the
-  proven size bound that allows the broadcast join in the bag-of-words step;
+* the dictionary keeps every token unless the caller asks for the ``keep_n`` most
+  frequent; ids come from a distributed sort, and how it is joined is left to AQE;
 * the bag of words re-groups the distinct (doc, token) pairs once by document.
 """
 
@@ -16,11 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.functions.text import tokenize, with_run_lengths
+from forumlens.operators.assort import with_dense_index
 
 KEY_COLS = ("post_id", "ord_key", "ml_tag")
-DEFAULT_KEEP_N = 100_000
-# Largest vocabulary that is broadcast to every task (rows).
-BROADCAST_VOCAB_ROWS = 2_000_000
 
 
 def tokens_frame(posts: DataFrame, text_col: str = "text", to_lower_case: bool = True,
@@ -37,7 +35,7 @@ def tokens_frame(posts: DataFrame, text_col: str = "text", to_lower_case: bool =
     # Lemmatize before the stop-word filter: tokenize without stop words first.
     raw = posts.select(*keys, tokenize(text_col, to_lower_case, stop_words=()).alias("tokens"))
     ex = raw.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
-    lem = F.broadcast(lemmas.select("token", "lemma")) if _bounded(lemmas) else lemmas.select("token", "lemma")
+    lem = lemmas.select("token", "lemma")
     ex = ex.join(lem, "token", "left").withColumn("token", F.coalesce("lemma", "token"))
     grouped = ex.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("e"))
@@ -49,15 +47,6 @@ def tokens_frame(posts: DataFrame, text_col: str = "text", to_lower_case: bool =
     return grouped.select(*keys, toks.alias("tokens"))
 
 
-def _bounded(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate is small enough to broadcast."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) <= 64 * 1024 * 1024
-    except Exception:
-        return False
-
-
 def doc_term_counts(tokens: DataFrame, key_cols=KEY_COLS) -> DataFrame:
     """Distinct (document, token) rows with in-document counts; computed in-row."""
     keys = [c for c in key_cols if c in tokens.columns]
@@ -71,15 +60,15 @@ def doc_term_counts(tokens: DataFrame, key_cols=KEY_COLS) -> DataFrame:
 
 
 def build_vocabulary(tokens: DataFrame, no_below: int = 1, no_above: float = 1.0,
-                     keep_n: int | None = DEFAULT_KEEP_N, doc_col: str = "ord_key",
+                     keep_n: int | None = None, doc_col: str = "ord_key",
                      train_only: bool = True) -> DataFrame:
     """D9+D10: dictionary over training documents (``ml_tag = 0``).
 
     Returns token, token_id, df (documents), cf (occurrences).
     Ids follow first-seen document, then alphabetical order inside a document;
     kept tokens satisfy ``no_below <= df <= floor(no_above * n_docs)``; then the
-    ``keep_n`` most frequent by df (ties by id order) survive and ids are
-    re-compacted in id order.
+    ``keep_n`` most frequent by df (ties by id order) survive, if it is given, and
+    ids are compacted in id order.
     """
     train = tokens.filter(F.col("ml_tag") == 0) if train_only and "ml_tag" in tokens.columns else tokens
     n_docs = train.select(F.count(F.lit(1))).scalar()
@@ -94,20 +83,11 @@ def build_vocabulary(tokens: DataFrame, no_below: int = 1, no_above: float = 1.0
         w = Window.orderBy("first_doc", "token")
         return kept.select("token", (F.row_number().over(w) - 1).cast("int").alias("token_id"),
                            "df", "cf", "first_doc")
-    return dense_index(kept, ["first_doc", "token"], "token_id").select("token", "token_id", "df", "cf", "first_doc")
-
-
-def dense_index(df: DataFrame, order_cols, name: str) -> DataFrame:
-    """0-based position in a global order without a single-partition window:
-    range-partitioned sort, per-partition counts, offsets added back."""
-    spark = df.sparkSession
-    sorted_rdd = df.orderBy(*order_cols).rdd.zipWithIndex()
-    schema = df.schema.add(name, "int")
-    return spark.createDataFrame(sorted_rdd.map(lambda r: tuple(r[0]) + (int(r[1]),)), schema)
+    return with_dense_index(kept, ["first_doc", "token"], "token_id").select(
+        "token", F.col("token_id").cast("int"), "df", "cf", "first_doc")
 
 
-def bag_of_words(tokens: DataFrame, vocab: DataFrame, key_cols=KEY_COLS,
-                 vocab_rows_bound: int | None = DEFAULT_KEEP_N) -> DataFrame:
+def bag_of_words(tokens: DataFrame, vocab: DataFrame, key_cols=KEY_COLS) -> DataFrame:
     """Per document ``keys`` (ascending ids), ``values`` (counts),
     ``key_tokens``; unknown tokens dropped; documents without known tokens keep
     empty arrays. Applied to every split."""
@@ -116,8 +96,6 @@ def bag_of_words(tokens: DataFrame, vocab: DataFrame, key_cols=KEY_COLS,
     ex = bag.select(*keys, F.explode_outer("bag").alias("e")).select(
         *keys, F.col("e.token").alias("token"), F.col("e.cnt").alias("cnt"))
     v = vocab.select("token", "token_id")
-    if vocab_rows_bound is not None and vocab_rows_bound <= BROADCAST_VOCAB_ROWS:
-        v = F.broadcast(v)
     j = ex.join(v, "token", "left")
     entry = F.when(F.col("token_id").isNotNull(),
                    F.struct(F.col("token_id"), F.col("cnt"), F.col("token")))

@@ -6,26 +6,27 @@ from pyspark.sql import functions as F
 
 from forumlens.functions.scalars import split_tag
 from forumlens.operators import extract as X
-from forumlens.operators.links import ANCHOR_RE, ANCHOR_TEXT_RE, HREF_RE, NO_HREF, TAG_RE
 from forumlens.plans.registry import register
-from forumlens.sources.tables import spread, table
+from forumlens.plans.sqlparts import ANCHOR_RE, ANCHOR_TEXT_RE, TAG_RE, href_sql, no_comments_sql
+from forumlens.sources.tables import table
 
 
 def _pages(spark, sf_dir):
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def _sep_sql() -> str:
     ent = "{x}"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                 ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         ent = f"replace({ent}, '{a}', '{b}')"
-    href = ent.format(x=f"regexp_extract(a, '{HREF_RE}', 1)")
+    href = href_sql("a", lambda x: ent.format(x=x))
     txt = ent.format(x=f"regexp_replace(regexp_extract(a, '{ANCHOR_TEXT_RE}', 1), '{TAG_RE}', '', 'g')")
     return f"""
-WITH pa AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{ANCHOR_RE}', 0) AS arr FROM pages),
+WITH pa AS (SELECT page_id, regexp_extract_all({no_comments_sql('html')}, '{ANCHOR_RE}', 0) AS arr FROM pages),
 pe AS (SELECT page_id, CAST(unnest(range(len(arr))) AS INTEGER) AS pos, unnest(arr) AS a FROM pa),
 lk AS (SELECT page_id, pos, {txt} AS text,
-              CASE WHEN regexp_matches(a, '{HREF_RE}') THEN {href} ELSE '{NO_HREF}' END AS href FROM pe),
+              {href} AS href FROM pe),
 agg AS (SELECT page_id, count(*) AS n,
                string_agg('<a id="link_id_' || pos || '" href="' || href || '">' || chr(10) || text || chr(10) || '</a>',
                           chr(10) ORDER BY pos) AS links FROM lk GROUP BY page_id)

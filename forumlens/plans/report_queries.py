@@ -9,10 +9,10 @@ from forumlens.operators import posts as P
 from forumlens.operators import stats as S
 from forumlens.operators import tags as T
 from forumlens.operators import timeline as TL
-from forumlens.operators.links import ANCHOR_RE, ANCHOR_TEXT_RE, HREF_RE, NO_HREF, TAG_RE
 from forumlens.plans.registry import register
-from forumlens.plans.sqlparts import link_type_sql, posts_cte
-from forumlens.sources.tables import DEFAULT_TOPICS, posts, spread, table, topic_vectors
+from forumlens.plans.sqlparts import (ANCHOR_RE, ANCHOR_TEXT_RE, TAG_RE, href_sql, link_type_sql, no_comments_sql,
+                                      posts_cte)
+from forumlens.sources.tables import DEFAULT_TOPICS, posts, table, topic_vectors
 
 K = DEFAULT_TOPICS
 MAIN_TAG = "en"
@@ -84,21 +84,22 @@ def ecdf_by_group(spark, sf_dir):
 
 def _links_cte() -> str:
     ent = "{x}"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                 ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         ent = f"replace({ent}, '{a}', '{b}')"
-    href = ent.format(x=f"regexp_extract(a, '{HREF_RE}', 1)")
+    href = href_sql("a", lambda x: ent.format(x=x))
     txt = ent.format(x=f"regexp_replace(regexp_extract(a, '{ANCHOR_TEXT_RE}', 1), '{TAG_RE}', '', 'g')")
     return f"""
-pa AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{ANCHOR_RE}', 0) AS arr FROM pages),
+pa AS (SELECT page_id, regexp_extract_all({no_comments_sql('html')}, '{ANCHOR_RE}', 0) AS arr FROM pages),
 pe AS (SELECT page_id AS post_id, CAST(unnest(range(len(arr))) AS INTEGER) AS pos, unnest(arr) AS a FROM pa),
 lk0 AS (SELECT post_id, pos, {txt} AS text,
-               lower(CASE WHEN regexp_matches(a, '{HREF_RE}') THEN {href} ELSE '{NO_HREF}' END) AS address
+               lower({href}) AS address
         FROM pe),
 lk AS (SELECT post_id, pos, text, address, {link_type_sql('address')} AS link_type, 'question' AS source FROM lk0)"""
 
 
 def _links(spark, sf_dir):
-    return L.page_links(spread(table(spark, sf_dir, "pages")))
+    return L.page_links(table(spark, sf_dir, "pages"))
 
 
 @register("page_links", sql=lambda: f"WITH {_links_cte()} SELECT * FROM lk")
@@ -144,7 +145,7 @@ def top_links(spark, sf_dir):
 
 def _topic_sql_ctes() -> str:
     return f"""
-tv AS (SELECT vec_id AS post_id, list_transform(embedding[1:{K}], lambda v: CAST(abs(v) AS DOUBLE)) AS raw
+tv AS (SELECT vec_id AS post_id, list_transform(range({K}), lambda i: list_sum(list_transform(range(i, len(embedding), {K}), lambda j: CAST(abs(embedding[j + 1]) AS DOUBLE)))) AS raw
        FROM embeddings),
 tvn AS (SELECT post_id, list_transform(raw, lambda v: v / list_sum(raw)) AS w FROM tv)"""
 

@@ -32,15 +32,15 @@ def ml_tag_sql(id_col: str = "doc_id", test_fraction: float = 0.15, val_fraction
 
 def posts_cte() -> str:
     return (f"posts AS (SELECT d.doc_id AS post_id, d.doc_id AS ord_key, {ml_tag_sql('d.doc_id')} AS ml_tag, "
-            f"d.text, [d.source, d.lang] AS tags, d.lang, l.quality AS votes, l.toxic AS views "
-            f"FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
+            f"d.text, [d.source, d.lang] AS tags, d.lang FROM documents d)")
 
 
 def tokens_cte() -> str:
     return f"toks AS (SELECT post_id, ord_key, ml_tag, {tokens_sql('text')} AS tokens FROM posts)"
 
 
-def vocab_cte(no_below: int = 1, no_above: float = 1.0, keep_n: int = 100000) -> str:
+def vocab_cte(no_below: int = 1, no_above: float = 1.0, keep_n: int | None = None) -> str:
+    limit = "" if keep_n is None else f"ORDER BY df DESC, first_doc, token LIMIT {keep_n}"
     return f"""
 train AS (SELECT * FROM toks WHERE ml_tag = 0),
 tt AS (SELECT ord_key, unnest(tokens) AS token FROM train),
@@ -48,7 +48,7 @@ per_tok AS (SELECT token, count(DISTINCT ord_key) AS df, count(*) AS cf, min(ord
             FROM tt GROUP BY token),
 kept AS (SELECT * FROM per_tok
          WHERE df >= {no_below} AND df <= floor(CAST({repr(float(no_above))} AS DOUBLE) * (SELECT count(*) FROM train))
-         ORDER BY df DESC, first_doc, token LIMIT {keep_n}),
+         {limit}),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY first_doc, token) - 1 AS INTEGER) AS token_id,
           df, cf, first_doc FROM kept)"""
 
@@ -57,3 +57,22 @@ def link_type_sql(addr: str) -> str:
     img = " OR ".join(f"ends_with({addr}, '{s}')" for s in IMAGE_SUFFIXES)
     return (f"CASE WHEN {img} THEN 'img' WHEN starts_with({addr}, '/') OR "
             f"contains({addr}, '{INTERNAL_HOST_MARK}') THEN 'internal' ELSE 'std' END")
+
+
+# The oracle's own anchor patterns (DuckDB regular expressions), written apart from the operator's.
+ANCHOR_RE = r"(?is)<a(?:\s[^>]*)?>.*?</a>"
+ANCHOR_TEXT_RE = r"(?is)^<a[^>]*>(.*)</a>$"
+TAG_RE = r"<[^>]*>"
+NO_HREF = "#none#"
+
+
+def no_comments_sql(html: str) -> str:
+    return f"regexp_replace(coalesce({html}, ''), '(?s)<!--.*?-->', '', 'g')"
+
+
+def href_sql(a: str, decode) -> str:
+    """The href of an anchor by its quoting: double, single or none."""
+    head = r"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*"
+    forms = [head + '"([^"]*)"', head + "''([^'']*)''", head + """([^"''\\s>][^\\s>]*)"""]
+    return "CASE " + " ".join(f"WHEN regexp_matches({a}, '{f}') THEN {decode(f'regexp_extract({a}, \'{f}\', 1)')}"
+                              for f in forms) + f" ELSE '{NO_HREF}' END"

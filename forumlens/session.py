@@ -27,7 +27,7 @@ SCALE_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "forumlens", extra: dict | None = None) -> SparkSession:
     """Create (or fetch) a session with the engine's defaults.
 
@@ -38,7 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     if master:
         builder = builder.master(master)
     conf = dict(SCALE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:  # else Spark's or the cluster's setting holds
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -52,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only when it is unset (local runs, tests) a fresh folder is created.
+    Where it is unset a local session gets a fresh folder; a cluster session is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="forumlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -4,10 +4,10 @@ The engine's own datasets (posts, outcome log, contributor roles, topic vectors)
 are DataFrames with fixed columns. On the driver's test tables they are derived
 as follows (mapping documented in the README):
 
-* ``posts``     <- documents (+ labels for votes/views)
+* ``posts``     <- documents; ``post_stats`` (votes/views) <- labels
 * ``outcomes``  <- events (event_type 'error' is a failed task)
 * ``roles``     <- orders (asker = o_custkey) and lineitem (answerer = l_suppkey)
-* ``topic_vectors`` <- embeddings (first k dims, absolute value, normalised)
+* ``topic_vectors`` <- embeddings (all dims folded into k sums of absolute values, normalised)
 """
 
 from __future__ import annotations
@@ -28,38 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row-local work (tokenizing, parsing) every core.
-
-    A scan has as many partitions as file splits; on a cluster that is already
-    far more than the cores and this is a no-op. Only when the input has fewer
-    partitions than the default parallelism is it round-robin repartitioned
-    (one shuffle of the input rows, decided at planning time, no job).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def posts(spark: SparkSession, sf_dir: str, test_fraction: float = 0.15,
           val_fraction: float = 0.15, seed: int = 0) -> DataFrame:
-    """Post records: post_id, ord_key, ml_tag, text, tags, lang, votes, views.
-
-    ``tags`` is ``[source, lang]``; votes/views come from ``labels`` (left join,
-    missing -> null, as in the reference where metadata may be absent).
+    """Post records: post_id, ord_key, ml_tag, text, tags, lang. ``tags`` is
+    ``[source, lang]``. A plain scan: no shuffle, pruned to the columns used.
     """
-    docs = spread(table(spark, sf_dir, "documents"))
-    labels = table(spark, sf_dir, "labels").select(
-        "doc_id", F.col("quality").alias("votes"), F.col("toxic").alias("views"))
-    return (docs.join(labels, "doc_id", "left")
-            .select(F.col("doc_id").alias("post_id"),
-                    F.col("doc_id").alias("ord_key"),
-                    split_tag("doc_id", test_fraction, val_fraction, seed).alias("ml_tag"),
-                    F.col("text"),
-                    F.array(F.col("source"), F.col("lang")).alias("tags"),
-                    F.col("lang"),
-                    F.col("votes"), F.col("views")))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("post_id"),
+        F.col("doc_id").alias("ord_key"),
+        split_tag("doc_id", test_fraction, val_fraction, seed).alias("ml_tag"),
+        F.col("text"),
+        F.array(F.col("source"), F.col("lang")).alias("tags"),
+        F.col("lang"))
+
+
+def post_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes and views of posts (post_id, votes, views), without their text."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("post_id"), F.col("quality").alias("votes"), F.col("toxic").alias("views"))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +85,11 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_vectors(spark: SparkSession, sf_dir: str, k: int = DEFAULT_TOPICS) -> DataFrame:
-    """Per-document topic weights (post_id, w array<double> of length k):
-    |embedding[0:k]| normalised to sum 1."""
+    """Per-document topic weights (post_id, w array<double> of length k): weight i is
+    the sum of |embedding[j]| over all j with j mod k = i, normalised to sum 1."""
     emb = table(spark, sf_dir, "embeddings")
-    raw = F.transform(F.slice("embedding", 1, k), lambda v: F.abs(v).cast("double"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(
+        F.filter("embedding", lambda v, j: j % k == i), F.lit(0.0), lambda acc, v: acc + F.abs(v).cast("double")))
     s = F.aggregate(raw, F.lit(0.0), lambda acc, v: acc + v)
     return emb.select(F.col("vec_id").alias("post_id"),
                       F.transform(raw, lambda v: F.try_divide(v, s)).alias("w"))

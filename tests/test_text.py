@@ -67,3 +67,42 @@ def test_bow_counts_sum_to_known_tokens(spark):
     expect = sum(sum(1 for t in r.tokens if t in known) for r in toks.collect())
     got = bow.select(F.sum(F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v))).first()[0]
     assert got == expect
+
+
+def test_oracle_texts_need_no_jar_or_session(monkeypatch):
+    import glob
+
+    monkeypatch.setattr(glob, "glob", lambda *a, **k: (_ for _ in ()).throw(AssertionError("looked for files")))
+    from forumlens.plans import registry
+    assert all(registry.oracle_sql().values())
+
+
+def test_text_scan_has_no_exchange(spark, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    from forumlens.plans import registry
+
+    for q in ("token_stats", "split_tags"):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            registry.queries()[q](spark, "/root/testdata/sf0.001").explain()
+        assert "Exchange" not in out.getvalue(), q
+
+
+def test_vocabulary_without_a_cap(spark):
+    from forumlens.operators import vocab as V
+
+    rows = spark.createDataFrame([(1, 1, 0, ["b", "a", "b"]), (2, 2, 0, ["c", "a"])],
+                                 "post_id long, ord_key long, ml_tag int, tokens array<string>")
+    got = [(r.token, r.token_id, r.df) for r in V.build_vocabulary(rows).orderBy("token_id").collect()]
+    assert got == [("a", 0, 2), ("b", 1, 1), ("c", 2, 1)]
+
+
+def test_anchor_forms(spark):
+    from forumlens.operators.links import anchors
+
+    html = ("""<a href='/one'>1</a><a data-href="x" href=/two>2</a><!-- <a href="/no">n</a> -->"""
+            """<a href="/q?a=1&amp;b=2">&apos;3&apos;</a><a>4</a>""")
+    got = spark.createDataFrame([(html,)], "h string").select(anchors("h").alias("a")).first().a
+    assert [(x.text, x.href) for x in got] == [("1", "/one"), ("2", "/two"), ("'3'", "/q?a=1&b=2"), ("4", "#none#")]
