@@ -73,7 +73,7 @@ def search_block(codes: Codes, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     query until it has k of them or all. Ties go to smaller ids."""
     cx, cq = codes.of(x, False), codes.of(q, True)
     m, k = cx.shape[1], min(k, len(x))
-    wx, wq = cx.view(np.uint64), cq.view(np.uint64)
+    wx, wq = np.ascontiguousarray(cx.view(np.uint64).T), cq.view(np.uint64)
 
     def buckets(radius: int) -> list[np.ndarray]:
         """For each substring: by query value, the entries that pigeonhole probing reaches."""
@@ -91,8 +91,10 @@ def search_block(codes: Codes, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
             cand = index[radius][0][cq[i, 0]].copy()
             for t, reached in enumerate(index[radius][1:], 1):
                 cand |= reached[cq[i, t]]
-            at = np.flatnonzero(cand)
-            at = at[np.bitwise_count(wx[at] ^ wq[i]).sum(1) <= radius]
+            away = np.zeros(len(x), np.uint16)
+            for w, own in zip(wx, wq[i]):
+                away += np.bitwise_count(w ^ own)
+            at = np.flatnonzero(cand & (away <= radius))
             if len(at) >= k or radius >= BITS:
                 break
             radius = min(BITS, radius + m // 4)
