@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from forumlens.llm import decontam, lsh_forest, mixing, quality_ftrl, queries, toxicity_pu
-from forumlens.llm.common import prepare
+from forumlens.llm.common import prepare, unnamed
 from forumlens.sources.scratch import scratch
 
 
@@ -19,26 +19,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scored(docs: DataFrame, scorer, weights) -> DataFrame:
-    """``docs`` with ``_score``, whatever columns they have."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    text = names[docs.columns.index("text")]
-    got = scorer(docs.toDF(*names), weights, names, text)
-    return got.toDF(*docs.columns, "_score")
+def _where_score(docs: DataFrame, scorer, weights, condition: str) -> DataFrame:
+    """The rows of ``docs`` whose score fits, whatever columns they have."""
+    plain, (text,) = unnamed(docs, "text")
+    return scorer(plain, weights, plain.columns, text).where(condition).drop("score").toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: rows with a toxicity score of 0.5 or more go."""
     prepare(spark)
     weights = queries.toxicity_weights(docs, _table(spark, sf_dir, "labels"))
-    return _scored(docs, toxicity_pu.score, weights).where("_score < 0.5").drop("_score")
+    return _where_score(docs, toxicity_pu.score, weights, "score < 0.5")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: rows with a quality score under 0.5 go."""
     prepare(spark)
     weights = queries.quality_weights(docs, _table(spark, sf_dir, "labels"))
-    return _scored(docs, quality_ftrl.score, weights).where("_score >= 0.5").drop("_score")
+    return _where_score(docs, quality_ftrl.score, weights, "score >= 0.5")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

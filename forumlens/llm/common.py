@@ -39,6 +39,12 @@ def hash_share(key: Column, seed: int, share: Column | float) -> Column:
     return unit < share
 
 
+def unnamed(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... (no name can clash), and the new names of ``wanted``."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(w)] for w in wanted]
+
+
 def batch_column(df: DataFrame, text: str, keep: list[str], out: str, kind: DataType,
                  make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     """``df[keep]`` plus column ``out``, computed batch by batch from column ``text``.

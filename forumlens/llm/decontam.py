@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.common import lower_bytes, mix, text_chunks
+from forumlens.llm.common import lower_bytes, mix, text_chunks, unnamed
 
 Q = 8                 # bytes: a q-gram is one 64-bit number
 ERROR = 0.1
@@ -233,13 +233,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -
 def clean(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """The rows of ``docs`` whose text matches no benchmark item, all columns unchanged (null
     and empty texts stay). One pass over the rows for each block of the benchmark."""
-    for block in blocks(benchmark, error):
-        names = docs.columns
+    left, (text,) = unnamed(docs, "text")
 
-        def rows(_, batch, doc, item, edits):
-            keep = np.ones(batch.num_rows, bool)
-            keep[doc] = False
-            return batch.drop_columns(["_text"]).filter(pa.array(keep))
+    def rows(_, batch, doc, item, edits):
+        keep = np.ones(batch.num_rows, bool)
+        keep[doc] = False
+        return batch.drop_columns(["text"]).filter(pa.array(keep))
 
-        docs = _pass(docs.select("*", F.col("text").alias("_text")), block, rows, docs.schema).toDF(*names)
-    return docs
+    for block in blocks(benchmark, error):
+        left = _pass(left.select("*", F.col(text).alias("text")), block, rows, left.schema)
+    return left.toDF(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from forumlens.llm.common import batch_column, doc_index, mix, shingles, text_chunks
+from forumlens.llm.common import batch_column, doc_index, mix, shingles, text_chunks, unnamed
 from forumlens.operators.components import components
 from forumlens.sources.scratch import scratch
 
@@ -299,8 +299,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     id stays (of repeated rows, one; a null id only where no row of the class has an id). Null
     texts all stay."""
     _, classes = texts_and_classes(docs, threshold)
-    heads = classes.where("kept").select(F.col("tid").alias("_tid"), F.col("class_id").alias("_head"))
-    d = docs.withColumn("_tid", text_id(F.col("text")))
-    one = d.where("text is not null").join(heads, "_tid").where(F.col("doc_id").eqNullSafe(F.col("_head")))
-    one = one.dropDuplicates(["_tid", "_head"]).select(*docs.columns)
-    return one.unionByName(docs.where("text is null"))
+    heads = classes.where("kept").select("tid", F.col("class_id").alias("head"))
+    plain, (doc_id, text) = unnamed(docs, "doc_id", "text")
+    d = plain.withColumn("tid", text_id(F.col(text)))
+    one = d.where(F.col(text).isNotNull()).join(heads, "tid").where(F.col(doc_id).eqNullSafe(F.col("head")))
+    one = one.dropDuplicates(["tid", "head"]).select(*plain.columns)
+    return one.unionByName(plain.where(F.col(text).isNull())).toDF(*docs.columns)
