@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from forumlens.llm.common import batch_column
+from forumlens.sources.scratch import scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern that belongs to this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BIN = 1024
+BIN = 128
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> bytes:
@@ -53,7 +54,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     Suffix sums run in bins of lengths and then over the bins, so that no task gets all
     lengths. An empty table gives no rows.
     """
-    h = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
+    # Written, as it is used twice below and texts are to be encoded once.
+    h = scratch(counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")), "token-lengths")
     h = h.withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("bin", F.expr(f"n_tokens div {BIN}"))
     over = Window.partitionBy("bin").orderBy("n_tokens").rowsBetween(1, Window.unboundedFollowing)
     later = Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
