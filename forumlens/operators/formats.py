@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from forumlens.operators.outcomes import split_filter
 def doc_format(df: DataFrame, fmt: str, ml_tags=None, key_cols=("post_id", "ord_key", "ml_tag")) -> DataFrame:
     """B6 (+B4): a dataset in one of the reference's document formats:
     'tokens' -> token->count map, 'keys' -> (id, count) list,
-    'unprocessed_tokens' -> token list, 'all_#n' -> the whole record.
+    'unprocessed_tokens' -> token list, 'all_#n' -> the whole records of step n (of a
+    frame without a ``step`` column, which is one step's own dataset, every record).
     Case-insensitive; anything else raises."""
     f = fmt.lower()
     d = split_filter(df, ml_tags) if "ml_tag" in df.columns else df
@@ -23,8 +26,9 @@ def doc_format(df: DataFrame, fmt: str, ml_tags=None, key_cols=("post_id", "ord_
     if f == "unprocessed_tokens":
         col = "tokenized_content" if "tokenized_content" in d.columns else "tokens"
         return d.select(*keys, F.col(col).alias("doc"))
-    if f.startswith("all_#"):
-        return d.select("*")
+    step = re.fullmatch(r"all_(#[0-9]+)", f)
+    if step:
+        return d.where(F.col("step") == step[1]) if "step" in d.columns else d
     raise ValueError(f"unknown document format {fmt!r}")
 
 

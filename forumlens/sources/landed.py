@@ -17,13 +17,13 @@ def scan_landed(spark: SparkSession, path: str, kind: str = "post", fmt: str = "
                 successful_only: bool = True) -> DataFrame:
     """A1: read landed pages/posts (parquet or json) with the declared schema.
     ``fmt='text'`` reads one HTML file per row (whole file) and derives the
-    key from the file name (``<post_id>.html``)."""
+    key from the file name (``<post_id>.html``); fields that a file cannot give are null."""
     schema = POST_RAW if kind == "post" else PAGE_RAW
     if fmt == "text":
-        raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
-        key = F.regexp_extract("file", r"([0-9]+)\.html?$", 1).try_cast("long")
-        df = raw.select(key.alias("post_id"), key.alias("ord_key"), F.lit(0).alias("request_code"),
-                        F.col("value").alias("content_raw"))
+        raw = spark.read.option("wholetext", True).text(path)
+        key = F.regexp_extract("_metadata.file_name", r"([0-9]+)\.html?$", 1).try_cast("long")
+        known = {"post_id": key, "page_nr": key, "ord_key": key, "request_code": F.lit(0), "content_raw": F.col("value")}
+        df = raw.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
     if successful_only:
@@ -35,14 +35,15 @@ def scan_classes(frames: dict[str, DataFrame], step: str, step_label: str | None
                  training_only: bool = False, fields=None) -> DataFrame:
     """A4: one scan over several record classes: filter step/label (and
     ``ml_tag = 0``), optional field list, union by name with missing columns
-    as null and a ``record_class`` column."""
+    as null and a ``record_class`` column. A class without ``ml_tag`` has no training
+    records."""
     out = None
     for name, df in frames.items():
         d = df.filter(F.col("step") == step)
         if step_label is not None:
             d = d.filter(F.col("step_label") == step_label)
-        if training_only and "ml_tag" in d.columns:
-            d = d.filter(F.col("ml_tag") == 0)
+        if training_only:
+            d = d.filter(F.col("ml_tag") == 0 if "ml_tag" in d.columns else F.lit(False))
         if fields:
             d = d.select(*[c for c in fields if c in d.columns])
         d = d.withColumn("record_class", F.lit(name))
