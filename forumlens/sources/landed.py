@@ -20,7 +20,7 @@ def scan_landed(spark: SparkSession, path: str, kind: str = "post", fmt: str = "
     key from the file name (``<post_id>.html``); fields that a file cannot give are null."""
     schema = POST_RAW if kind == "post" else PAGE_RAW
     if fmt == "text":
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         key = F.regexp_extract("_metadata.file_name", r"([0-9]+)\.html?$", 1).try_cast("long")
         known = {"post_id": key, "page_nr": key, "ord_key": key, "request_code": F.lit(0), "content_raw": F.col("value")}
         df = raw.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -9,7 +9,8 @@ from tests.conftest import SF_SMALL
 
 NAMES = ["token_stats", "vocabulary", "doc_bow", "phrase_scores", "phrase_tokens", "step_summary",
          "upsert_latest", "dist_summary", "link_report", "tag_scores", "time_bins", "user_degrees",
-         "doc_degrees", "edge_cosine", "run_lineage", "html_link_separation"]
+         "doc_degrees", "edge_cosine", "run_lineage", "html_link_separation", "format_tokens", "format_step_records",
+         "step_store", "step_guards", "artefact_values", "qa_counts", "landed_search"]
 
 
 @pytest.fixture(scope="module")
