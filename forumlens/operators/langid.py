@@ -5,28 +5,25 @@ A character n-gram naive Bayes model learned from labelled text:
 * texts are lower-cased, every run of non-letters becomes one space, and the
   1- to 3-grams of the padded text are counted inside the row (sorted run
   lengths, no shuffle);
-* training: per language the n-gram counts (partial aggregation), the
-  ``profile_size`` most frequent n-grams per language form the profile
-  (a bounded table: languages x profile_size rows, so it is broadcast),
-  with add-alpha smoothed log-probabilities and log priors;
-* scoring: distinct n-grams of a document join the profile, log-likelihoods
-  are summed per (document, language), and a softmax over the (few)
-  languages gives the candidates with probabilities; the top one (first on
-  ties) is the detected language.
+* training: per language the counts of all its n-grams (partial aggregation), with
+  add-alpha smoothed log-probabilities, and log priors;
+* scoring: the n-grams of a document are joined once with a table of one row per n-gram
+  and one column per language (AQE picks the join and splits frequent n-grams), summed
+  per document, and a softmax inside the row over the (few) languages gives the
+  candidates with probabilities; the top one (first on ties) is the detected language.
 
 It is not number-identical to the library the reference used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 MAX_N = 3
-PROFILE_SIZE = 2000
 ALPHA = 1.0
-BROADCAST_PROFILE_ROWS = 2_000_000
+OUT_ROWS = 50_000  # of n-grams held before a batch leaves the Python job
 
 
 def _gram_counts(text: str, max_n: int):
@@ -62,37 +59,41 @@ def char_grams(df: DataFrame, text_col: str, key_cols, max_n: int = MAX_N) -> Da
     schema = to_arrow_schema(out)
     keys = list(key_cols)
 
+    def rows(held, grams, cnts):
+        return pa.RecordBatch.from_pydict({**held, "gram": grams, "cnt": cnts}, schema=schema)
+
     def job(batches):
         for b in batches:
-            cols = {k: [] for k in keys}
-            grams, cnts = [], []
-            data = b.to_pydict()
-            for i, text in enumerate(data["__t"]):
-                c = _gram_counts(text or "", max_n)
+            held, grams, cnts = {k: [] for k in keys}, [], []
+            for i in range(b.num_rows):
+                c = _gram_counts(b.column("__t")[i].as_py() or "", max_n)
                 for k in keys:
-                    cols[k].extend([data[k][i]] * len(c))
+                    held[k].extend([b.column(k)[i].as_py()] * len(c))
                 grams.extend(c.keys())
                 cnts.extend(c.values())
-            yield pa.RecordBatch.from_pydict({**cols, "gram": grams, "cnt": cnts}, schema=schema)
+                if len(grams) >= OUT_ROWS:
+                    yield rows(held, grams, cnts)
+                    held, grams, cnts = {k: [] for k in keys}, [], []
+            if grams:
+                yield rows(held, grams, cnts)
 
     return d.mapInArrow(job, out)
 
 
 def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                   profile_size: int = PROFILE_SIZE, alpha: float = ALPHA, grams: DataFrame | None = None):
-    """Profiles (lang, gram, logp) and per-language meta (lang, log prior,
+                   alpha: float = ALPHA, grams: DataFrame | None = None):
+    """Profiles (lang, gram, logp) of all n-grams and per-language meta (lang, log prior,
     log-prob of an unseen gram). ``grams`` (lang, gram, cnt) may be given when
-    the n-grams were already counted."""
-    g = grams if grams is not None else char_grams(
+    the n-grams were already counted. Rows without a label teach nothing."""
+    labelled = labelled.where(F.col(lang_col).isNotNull())
+    g = grams.where(F.col(lang_col).isNotNull()) if grams is not None else char_grams(
         labelled.withColumn("__row", F.monotonically_increasing_id()), text_col, ["__row", lang_col])
     per = g.groupBy(lang_col, "gram").agg(F.sum("cnt").alias("c"))
-    w = Window.partitionBy(lang_col).orderBy(F.col("c").desc(), "gram")
-    top = per.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= profile_size)
     tot = per.groupBy(lang_col).agg(F.sum("c").alias("tot"))
-    vsize = top.select(F.count_distinct("gram")).scalar()
+    vsize = per.select(F.count_distinct("gram")).scalar()
     docs = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("nd"))
     n_docs = labelled.select(F.count(F.lit(1))).scalar()
-    prof = top.join(tot, lang_col).select(
+    prof = per.join(tot, lang_col).select(
         F.col(lang_col).alias("lang"), "gram",
         F.log((F.col("c") + alpha) / (F.col("tot") + alpha * vsize)).alias("logp"))
     meta = docs.join(tot, lang_col).select(
@@ -104,33 +105,29 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
 def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_id",
            text_col: str = "text", grams: DataFrame | None = None) -> DataFrame:
     """Per row: lang, lang_prob and the candidate lists (by probability).
-    ``grams`` (key, gram, cnt) may be given when already counted."""
+    ``grams`` (key, gram, cnt) may be given when already counted.
+
+    The profiles become one row per n-gram with a column per language, so that every
+    n-gram is joined once and a document's scores are sums; n-grams of no profile count
+    for no language, those missing from one profile with its unseen-gram probability."""
     g = grams if grams is not None else char_grams(df, text_col, [key_col])
-    lang_list = [r.lang for r in meta.select("lang").orderBy("lang").collect()]
-    # The profile has at most (languages x profile_size) rows: broadcast it
-    # only while that bound is small; otherwise plain joins.
-    bounded = len(lang_list) * PROFILE_SIZE <= BROADCAST_PROFILE_ROWS
-    langs = F.broadcast(meta) if bounded else meta
-    profile = F.broadcast(prof) if bounded else prof
-    # every known gram is scored against every language: grams missing from a
-    # language's profile count with that language's unseen-gram probability
-    known = g.join(profile.select("gram").distinct(), "gram", "left_semi")
-    hit = known.join(profile, "gram").groupBy(key_col, "lang").agg(
-        F.sum(F.col("cnt") * F.col("logp")).alias("s_hit"), F.sum("cnt").alias("n_hit"))
-    n_known = known.groupBy(key_col).agg(F.sum("cnt").alias("n_known"))
-    keys = df.select(key_col).join(n_known, key_col, "left").fillna(0, ["n_known"])
-    # (document, language) rows: each document expands to the few languages
-    # (the language list is the profile's, a handful of labels)
-    dl = keys.select(key_col, "n_known", F.explode(F.array(*[F.lit(x) for x in lang_list])).alias("lang"))
-    sc = (dl.join(langs, "lang").join(hit, [key_col, "lang"], "left")
-          .select(key_col, "lang",
-                  (F.col("prior") + F.coalesce("s_hit", F.lit(0.0))
-                   + (F.col("n_known") - F.coalesce("n_hit", F.lit(0))) * F.col("unk")).alias("score")))
-    wmax = Window.partitionBy(key_col)
-    sc = sc.withColumn("p", F.exp(F.col("score") - F.max("score").over(wmax)))
-    sc = sc.withColumn("p", F.col("p") / F.sum("p").over(wmax))
-    g2 = sc.groupBy(key_col).agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("p")).alias("neg"), F.col("lang"), F.col("p")))).alias("c"))
-    return g2.select(key_col, F.col("c")[0]["lang"].alias("lang"), F.col("c")[0]["p"].alias("lang_prob"),
-                     F.transform("c", lambda x: x["lang"]).alias("lang_lst"),
-                     F.transform("c", lambda x: x["p"]).alias("lang_prob_lst"))
+    known = meta.orderBy("lang").collect()  # a row for each language
+    if not known:
+        none = F.lit(None)
+        return df.select(key_col, none.cast("string").alias("lang"), none.cast("double").alias("lang_prob"),
+                         F.array().cast("array<string>").alias("lang_lst"), F.array().cast("array<double>").alias("lang_prob_lst"))
+    n = range(len(known))
+    wide = prof.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == r.lang, F.col("logp"))).alias(f"l{i}")
+                                      for i, r in enumerate(known)])
+    sums = g.join(wide, "gram").groupBy(key_col).agg(
+        *[F.sum(F.col("cnt") * F.coalesce(f"l{i}", F.lit(r.unk))).alias(f"s{i}") for i, r in enumerate(known)])
+    scores = df.select(key_col).join(sums, key_col, "left").select(
+        key_col, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + r.prior for i, r in enumerate(known)]).alias("s"))
+    exps = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
+    weighed = scores.select(key_col, exps.alias("e")).withColumn(
+        "z", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
+    ranked = weighed.select(key_col, F.sort_array(F.array(*[
+        F.struct((-F.col("e")[i] / F.col("z")).alias("neg"), F.lit(known[i].lang).alias("lang")) for i in n])).alias("c"))
+    return ranked.select(key_col, F.col("c")[0]["lang"].alias("lang"), (-F.col("c")[0]["neg"]).alias("lang_prob"),
+                         F.transform("c", lambda x: x["lang"]).alias("lang_lst"),
+                         F.transform("c", lambda x: -x["neg"]).alias("lang_prob_lst"))

@@ -26,3 +26,25 @@ def test_char_grams(spark):
     # " ab ab " -> 1-grams a:2 b:2 (spaces dropped), 2-grams " a":2 "ab":2 "b ":2
     assert g[(1, "a")] == 2 and g[(1, "ab")] == 2 and g[(1, " a")] == 2 and g[(1, "b ")] == 2
     assert not any(k[0] == 2 for k in g)
+
+
+def test_scores_match_brute_force_and_null_labels_teach_nothing(spark):
+    import math
+    train = [("aa b", "x"), ("ab ab", "x"), ("cc b", "y"), ("zz zz", None)]
+    df = spark.createDataFrame(train, "text string, lang string")
+    prof, meta = LI.train_profiles(df)
+    ask = spark.createDataFrame([(1, "ab c"), (2, "zz"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in LI.detect(ask, prof, meta).collect()}
+
+    def grams(t):
+        return LI._gram_counts(f" {t} ", LI.MAX_N)
+    counts = {g: sum((grams(t) for t, l in train if l == g), start=grams("")) for g in "xy"}
+    every = set(counts["x"]) | set(counts["y"])
+    score = {l: math.log(n / 3) + sum(k * math.log((counts[l][g] + 1) / (sum(counts[l].values()) + len(every)))
+                                      for g, k in grams("ab c").items() if g in every) for l, n in (("x", 2), ("y", 1))}
+    p = 1 / (1 + math.exp(score["y"] - score["x"]))
+    assert got[1].lang == "x" and abs(got[1].lang_prob - p) < 1e-12 and got[1].lang_lst == ["x", "y"]
+    for i in (2, 3):  # no known n-gram: the priors
+        assert got[i].lang == "x" and abs(got[i].lang_prob - 2 / 3) < 1e-12
+    prof, meta = LI.train_profiles(df.where("lang is null"))
+    assert [r.lang for r in LI.detect(ask, prof, meta).collect()] == [None] * 3
