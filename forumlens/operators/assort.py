@@ -9,20 +9,26 @@ left out of the mean (the reference would turn the whole mean into NaN).
   and role counts r(u,d), the sum over document pairs of multiplicity x cosine
   is 1/2 sum_u (|sum_d r u_d|^2 - sum_d r^2), and the pair count is
   1/2 sum_u ((sum_d r)^2 - sum_d r^2) over documents with a non-zero vector.
-* L15: ``n_iter`` random relabellings, all in one job: every iteration ranks
-  the nodes by a seeded hash (a distributed sort, no per-iteration group in
-  one task), node i takes the vector of the node whose index is its rank, and
-  the statistic is recomputed per iteration with a group-by on the iteration.
-  Then ECDF, VA index and verdict (K11) plus the distribution summary.
+* L15: ``n_iter`` random relabellings, all in one job: a node takes the vector of
+  the node at a position given by a keyed bijection of its own position, so an
+  iteration needs no sort, rank or window. Nodes with a vector come first in the
+  positions, so a row that takes a zero vector is dropped by a comparison. The
+  statistic is a group-by on the iteration. Then ECDF, VA index and verdict (K11)
+  plus the distribution summary.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.functions.scalars import va_index, verdict
 from forumlens.operators.stats import describe
+from forumlens.sources.scratch import scratch
 
 DEFAULT_SEED = 11
 
@@ -83,16 +89,49 @@ def with_dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
             .drop("__pid", "__mid", "__mid0", "__off"))
 
 
-def permutations(nodes: DataFrame, n_iter: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """H5: (it, node, src_idx): in iteration ``it`` node takes the vector of
-    the node with index ``src_idx``. A bijection per iteration: the rank of a
-    node in the order of its seeded hash."""
-    n = nodes.select(F.count(F.lit(1))).first()[0]
-    # every (iteration, node) row, built by an explode per node (no join)
-    rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("it"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("it"), F.col("node")))
-    ranked = with_dense_index(rows, ["it", "h", "node"], "g")
-    return ranked.select("it", "node", (F.col("g") - F.col("it").cast("long") * n).alias("src_idx"))
+FEISTEL_ROUNDS = 6
+
+
+def _scramble(x: np.ndarray, key: int) -> np.ndarray:
+    """A 64-bit mixing function of ``x`` and the key."""
+    x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def keyed_bijection(idx: np.ndarray, n: int, it: int, seed: int) -> np.ndarray:
+    """A permutation of 0..n-1 chosen by (seed, it), at the places ``idx``: a Feistel
+    network on the next even number of bits, walked on until the value is below n."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, out = np.uint64((1 << half) - 1), idx.astype(np.uint64)
+    todo = np.arange(len(idx))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for r in range(FEISTEL_ROUNDS):
+            key = (seed * 0x2545F4914F6CDD1D + it * 0xD1342543DE82EF95 + r * 0x9FB21C651E98DF25) & ((1 << 63) - 1)
+            left, right = right, left ^ (_scramble(right, key) & mask)
+        out[todo] = (left << np.uint64(half)) | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def permutations(positions: DataFrame, n: int, n_iter: int, seed: int = DEFAULT_SEED, below: int | None = None) -> DataFrame:
+    """H5: (it, node, src_idx) from (node, idx): in iteration ``it`` a node takes the
+    vector of the node with index ``src_idx``; a bijection of 0..n-1 for each iteration.
+    With ``below`` only rows with a smaller ``src_idx``."""
+    most = n if below is None else below
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx = batch.column("idx").to_numpy()
+            for it in range(n_iter):
+                src = keyed_bijection(idx, n, it, seed)
+                at = np.flatnonzero(src < most)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), it, np.int32)), batch.column("node").take(pa.array(at)), pa.array(src[at])],
+                    ["it", "node", "src_idx"])
+
+    return positions.select("node", "idx").mapInArrow(run, f"it int, node {positions.schema['node'].dataType.simpleString()}, src_idx long")
 
 
 def permutation_stats(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: int = 100,
@@ -101,17 +140,14 @@ def permutation_stats(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter:
     vectors with permutation ``it``. ``vecs``: (node, v*) unit vectors; either
     ``edges`` (src, dst[, weight]) or ``doc_roles`` (doc, user, r) for the
     factorised document graph."""
-    idx = with_dense_index(vecs, "node", "idx")
-    # vectors by index, non-zero only: a permuted zero vector gives a null
-    # cosine, so rows taking one can be dropped before any join
-    nz = idx.filter(F.col("v0").isNotNull()).select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)])
-    nz = nz.checkpoint(eager=True)
-    perm = permutations(vecs.select("node"), n_iter, seed)
-    # The explode that builds the permutation rows hides their count from the
-    # size estimate, so joins on them are pinned to shuffle joins (an implicit
-    # broadcast of n_iter x nodes rows must never happen); the vector table is
-    # left to AQE, which broadcasts it only when its measured size is small.
-    perm = perm.hint("merge").join(nz.select("src_idx"), "src_idx", "left_semi")
+    # nodes with a vector first: a permuted zero vector gives a null cosine, so rows that
+    # take one are dropped as they arise
+    idx = scratch(with_dense_index(vecs.withColumn("none", F.col("v0").isNull()), ["none", "node"], "idx"), "perm-index")
+    n, filled = idx.agg(F.count(F.lit(1)), F.count("v0")).first()
+    nz = idx.where("not none").select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)])
+    # The size estimate does not know the rows that the job adds, so joins on them are
+    # pinned to shuffle joins; the vector table is left to AQE.
+    perm = permutations(idx, n, n_iter, seed, filled)
     if doc_roles is not None:
         j = (doc_roles.join(perm.withColumnRenamed("node", "doc").hint("merge"), "doc")
              .join(nz, "src_idx"))

@@ -3,7 +3,7 @@
 import math
 from collections import defaultdict
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from forumlens.operators import assort as AS
 
@@ -59,15 +59,28 @@ def test_observed_means(spark):
 
 def test_permutation_statistics(spark):
     vecs = _vecs(spark, VEC)
-    perm = AS.permutations(vecs.select("node"), 6, seed=3).collect()
-    nodes = sorted(VEC)
+    # nodes with a vector come first, then those without, each by node
+    nodes = sorted(VEC, key=lambda v: (_unit(VEC[v]) is None, v))
+    where = spark.createDataFrame([(v, i) for i, v in enumerate(nodes)], "node long, idx long")
     by_it = defaultdict(dict)
-    for r in perm:
+    for r in AS.permutations(where, 5, 6, seed=3).collect():
         by_it[r.it][r.node] = nodes[r.src_idx]   # node takes the vector of this node
-    assert all(sorted(m.values()) == nodes for m in by_it.values())  # bijections
+    assert all(sorted(m.values()) == sorted(nodes) for m in by_it.values())  # bijections
+    assert len({tuple(sorted(m.items())) for m in by_it.values()}) > 1
     edges = spark.createDataFrame(EDGES, "src long, dst long")
     stats = {r.it: r.stat for r in AS.permutation_stats(edges, vecs, 2, 6, seed=3).collect()}
     for it, m in by_it.items():
         assert abs(stats[it] - _edge_mean(lambda n: _unit(VEC[m[n]]))) < 1e-12
     out = AS.permutation_test(edges, vecs, 2, 6, seed=3).first()
     assert out.n_iter == 6 and 0.0 <= out.quantile <= 1.0 and out.verdict
+
+
+def test_keyed_bijection():
+    for n in (1, 2, 3, 5, 64, 65, 1000, 4097):
+        for it in range(3):
+            assert sorted(AS.keyed_bijection(np.arange(n), n, it, 7)) == list(range(n))
+    # places are spread evenly: each of 5 nodes takes each place about equally often
+    seen = np.zeros((5, 5))
+    for it in range(5000):
+        seen[np.arange(5), AS.keyed_bijection(np.arange(5), 5, it, 11)] += 1
+    assert seen.min() > 880 and seen.max() < 1120
