@@ -1,9 +1,10 @@
 """Distribution statistics.
 
 * moments use Spark's partial aggregates (count/avg/stddev/skewness/kurtosis);
-* exact percentiles avoid gathering all values in one task: the column is
-  range-partitioned and sorted, every row gets its global rank from
-  per-partition counts, and only the few rows at the needed ranks are kept;
+* exact percentiles avoid gathering all values in one task: rows are first counted by
+  value (so a frequent value is one row), the values are range-partitioned and sorted,
+  every value gets its range of global ranks from per-partition sums, and only the few
+  values at the needed ranks are kept;
 * histograms bucket arithmetically against scalar subqueries for min/max.
 """
 
@@ -20,35 +21,38 @@ def prob_label(p: float) -> str:
     return "p" + format(p * 100, "g").replace(".", "_")
 
 
-def with_global_rank(df: DataFrame, col: str, rank_col: str = "rank") -> DataFrame:
-    """0-based rank of every row in ascending ``col`` order, fully distributed.
+def with_global_rank(df: DataFrame, col: str) -> DataFrame:
+    """(v, first, cnt): each different value with the 0-based rank of its first row in
+    ascending order and its number of rows, fully distributed.
 
-    The sorted frame is checkpointed to the shared checkpoint folder so the
-    two passes (per-partition counts, ranks) see the same partitioning and a
-    lost executor recomputes from the checkpoint, not from the sort.
+    The sorted values are checkpointed to the shared checkpoint folder so the two passes
+    (per-partition sums, ranks) see the same partitioning and a lost executor recomputes
+    from the checkpoint, not from the sort.
     """
-    sorted_df = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-                 .orderBy("v")
-                 .select("v", F.spark_partition_id().alias("pid"),
-                         F.monotonically_increasing_id().alias("mid")))
-    sorted_df = sorted_df.checkpoint(eager=True)
-    counts = sorted_df.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
+    values = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+              .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
+    placed = values.orderBy("v").select("v", "cnt", F.spark_partition_id().alias("pid")).checkpoint(eager=True)
     w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: a bounded table, so the single-partition window
     # and the broadcast are safe.
-    offsets = counts.select("pid", "mid0", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    ranked = sorted_df.join(F.broadcast(offsets), "pid")
-    return ranked.select("v", (F.col("offset") + F.col("mid") - F.col("mid0")).alias(rank_col))
+    offsets = placed.groupBy("pid").agg(F.sum("cnt").alias("n")).select(
+        "pid", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(F.broadcast(offsets), "pid")
+    return ranked.select("v", (F.col("offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).alias("first"), "cnt")
 
 
 def _quantile_exprs(n, probs):
-    """Aggregate expressions over a ranked frame (columns v, rank)."""
+    """Aggregate expressions over ranked values (columns v, first, cnt)."""
+    def at(rank):
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("cnt")), F.col("v")))
+
     aggs = []
     for p in probs:
         h = F.lit(float(p)) * (n - 1)
         lo, frac = F.floor(h), h - F.floor(h)
-        v_lo = F.max(F.when(F.col("rank") == lo, F.col("v")))
-        v_hi = F.coalesce(F.max(F.when(F.col("rank") == lo + 1, F.col("v"))), v_lo)
+        v_lo = at(lo)
+        v_hi = F.coalesce(at(lo + 1), v_lo)
         aggs.append((v_lo + frac * (v_hi - v_lo)).alias(prob_label(p)))
     return aggs
 
@@ -58,20 +62,20 @@ def exact_quantiles(df: DataFrame, col: str, probs=SUMMARY_PROBS) -> DataFrame:
     h = p (n-1); q = v[floor h] + (h - floor h) (v[floor h + 1] - v[floor h]).
     Returns one row with a column per probability."""
     ranked = with_global_rank(df, col)
-    n = ranked.select(F.count(F.lit(1))).first()[0]  # one number to the driver
+    n = ranked.select(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]  # one number to the driver
     return ranked.agg(*_quantile_exprs(F.lit(n), probs))
 
 
 def describe(df: DataFrame, col: str, probs=SUMMARY_PROBS, digits: int | None = 6) -> DataFrame:
     """G10 + G11: one summary row: count, mean, sample std, min, max, exact
-    percentiles, population skewness and excess kurtosis -- one aggregation
-    over the ranked values."""
-    ranked = with_global_rank(df, col)
-    n = F.lit(ranked.select(F.count(F.lit(1))).first()[0])  # one number to the driver
-    v = F.col("v")
-    out = ranked.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                     F.min(v).alias("min"), F.max(v).alias("max"), *_quantile_exprs(n, probs),
-                     F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
+    percentiles, population skewness and excess kurtosis -- one aggregation over the rows;
+    the percentiles (one row) come from the ranked values."""
+    q = exact_quantiles(df, col, probs).first()
+    v = F.col(col).cast("double")
+    out = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                 F.min(v).alias("min"), F.max(v).alias("max"),
+                 *[F.lit(q[prob_label(p)]).cast("double").alias(prob_label(p)) for p in probs],
+                 F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"))
     if digits is None:
         return out
     return out.select(*[F.round(F.col(c), digits).alias(c) if c != "n" else F.col(c) for c in out.columns])
