@@ -145,28 +145,26 @@ def permutation_stats(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter:
     idx = scratch(with_dense_index(vecs.withColumn("none", F.col("v0").isNull()), ["none", "node"], "idx"), "perm-index")
     n, filled = idx.agg(F.count(F.lit(1)), F.count("v0")).first()
     nz = idx.where("not none").select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)])
-    # The size estimate does not know the rows that the job adds, so joins on them are
-    # pinned to shuffle joins; the vector table is left to AQE.
-    perm = permutations(idx, n, n_iter, seed, filled)
+    # The size estimate does not know the rows that the job adds, so this join is pinned to
+    # a shuffle join; the written table has its true size, and AQE picks the others.
+    rows = permutations(idx.repartition(idx.sparkSession.sparkContext.defaultParallelism, "node"), n, n_iter, seed, filled)
+    taken = scratch(rows.hint("merge").join(nz, "src_idx").drop("src_idx"), "perm-vectors")
+    v = [f"v{i}" for i in range(k)]
     if doc_roles is not None:
-        j = (doc_roles.join(perm.withColumnRenamed("node", "doc").hint("merge"), "doc")
-             .join(nz, "src_idx"))
-        per = j.groupBy("it", "user").agg(
+        per = doc_roles.join(taken.withColumnRenamed("node", "doc"), "doc").groupBy("it", "user").agg(
             F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("sr2"),
-            *[F.sum(F.col("r") * F.col(f"v{i}")).alias(f"s{i}") for i in range(k)])
+            *[F.sum(F.col("r") * F.col(c)).alias(f"s{i}") for i, c in enumerate(v)])
         sq = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(k)), F.lit(0.0))
         stat = per.groupBy("it").agg((F.sum(sq - F.col("sr2")) / F.sum(F.col("sr") * F.col("sr") - F.col("sr2")))
                                      .alias("stat"))
     else:
+        # the edges of a source sum their targets' vectors before they meet the source's
         w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-        e = edges.select("src", "dst", w.alias("w"))
-        a = perm.select("it", F.col("node").alias("src"), F.col("src_idx").alias("ia"))
-        b = perm.select("it", F.col("node").alias("dst"), F.col("src_idx").alias("ib"))
-        va = nz.select(F.col("src_idx").alias("ia"), *[F.col(f"v{i}").alias(f"a{i}") for i in range(k)])
-        vb = nz.select(F.col("src_idx").alias("ib"), *[F.col(f"v{i}").alias(f"b{i}") for i in range(k)])
-        j = (e.join(a.hint("merge"), "src").join(b.hint("merge"), ["it", "dst"])
-             .join(va, "ia").join(vb, "ib").select("it", "w", _dot("a", "b", k).alias("cos")))
-        stat = j.groupBy("it").agg((F.sum(F.col("w") * F.col("cos")) / F.sum("w")).alias("stat"))
+        e = edges.select("src", F.col("dst").alias("node"), w.alias("w"))
+        per = e.join(taken, "node").groupBy("it", "src").agg(
+            F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{i}") for i, c in enumerate(v)])
+        j = per.join(taken.withColumnRenamed("node", "src"), ["it", "src"])
+        stat = j.groupBy("it").agg((F.sum(_dot("s", "v", k)) / F.sum("sw")).alias("stat"))
     return stat
 
 
@@ -175,12 +173,17 @@ def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: i
     """L15 + K11 + G10 + G11 + G13: one row with the observed mean cosine, its
     ECDF quantile in the permutation distribution, VA index, verdict and the
     summary of the distribution."""
+    vecs = scratch(vecs, "perm-nodes")  # read by the observed mean, the index and the statistic
+    if doc_roles is not None:
+        doc_roles = scratch(doc_roles, "perm-roles")
+    else:
+        edges = scratch(edges, "perm-edges")
     if doc_roles is not None:
         observed = doc_cosine_mean(doc_roles, vecs.withColumnRenamed("node", "doc"), k)
     else:
         observed = edge_cosine_mean(edges, vecs, k)
     obs = observed.first()["mean_cosine"]
-    stat = permutation_stats(edges, vecs, k, n_iter, seed, doc_roles).checkpoint(eager=True)
+    stat = scratch(permutation_stats(edges, vecs, k, n_iter, seed, doc_roles), "perm-stats")
     summary = describe(stat, "stat", digits=None)
     q = stat.agg(F.avg((F.col("stat") <= F.lit(obs)).cast("double")).alias("quantile")).first()["quantile"]
     return summary.select(
