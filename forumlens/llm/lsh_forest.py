@@ -11,7 +11,9 @@ Jaccard similarity is at least ``threshold``.
    estimate of at least ``NEAR`` to a leader is settled, one at least ``LOOSE`` is joined
    to it, and the first unsettled node is the next leader. As 1 - Jaccard is a metric,
    the partner of a settled node is at least loosely near the same leader, so linked
-   nodes are always joined. Big buckets are salted; leaders of the salts meet again.
+   nodes are always joined. A bucket of over ``SALT_ROWS`` nodes is cut into blocks, and
+   each pair of blocks is one group with all nodes of both: every two nodes of a bucket
+   meet in a group, so the margin is the same as in a small bucket.
 4. The joined nodes' components are verified exactly: each pair of blocks of a component
    is one bounded group, in which all shared shingles are counted; it returns a row for
    each node (its links and its root), never the pairs.
@@ -35,7 +37,7 @@ from forumlens.sources.scratch import scratch
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 14, 5, 0.999
 NEAR, LOOSE = 0.85, 0.45
-SALT_ROWS = 1 << 16                        # of a bucket in a group
+SALT_ROWS = 1 << 16                        # of a bucket in a group (two blocks, a sixteenth left for chance)
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20  # of a component in a block
 
 _N = TREES * DEPTH
@@ -121,15 +123,14 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def lead(group: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Root of each row among the rows of its group, and which rows are leaders."""
-    leader, a, b = np.zeros(len(group), bool), [], []
+def lead(group: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Root of each row among the rows of its group."""
+    a, b = [], []
     active = np.arange(len(group))
     while len(active):
         first = np.ones(len(active), bool)
         first[1:] = group[active][1:] != group[active][:-1]
         head = active[first][np.cumsum(first) - 1]
-        leader[active[first]] = True
         alike = np.empty(len(active))
         for i in range(0, len(active), 1 << 14):
             alike[i:i + (1 << 14)] = (sig[active[i:i + (1 << 14)]] == sig[head[i:i + (1 << 14)]]).mean(1)
@@ -137,22 +138,18 @@ def lead(group: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a.append(active[joins])
         b.append(head[joins])
         active = active[(alike < NEAR) & (active != head)]
-    return local_roots(len(group), np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, np.int64), leader
+    return local_roots(len(group), np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, np.int64)
 
 
-def _lead(keys: list[str], pass_on: bool):
-    """Rows (tid, root, bucket, sig); ``sig`` only for leaders of salted buckets."""
+def _lead(keys: list[str]):
+    """Rows (tid, root) of nodes with another root in their group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, keys, 4096):
             sig = np.stack([np.frombuffer(x, np.uint16) for x in t.column("sig").to_pylist()])
-            tid, salts = t.column("tid").to_numpy(), t.column("salts").to_numpy()
-            root, leader = lead(group_numbers(t, keys), sig)
-            further = leader & (salts > 1) & pass_on
-            out = np.flatnonzero(further | (tid[root] != tid))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tid[out]), pa.array(tid[root][out]), t.column("bucket").combine_chunks().take(pa.array(out)),
-                 pa.array([sig[i].tobytes() if further[i] else None for i in out], pa.binary())],
-                ["tid", "root", "bucket", "sig"])
+            tid = t.column("tid").to_numpy()
+            root = lead(group_numbers(t, keys), sig)
+            out = np.flatnonzero(tid[root] != tid)
+            yield pa.RecordBatch.from_arrays([pa.array(tid[out]), pa.array(tid[root][out])], ["tid", "root"])
     return run
 
 
@@ -242,16 +239,16 @@ def texts_and_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     buckets = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sig, {2 * DEPTH * t + 1}, {2 * d})")) for t in range(TREES)])
     keys = texts.where("n > 0").select("tid", F.explode(buckets).alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    salts = F.ceil(F.col("members") / SALT_ROWS)
-    inside = keys.join(sizes, "bucket").select("tid", "bucket", salts.alias("salts"), F.pmod(
-        F.xxhash64("tid", F.lit(81)), salts).alias("salt")).join(texts.select("tid", "sig"), "tid")
-    schema = "tid long, root long, bucket long, sig binary"
-    led = scratch(inside.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "sig", "tid").select(
-        "bucket", "salt", "salts", "tid", "sig").mapInArrow(_lead(["bucket", "salt"], True), schema), "forest-led")
-    heads = led.where("sig is not null").select("bucket", "tid", F.lit(1).cast("long").alias("salts"), "sig")
-    again = heads.repartition("bucket").sortWithinPartitions("bucket", "sig", "tid").mapInArrow(
-        _lead(["bucket"], False), schema)
-    joined = led.unionByName(again).select(F.col("tid").alias("u"), F.col("root").alias("v")).where("u <> v")
+    parts = F.when(F.col("members") > SALT_ROWS, F.ceil(F.col("members") * 32 / (SALT_ROWS * 15))).otherwise(F.lit(1)).cast("long")
+    inside = keys.join(sizes, "bucket").select("tid", "bucket", parts.alias("parts"), F.pmod(
+        F.xxhash64("tid", F.lit(81)), parts).alias("part")).join(texts.select("tid", "sig"), "tid")
+    others = F.when(F.col("parts") == 1, F.array(F.col("part"))).otherwise(
+        F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.col("part")))
+    met = inside.select("tid", "bucket", "part", F.explode(others).alias("other"), "sig").select(
+        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "tid", "sig")
+    three = ["bucket", "low", "high"]
+    joined = scratch(met.repartition(*three).sortWithinPartitions(*three, "sig", "tid").mapInArrow(
+        _lead(three), "tid long, root long"), "forest-led").select(F.col("tid").alias("u"), F.col("root").alias("v"))
     likely = components(joined).select(F.col("node").alias("tid"), F.col("component").alias("comp"))
 
     members = likely.join(texts.select("tid", "rep", "copies", "n"), "tid")

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or a known answer, and its odd inputs:
 nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import json
 import math
 import re
 
@@ -330,6 +331,61 @@ def test_near_duplicates_match_brute_force(spark, empty, monkeypatch):
     assert lsh_forest.near_duplicates(odd).count() == 9 and lsh_forest.one_of_each(odd).count() == 8
 
 
+def test_nodes_of_a_big_bucket_meet_in_bounded_groups(spark, monkeypatch, tmp_path):
+    plain = lsh_forest._lead
+
+    def watched(keys, *more):
+        folder, run = str(tmp_path), plain(keys, *more)
+
+        def fn(batches):
+            import collections
+            import json
+            import uuid
+            batches, groups = list(batches), collections.defaultdict(list)
+            for b in batches:
+                for *key, tid in zip(*(b.column(c).to_pylist() for c in (*keys, "tid"))):
+                    groups[tuple(key)].append(tid)
+            with open(f"{folder}/{uuid.uuid4()}", "w") as out:
+                json.dump([(k[0], v) for k, v in groups.items()], out)
+            yield from run(iter(batches))
+        return fn
+
+    monkeypatch.setattr(lsh_forest, "_lead", watched)
+    monkeypatch.setattr(lsh_forest, "SALT_ROWS", 64)
+    r, texts = np.random.default_rng(6), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(400):  # mostly under NEAR to each other
+        ws = list(base)
+        for k in r.integers(0, 120, 3):
+            ws[k] = f"x{i}y{k}"
+        texts.append(" ".join(ws))
+    chain = [f"c{i}" for i in range(120 + 100 * 11)]
+    texts += [" ".join(chain[11 * i:11 * i + 120]) for i in range(100)]  # only neighbours are linked
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in lsh_forest.near_duplicates(docs).collect()}
+    assert {got[i].class_id for i in range(400, 500)} == {400}
+    groups = [g for f in tmp_path.iterdir() for g in json.loads(f.read_text())]
+    assert max(len(tids) for _, tids in groups) <= 1.5 * 64  # 60 expected
+    nodes, met = {}, {}
+    for bucket, tids in groups:
+        nodes.setdefault(bucket, set()).update(tids)
+        met.setdefault(bucket, set()).update((a, b) for a in tids for b in tids)
+    assert max(len(x) for x in nodes.values()) > 128
+    assert all(len(met[b]) == len(x) ** 2 for b, x in nodes.items())
+
+
+def test_a_chain_over_many_blocks_is_one_class(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "SALT_ROWS", 4)
+    texts = []
+    for k in range(60):
+        words = [f"c{k}w{i}" for i in range(400)]
+        texts += [" ".join(words[4 * i:4 * i + 120]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lsh_forest.near_duplicates(docs).collect()
+    assert all(x.class_id == x.doc_id // 40 * 40 for x in got)
+    assert all(x.links == min(3, x.doc_id % 40) + min(3, 39 - x.doc_id % 40) for x in got)
+
+
 def test_prefix_is_shortened_to_the_recall():
     d = lsh_forest.prefix_length()
     reach = [1 - (1 - 0.8 ** k) ** lsh_forest.TREES for k in (d, d + 1)]
