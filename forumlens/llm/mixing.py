@@ -6,14 +6,15 @@ sum to the wished total. The mix is dealt out in blocks of ``block_words`` words
 
 1. blocks go to sources by highest quotients ``votes / (2k + 1)`` of their targets;
 2. each source's blocks go the same way to its racks of ``RACK`` shards, and a rack's to
-   its shards (documents are hashed into shards of about ``shard_words`` words), which
-   gives an integer quota per shard and source;
-3. in each shard the source's documents form a ring in seeded order, cut into blocks
-   from a seeded start; the quota takes the ring's blocks from there on, round after
-   round. A quota is at most three rounds, so no document is taken over 3 times.
-
-No group is larger than a shard's part of one source, however large a source is.
-Rounding leaves a source at most half a block a shard from its target.
+   its shards (a source's documents are hashed into shards of about ``shard_words`` of its
+   words). A quota is at most three rounds of the words; what is over goes word by word to
+   the source's other racks and shards with room;
+3. in each shard the documents form a ring in seeded order, cut into blocks from a
+   seeded start; the quota takes the ring's words from there on, round after round, so
+   no document is taken over 3 times.
+
+No group is larger than a shard of one source, however large a source is. Only step 1
+rounds: a source takes its blocks in whole, or all three rounds of its words.
 """
 
 from __future__ import annotations
@@ -92,6 +93,23 @@ def _by_source(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
     return a.join(b, on).select("a.*", *[f"b.{c}" for c in right.columns if c != "source" and c not in more])
 
 
+def deal(rows: DataFrame, group: list[str], order: str, block_words: int) -> DataFrame:
+    """Adds ``take``: the group's ``total`` words dealt to its rows, whole blocks by highest
+    quotients of ``words``, at most ``CAP * words`` each. Words over that, and a part of a
+    block, go to rows with room, first by ``order``. Takes add up to ``total`` if that is
+    not over the group's ``CAP * words``."""
+    every = Window.partitionBy(*group)
+    before = every.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = apportion(rows.withColumn("vote", F.col("words").cast("double")).withColumn(
+        "seats", F.expr(f"total div {block_words}")), group, [F.col(order)])
+    dealt = dealt.withColumn("_most", F.col("words") * CAP).withColumn(
+        "_first", F.least(F.col("quota") * block_words, "_most"))
+    dealt = dealt.withColumn("_left", F.col("total") - F.sum("_first").over(every)
+                             - F.coalesce(F.sum(F.col("_most") - F.col("_first")).over(before), F.lit(0)))
+    return dealt.withColumn("take", F.col("_first") + F.greatest(F.lit(0), F.least(
+        "_left", F.col("_most") - F.col("_first")))).drop("vote", "seats", "quota", "_most", "_first", "_left")
+
+
 def mix(docs: DataFrame, block_words: int = 4, shard_words: int = 100_000, seed: int = 7) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each row of ``docs``.
 
@@ -101,29 +119,27 @@ def mix(docs: DataFrame, block_words: int = 4, shard_words: int = 100_000, seed:
     an empty table gives no rows. Columns other than doc_id, text, source are not used.
     """
     sized = scratch(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(per_source)
-    # One number, so that shards hold about shard_words words.
-    shards = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // shard_words))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
+    # A shard holds about shard_words words, and no more rows than that, of one source.
+    per_source = scratch(sized.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.greatest(F.lit(1), F.ceil(F.greatest(
+            F.sum("size"), F.count(F.lit(1))) / shard_words)).cast("long").alias("shards")), "mix-sources")
+    targets = source_targets(per_source.select("source", "source_size"))
+    # One row a source, as in the windows of the targets.
+    dealt = _by_source(sized, F.broadcast(per_source.select("source", "shards"))).withColumn(
+        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards"))).drop("shards")
 
     blocks = targets.withColumn("vote", F.col("target")).withColumn(
         "seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long"))
     blocks = apportion(blocks.withColumn("_all", F.lit(0)), ["_all"], [F.col("source").asc_nulls_last()])
-    blocks = blocks.select("source", "source_size", "target", F.col("quota").alias("seats"))
+    blocks = blocks.select("source", "source_size", "target", F.least(
+        F.col("quota") * block_words, F.col("source_size") * CAP).alias("total"))
     parts = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn(
         "rack", F.expr(f"shard div {RACK}"))
-
-    def vote(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("vote", F.col("words").cast("double"))
-
     racks = parts.groupBy("source", "rack").agg(F.sum("words").alias("words"))
-    racks = apportion(vote(_by_source(racks, blocks)), ["source"], [F.col("rack")]).select(
-        "source", "rack", "source_size", "target", F.col("quota").alias("seats"))
-    quotas = apportion(vote(_by_source(parts, racks, "rack")), ["source", "rack"], [F.col("shard")])
-    quotas = quotas.select(
-        "source", "shard", "words", "source_size", "target",
-        (F.least("quota", F.floor(F.col("words") * CAP / block_words)) * block_words).cast("long").alias("take"),
+    racks = deal(_by_source(racks, blocks), ["source"], "rack", block_words).select(
+        "source", "rack", "source_size", "target", F.col("take").alias("total"))
+    quotas = deal(_by_source(parts, racks, "rack"), ["source", "rack"], "shard", block_words).select(
+        "source", "shard", "words", "source_size", "target", "take",
         F.when(F.col("words") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), F.col("words")))
         .otherwise(F.lit(0)).cast("long").alias("start"))
 

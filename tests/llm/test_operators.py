@@ -138,6 +138,24 @@ def test_mix_targets_and_takes(spark, empty):
     assert {g.taken for g in mixing.mix(odd_docs(spark).where("doc_id in (2, 3)")).collect()} == {0}
 
 
+def test_mix_of_small_sources_of_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RACK", 4)
+    rows = [(i, sentence(40, i % 50), "big") for i in range(3000)]
+    for name, words, n in (("one", 1, 150), ("two", 2, 90), ("five", 5, 40), ("single", 1, 1), ("none", 0, 30)):
+        rows += [(len(rows) + k, sentence(words, k), name) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {s: 0 for _, _, s in rows}
+    for _, t, s in rows:
+        size[s] += len(re.findall(common.WORD, t))
+    want = water_level(size)
+    for shard_words in (100, 11):
+        taken = dict.fromkeys(size, 0)
+        for g in mixing.mix(docs, shard_words=shard_words).collect():
+            assert 0 <= g.taken <= 3 * g.size
+            taken[rows[g.doc_id][2]] += g.taken
+        assert all(abs(taken[s] - want[s]) <= 4 for s in size), (taken, want)
+
+
 def test_apportionment_is_sainte_lague(spark):
     r = np.random.default_rng(8)
     rows, want = [], {}
