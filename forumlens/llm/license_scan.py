@@ -22,7 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Opening or reference lines of public licenses, and their SPDX identifiers.
+#: Reference lines, notices and grants of public licenses, and their SPDX identifiers.
+#: The notices of the GNU licenses differ by a word or two among versions, so they name the family.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -34,6 +35,23 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
             "provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+            "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a "
+                   "perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to "
+                   "reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and "
+                   "distribute the Work and such Derivative Works in Source or Object form."),
+    ("GPL", "under the terms of the GNU General Public License as published"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License as published"),
+    ("CC0-1.0", "have dedicated all copyright and related and neighboring rights to this software to the public domain "
+                "worldwide. This software is distributed without any warranty."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 SHINGLE = 3
 
@@ -88,7 +106,7 @@ def _minhashes(sh: Column, bands: int) -> Column:
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, min_containment: float = 0.8,
          recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, license, containment, word_at, windows), one for each document and
-    template whose best window has at least ``min_containment`` of the template's shingles.
+    license of which a window has at least ``min_containment`` of a template's shingles.
 
     ``word_at``: first word (from 0) of the first such window; ``windows``: how many hold it.
     Null and empty texts match nothing; rows with the same id are one document; a null id

@@ -238,6 +238,26 @@ def test_license_scan_against_brute_force(spark, empty):
     assert twice.count() == 1
 
 
+def test_license_texts_and_reserved_rights(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    gnu = """# This {0} is free software; you can redistribute it and/or modify it under the
+# terms of the GNU {1}General Public License as published by the Free Software
+# Foundation; either version {2} of the License, or (at your option) any later version."""
+    texts = [("LicenseRef-All-Rights-Reserved", "All rights reserved."), ("MIT", mit), ("GPL", gnu.format("program", "", 2)),
+             ("LGPL", gnu.format("library", "Lesser ", 2.1)),
+             ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee "
+                     "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")]
+    docs = spark.createDataFrame([(i, f"{sentence(40 * i, i)}\n{t}\n{sentence(30, i + 50)}") for i, (_, t) in enumerate(texts)]
+                                 + [(99, "all of it was reserved by rights")], "doc_id long, text string")
+    got = sorted((x.doc_id, x.license) for x in license_scan.scan(docs).collect())
+    assert got == [(i, name) for i, (name, _) in enumerate(texts)]
+
+
 def test_required_words_lose_nothing():
     for _, t in license_scan.TEMPLATES:
         sh = license_scan._shingles(license_scan._words(t))
