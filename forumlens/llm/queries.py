@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import (ann_mih, decontam, lang_bitmask, license_scan, lsh_forest, mixing, quality_ftrl,
-                           token_hist, toxicity_pu, url_filter)
+from forumlens.llm import (ann_mih, decontam, hard_negatives, lang_bitmask, license_scan, lsh_forest, mixing,
+                           quality_ftrl, token_hist, toxicity_pu, url_filter)
 from forumlens.llm.common import fold, prepare
 
 
@@ -97,6 +97,13 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.train(url_filter.label_by_rules(pages)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the first 5 positives of every row whose vec_id is divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -108,7 +115,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
 
     found = [op1_ann_mih, op2_language_bitmask, op3_mix_sainte_lague, op4_decontaminate_qgrams, op5_license_minhash,
-             op6_quality_ftrl, op7_token_histogram, op8_jaccard_forest, op9_toxicity_pu, op10_url_rules]
+             op6_quality_ftrl, op7_token_histogram, op8_jaccard_forest, op9_toxicity_pu, op10_url_rules,
+             op11_hard_negatives]
     return {f.__name__: ready(f) for f in found} | {"pipeline": corpus_pipeline.run}
 
 
