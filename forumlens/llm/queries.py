@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlens.llm import (ann_mih, decontam, hard_negatives, lang_bitmask, license_scan, lsh_forest, mixing,
-                           quality_ftrl, token_hist, toxicity_pu, url_filter)
+                           quality_ftrl, superminhash, token_hist, toxicity_pu, url_filter, vector_codes)
 from forumlens.llm.common import fold, prepare
 
 
@@ -104,6 +104,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-part codes of all vectors after six rounds, with errors by row and by label."""
+    codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    codes = codes.alias("c")
+    sums = codes.groupBy("label").agg(F.sum("error").alias("label_error")).alias("s")
+    return codes.join(sums, F.col("c.label").eqNullSafe(F.col("s.label"))).select(
+        "c.vec_id", F.lower(F.hex("c.code")).alias("code"), "c.error", "s.label_error",
+        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near duplicates of every document under 4-word Jaccard 0.8."""
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -116,7 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     found = [op1_ann_mih, op2_language_bitmask, op3_mix_sainte_lague, op4_decontaminate_qgrams, op5_license_minhash,
              op6_quality_ftrl, op7_token_histogram, op8_jaccard_forest, op9_toxicity_pu, op10_url_rules,
-             op11_hard_negatives]
+             op11_hard_negatives, op12_vector_codes, op13_superminhash]
     return {f.__name__: ready(f) for f in found} | {"pipeline": corpus_pipeline.run}
 
 
