@@ -42,6 +42,7 @@ LOOSE = 0.62                            # 4.8 standard deviations under 0.8 for
 BUCKET_ROWS = 8192                      # nodes of a bucket in a block
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20  # of a component in a block
 LEADERS = 8
+FILTER_WORDS = 1 << 18                  # rows of 64 bits in the filter of wanted texts
 SIGN_BYTES = 1 << 19                    # of text whose elements deal their places together
 
 _STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -272,6 +273,20 @@ def _likely(nodes: DataFrame) -> DataFrame:
     return likely.join(rank, "sid")
 
 
+def _wanted(docs: DataFrame, tids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``tid`` may be in ``tids``, so that only few texts travel.
+
+    A filter of hashed bits, of a fixed size (at most ``FILTER_WORDS`` rows, hence the
+    broadcast); when very many texts are wanted it fills up and lets more pass.
+    """
+    h = F.xxhash64("tid", F.lit(134))
+    word, bit = F.pmod(h, F.lit(FILTER_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = tids.select(word.alias("word"), flag.alias("flag")).groupBy("word").agg(F.bit_or("flag").alias("flags"))
+    tagged = docs.withColumn("word", word).join(F.broadcast(words), "word")
+    return tagged.where(F.col("flags").bitwiseAND(flag) != 0).select(*docs.columns)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Edges (u, v) whose components are those of all links between sets."""
     members = _likely(nodes).join(nodes.select("sid", "n", "rep", "tid"), "sid")
@@ -279,7 +294,7 @@ def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                                                    F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = scratch(members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(132)), F.col("blocks"))),
                       "super-members")
-    m, d = members.alias("m"), docs.alias("d")
+    m, d = members.alias("m"), _wanted(docs, members.select("tid")).alias("d")
     texts = scratch(d.join(m, (F.col("d.tid") == F.col("m.tid")) & F.col("d.doc_id").eqNullSafe(F.col("m.rep"))).select(
         "m.comp", "m.sid", "m.rank", "m.blocks", "m.block", "d.text").dropDuplicates(["sid"]), "super-texts")
     keys = ["comp", "low", "high"]
