@@ -68,40 +68,39 @@ def learn(x: np.ndarray, norm: float, k: int, recall: float = RECALL, seed: int
 
 # A block's index holds 256 bitmaps of its entries for each substring: the buckets that
 # probing from a value reaches, joined, so that probing is an OR of one bitmap a substring.
+def buckets(cx: np.ndarray, radius: int) -> np.ndarray:
+    """(substrings, 256, bytes) bitmaps: by query value, the entries that pigeonhole probing reaches."""
+    a, b = divmod(radius, cx.shape[1])
+    reach = [a if t <= b else a - 1 for t in range(cx.shape[1])]
+    return np.stack([np.packbits((_AWAY <= r)[:, cx[:, t]], axis=1) for t, r in enumerate(reach) if r >= 0])
+
+
 def search_block(codes: Codes, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, entry, score) of the k best entries found for each query; the radius grows for a
-    query until it has k of them or all. Ties go to smaller ids."""
+    """(query, entry, score) of the k best entries found for each query, and how many entries were
+    probed in all; the radius grows for a query until it has k of them or all. Ties go to smaller
+    ids. Distances are worked out for probed entries only, scores for those within the radius."""
     cx, cq = codes.of(x, False), codes.of(q, True)
     m, k = cx.shape[1], min(k, len(x))
-    wx, wq = np.ascontiguousarray(cx.view(np.uint64).T), cq.view(np.uint64)
-
-    def buckets(radius: int) -> list[np.ndarray]:
-        """For each substring: by query value, the entries that pigeonhole probing reaches."""
-        a, b = divmod(radius, m)
-        reach = [a if t <= b else a - 1 for t in range(m)]
-        return [(_AWAY <= r)[:, cx[:, t]] for t, r in enumerate(reach) if r >= 0]
-
-    index = {codes.radius: buckets(codes.radius)}
-    out = []
+    wx, wq = cx.view(np.uint64), cq.view(np.uint64)
+    index = {codes.radius: buckets(cx, codes.radius)}
+    out, probed = [], 0
     for i in range(len(q)):
         radius = codes.radius
         while True:
             if radius not in index:
-                index[radius] = buckets(radius)
-            cand = index[radius][0][cq[i, 0]].copy()
-            for t, reached in enumerate(index[radius][1:], 1):
-                cand |= reached[cq[i, t]]
-            away = np.zeros(len(x), np.uint16)
-            for w, own in zip(wx, wq[i]):
-                away += np.bitwise_count(w ^ own)
-            at = np.flatnonzero(cand & (away <= radius))
+                index[radius] = buckets(cx, radius)
+            maps = index[radius]
+            reached = np.bitwise_or.reduce(maps[np.arange(len(maps)), cq[i, :len(maps)]], axis=0)
+            at = np.flatnonzero(np.unpackbits(reached, count=len(x)))
+            probed += len(at)
+            at = at[np.bitwise_count(wx[at] ^ wq[i]).sum(1, dtype=np.uint16) <= radius]
             if len(at) >= k or radius >= BITS:
                 break
             radius = min(BITS, radius + m // 4)
         s = (x[at] * q[i]).sum(1)
         best = np.lexsort((ids[at], -s))[:k]
         out.append((np.full(len(best), i), at[best], s[best]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+    return *(np.concatenate(c) for c in zip(*out)), probed
 
 
 def valid(v: Column) -> Column:
@@ -153,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"qid": [], "cid": [], "score": []})
         ids = r["cid"].to_numpy()
-        qi, at, s = search_block(codes.value, np.stack(q["embedding"]), np.stack(r["embedding"]), ids, k + 1)
+        qi, at, s, _ = search_block(codes.value, np.stack(q["embedding"]), np.stack(r["embedding"]), ids, k + 1)
         return pd.DataFrame({"qid": q["cid"].to_numpy()[qi], "cid": ids[at], "score": s})
 
     # k + 1 distinct vectors hold the k nearest rows besides the query's own, and of equal
