@@ -39,6 +39,17 @@ def hash_share(key: Column, seed: int, share: Column | float) -> Column:
     return unit < share
 
 
+def with_texts(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """``chosen`` (doc_id, ...; each id once, a bounded sample) with the text of its document.
+
+    Only the chosen documents' texts travel. Of an id's texts the smallest counts, an id
+    without one in (doc_id, text) is left out; null texts are empty.
+    """
+    few = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    others = [c for c in chosen.columns if c != "doc_id"]
+    return few.groupBy("doc_id", *others).agg(F.min("text").alias("text"))
+
+
 def unnamed(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     """``df`` with columns c0, c1, ... (no name can clash), and the new names of ``wanted``."""
     names = [f"c{i}" for i in range(len(df.columns))]

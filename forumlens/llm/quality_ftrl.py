@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from forumlens.llm.common import (batch_column, dense, doc_index, grams, hash_share, lower_bytes, mix, sigmoid,
-                                  span_hashes, text_chunks, words)
+                                  span_hashes, text_chunks, with_texts, words)
 
 BUCKETS = 1 << 18
 SAMPLE = 8000   # labelled texts, in expectation
@@ -78,16 +78,19 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(labelled: DataFrame, most: int = SAMPLE) -> np.ndarray:
-    """Weights from (doc_id, text, label); about ``most`` rows, by a hash of the id.
+def train(labelled: DataFrame, most: int = SAMPLE, texts: DataFrame | None = None) -> np.ndarray:
+    """Weights from (doc_id, label) and ``texts`` (doc_id, text), which may be one table.
 
-    Rows with a null id or label are left out; a null text is an empty one. Without any
-    row the weights are 0 and every score is 0.5.
+    About ``most`` ids are chosen, by a hash, before any text is read. Rows with a null id or
+    label are left out, of an id's labels the largest counts and of its texts the smallest; a
+    null text is an empty one. Without any row the weights are 0 and every score is 0.5.
     """
-    rows = labelled.where("label is not null and doc_id is not null")
+    texts = labelled if texts is None else texts
+    rows = labelled.where("label is not null and doc_id is not null").select("doc_id", "label")
     total = rows.count()
-    chosen = rows.where(hash_share(F.col("doc_id"), 31, most / max(1, total))).select(
-        "text", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id", F.lit(32)).alias("turn"))
+    ids = rows.where(hash_share(F.col("doc_id"), 31, most / max(1, total))).groupBy("doc_id").agg(
+        F.max(F.col("label").cast("double")).alias("label"))
+    chosen = with_texts(ids, texts).select("text", "label", F.xxhash64("doc_id", F.lit(32)).alias("turn"))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["turn", "label"], kind="stable")

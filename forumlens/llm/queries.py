@@ -22,19 +22,19 @@ def _held_out(mod: int, rest: int) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, column: str, how: str) -> DataFrame:
-    """(doc_id, text, label); of repeated labels the largest counts."""
+    """(doc_id, label), without texts; of repeated labels the largest counts."""
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(column).alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id", how).select("doc_id", "text", "label")
+    return docs.select("doc_id").join(known, "doc_id", how)
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame):
     learn = F.coalesce(fold(F.col("doc_id"), 3) != 1, F.lit(False))
-    return quality_ftrl.train(_labelled(docs, labels, "quality", "inner").where(learn))
+    return quality_ftrl.train(_labelled(docs.where(learn), labels, "quality", "inner"), texts=docs)
 
 
 def toxicity_weights(docs: DataFrame, labels: DataFrame):
     learn = F.coalesce(fold(F.col("doc_id"), 5) != 0, F.lit(False))
-    return toxicity_pu.train(_labelled(docs, labels, "toxic", "left").where(learn))
+    return toxicity_pu.train(_labelled(docs.where(learn), labels, "toxic", "left"), texts=docs)
 
 
 def op1_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:

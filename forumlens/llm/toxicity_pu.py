@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from forumlens.llm.common import (batch_column, dense, doc_index, grams, hash_share, lower_bytes, mix, sigmoid,
-                                  span_hashes, text_chunks, words)
+                                  span_hashes, text_chunks, with_texts, words)
 
 BUCKETS = 1 << 20
 POSITIVES, UNLABELLED = 4000, 12000  # texts, in expectation
@@ -94,14 +94,17 @@ def fit(texts: pd.Series, positive: np.ndarray, prior: float) -> tuple[np.ndarra
 
 
 def train(learn: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
-          prior: float | None = None) -> np.ndarray:
-    """Weights from (doc_id, text, label): label 1 marks confirmed toxic texts, and rows of
-    any label or none are the unlabelled. ``prior``: the share of toxic texts; if not
-    given, the share of 1 among the non-null labels. Null ids are left out, null texts are
-    empty. Without a positive or an unlabelled text the weights are those of the prior alone
-    (0.5 if there is no label).
+          prior: float | None = None, texts: DataFrame | None = None) -> np.ndarray:
+    """Weights from (doc_id, label) and ``texts`` (doc_id, text), which may be one table: label 1
+    marks confirmed toxic texts, and rows of any label or none are the unlabelled.
+
+    ``prior``: the share of toxic texts; if not given, the share of 1 among the non-null
+    labels. Both samples are chosen by id before any text is read. Null ids are left out,
+    null texts are empty, of an id's texts the smallest counts. Without a positive or an
+    unlabelled text the weights are those of the prior alone (0.5 if there is no label).
     """
-    rows = learn.where("doc_id is not null")
+    texts = learn if texts is None else texts
+    rows = learn.where("doc_id is not null").select("doc_id", "label")
     n, n_1, n_known = rows.agg(F.count(F.lit(1)), F.sum((F.col("label") == 1).cast("long")), F.count("label")).first()
     if prior is None:
         prior = (n_1 or 0) / n_known if n_known else 0.5
@@ -110,12 +113,15 @@ def train(learn: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABE
         out = np.zeros(BUCKETS)
         out[0] = np.log(prior / (1 - prior)) if n_known else 0.0
         return out
-    pos = rows.where((F.col("label") == 1) & hash_share(F.col("doc_id"), 41, positives / n_1))
-    unl = rows.where(hash_share(F.col("doc_id"), 42, unlabelled / n))
+    is_pos = F.coalesce((F.col("label") == 1) & hash_share(F.col("doc_id"), 41, positives / n_1), F.lit(False))
+    is_unl = hash_share(F.col("doc_id"), 42, unlabelled / n)
+    ids = rows.select("doc_id", is_pos.alias("pos"), is_unl.alias("unl")).where("pos or unl").groupBy("doc_id").agg(
+        F.max("pos").alias("pos"), F.max("unl").alias("unl"))
+    chosen = with_texts(ids, texts)
     member = F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(MEMBERS)).cast("int")
-    both = pos.select(F.explode(F.array(*[F.lit(m) for m in range(MEMBERS)])).alias("member"), "doc_id", "text",
-                      F.lit(True).alias("positive")).unionByName(
-        unl.select(member.alias("member"), "doc_id", "text", F.lit(False).alias("positive")))
+    both = chosen.where("pos").select(F.explode(F.array(*[F.lit(m) for m in range(MEMBERS)])).alias("member"), "doc_id", "text",
+                                      F.lit(True).alias("positive")).unionByName(
+        chosen.where("unl").select(member.alias("member"), "doc_id", "text", F.lit(False).alias("positive")))
 
     def learn_one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["positive", "doc_id"], kind="stable")
