@@ -24,7 +24,7 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 BUCKETS = 1 << 13
 GRAM = 3
-SAMPLE = 4000  # labelled urls at most, in expectation
+SAMPLE = 4000  # labelled urls, in expectation
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -77,13 +77,17 @@ def train(labelled: DataFrame) -> LogisticRegressionModel | None:
 
 
 def label_by_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most: int = SAMPLE) -> DataFrame:
-    """A small labelled table: a seeded share, ``most`` urls in expectation, of those a rule decides."""
+    """A small labelled table (url, label): of the different urls that a rule decides, a seeded
+    share of each label, about ``most`` / 2 of it or all. Repeated urls count once."""
     host, path = host_and_path(F.col("url"))
     verdicts = dict(rules)
     ruled = pages.select("url", rule_of(host, path, rules).alias("rule")).where("rule is not null")
-    total = ruled.count()
     label = F.when(F.col("rule").isin([r for r, v in verdicts.items() if v == "block"]), 1).otherwise(0)
-    return ruled.where(hash_share(F.col("url"), 11, most / max(1, total))).select("url", label.alias("label"))
+    ruled = ruled.select("url", label.alias("label"))
+    share = F.lit(0.0)
+    for value, n in ruled.groupBy("label").agg(F.approx_count_distinct("url")).collect():  # two rows
+        share = F.when(F.col("label") == value, F.lit(most / 2 / max(1, n))).otherwise(share)
+    return ruled.where(hash_share(F.col("url"), 11, share)).distinct()
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel | None,
