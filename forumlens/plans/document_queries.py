@@ -6,17 +6,20 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from forumlens.operators import assemble as AM
 from forumlens.operators import formats as FM
 from forumlens.operators import outcomes as O
 from forumlens.operators import posts as P
 from forumlens.operators import vocab as V
 from forumlens.operators.outcomes import split_filter
+from forumlens.plans.outcome_queries import OUTCOMES_CTE, UPSERT_SPLIT_DAY
 from forumlens.plans.registry import register
 from forumlens.plans.report_queries import K
 from forumlens.plans.sqlparts import ml_tag_sql, posts_cte, tokens_cte, vocab_cte
 from forumlens.plans.text_queries import _BOW_SQL, _vocab_and_bow
 from forumlens.session import ensure_checkpoint_dir
 from forumlens.sources import catalog as C
+from forumlens.sources import keyed as KD
 from forumlens.sources import landed as L
 from forumlens.sources import store as S
 from forumlens.sources.tables import (catalog_artefacts, catalog_runs, catalog_steps, outcomes, posts, table,
@@ -146,6 +149,57 @@ def qa_counts(spark, sf_dir):
         F.count(F.when(comment, 1)).alias("n_comments"))
 
 
+PAGE_CHARS = 1000
+
+
+@register("conversation_pages", sql=f"""
+WITH f AS (SELECT conv_id, min(turn) AS asked, min(CASE WHEN role = 'assistant' THEN turn END) AS answered
+           FROM conversations GROUP BY conv_id),
+p AS (SELECT c.conv_id, c.turn, c.text, CASE WHEN c.role = 'assistant' THEN 2 WHEN c.turn = f.asked THEN 0
+             WHEN f.answered IS NULL OR c.turn < f.answered THEN 1 ELSE 3 END AS part
+      FROM conversations c JOIN f ON f.conv_id = c.conv_id WHERE c.text IS NOT NULL),
+w AS (SELECT conv_id, string_agg(text, ' ' ORDER BY part, turn) AS whole FROM p GROUP BY conv_id),
+k AS (SELECT conv_id, whole, unnest(range((greatest(length(whole), 1) - 1) // {PAGE_CHARS} + 1)) AS page FROM w)
+SELECT conv_id, CAST(page AS BIGINT) AS page, substring(whole, page * {PAGE_CHARS} + 1, {PAGE_CHARS}) AS text FROM k""")
+def conversation_pages(spark, sf_dir):
+    """The whole text of every conversation (question, its comments, answers, their comments), in
+    pages of 1000 characters; a conversation of any number of turns is never one row or group."""
+    pieces = AM.conversation_pieces(table(spark, sf_dir, "conversations"))
+    return AM.pages(pieces, "conv_id", PAGE_CHARS)
+
+
+# ------------------------------------------------------------ stored datasets
+
+_LAST = "QUALIFY row_number() OVER (PARTITION BY post_id, result_class_name ORDER BY ts DESC, ord_key DESC) = 1"
+
+
+@register("stored_upsert", sql=f"""
+WITH {OUTCOMES_CTE},
+base AS (SELECT * FROM outcomes WHERE step_label < '{UPSERT_SPLIT_DAY}' {_LAST}),
+upd AS (SELECT * FROM outcomes WHERE step_label >= '{UPSERT_SPLIT_DAY}' AND exit_code = 1 {_LAST}),
+merged AS (SELECT * FROM base WHERE NOT EXISTS (
+             SELECT 1 FROM upd WHERE upd.post_id = base.post_id AND upd.result_class_name = base.result_class_name)
+           UNION ALL SELECT * FROM upd)
+SELECT 'outcomes' AS dataset, post_id AS key, result_class_name AS detail, exit_code FROM merged WHERE modus <> 'test'
+UNION ALL SELECT 'runs', o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END FROM orders""")
+def stored_upsert(spark, sf_dir):
+    """A8 + A9: two stored datasets; the outcomes of the first half of the month are upserted with
+    the failures of the second half, test rows are purged from every dataset that knows the
+    modus, and both are read back from what their manifests name."""
+    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    o = outcomes(spark, sf_dir).select("post_id", "result_class_name", "ord_key", "step_label", "exit_code", "modus", "ts")
+    order = ["ts", "ord_key"]
+    stored = KD.create(o.where(F.col("step_label") < UPSERT_SPLIT_DAY), f"{root}/outcomes", ["post_id", "result_class_name"], order)
+    KD.create(catalog_runs(spark, sf_dir), f"{root}/runs", ["flow_run_id"], ["started_at_timest"])
+    stored.upsert(o.where((F.col("step_label") >= UPSERT_SPLIT_DAY) & (F.col("exit_code") == 1)), order)
+    KD.purge_everywhere(spark, root, "modus", "test")
+    left = KD.open_dataset(spark, f"{root}/outcomes").read().select(
+        F.lit("outcomes").alias("dataset"), F.col("post_id").alias("key"), F.col("result_class_name").alias("detail"), "exit_code")
+    runs = KD.open_dataset(spark, f"{root}/runs").read().select(
+        F.lit("runs").alias("dataset"), F.col("flow_run_id").alias("key"), F.col("topic").alias("detail"), "exit_code")
+    return left.unionByName(runs)
+
+
 # ------------------------------------------------------------ landed records
 
 @register("landed_search", sql=f"""
