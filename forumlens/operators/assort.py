@@ -77,9 +77,8 @@ def with_dense_index(df: DataFrame, order_col, name: str = "idx") -> DataFrame:
     range-partitioned sort plus per-partition offsets (no single-partition
     window over the data)."""
     cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    s = (df.orderBy(*cols)
-         .withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
+    s = scratch(df.orderBy(*cols).withColumn("__pid", F.spark_partition_id()).withColumn(
+        "__mid", F.monotonically_increasing_id()), "dense-index")
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded, so the window and the broadcast are safe

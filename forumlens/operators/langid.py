@@ -5,25 +5,33 @@ A character n-gram naive Bayes model learned from labelled text:
 * texts are lower-cased, every run of non-letters becomes one space, and the
   1- to 3-grams of the padded text are counted inside the row (sorted run
   lengths, no shuffle);
-* training: per language the counts of all its n-grams (partial aggregation), with
-  add-alpha smoothed log-probabilities, and log priors;
-* scoring: the n-grams of a document are joined once with a table of one row per n-gram
-  and one column per language (AQE picks the join and splits frequent n-grams), summed
-  per document, and a softmax inside the row over the (few) languages gives the
-  candidates with probabilities; the top one (first on ties) is the detected language.
+* training: per language the counts of all its n-grams (summed by Arrow batch before the
+  shuffle, so no row for each text's n-gram travels), with add-alpha smoothed
+  log-probabilities, and log priors;
+* scoring: profiles of up to ``IN_ROW_GRAMS`` n-grams (they are counted) go to the executors and
+  each text is scored in its own row; larger ones are joined with the texts' n-grams, one
+  row per n-gram with a column per language. A softmax inside the row over the (few)
+  languages gives the candidates with probabilities; the top one (first on ties) is the
+  detected language.
 
 It is not number-identical to the library the reference used.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from forumlens.sources.scratch import scratch
 
 MAX_N = 3
 ALPHA = 1.0
 OUT_ROWS = 50_000  # of n-grams held before a batch leaves the Python job
+IN_ROW_GRAMS = 1 << 20  # profiles of up to so many n-grams are sent to the executors
+POINT = 21  # bits of a code point; an n-gram of up to three is one 64-bit number
 
 
 def _gram_counts(text: str, max_n: int):
@@ -38,6 +46,56 @@ def _gram_counts(text: str, max_n: int):
     return c
 
 
+def _normalised(text_col: str):
+    """Lower case, runs of other than letters as one space, padded with spaces."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
+                                                       r"[^\p{L}]+", " ")), F.lit(" "))
+
+
+def gram_codes(text: str, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a normalised text as numbers, each once, with their counts (blank ones left out)."""
+    point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code, every, blank = point, [], 0
+    for n in range(max_n):
+        if n:
+            code = code[:-1] | (point[n:] << (POINT * n))
+        blank |= 0x20 << (POINT * n)
+        every.append(code[code != blank])
+    return np.unique(np.concatenate(every), return_counts=True)
+
+
+def code_text(code: int) -> str:
+    out = ""
+    while code:
+        out, code = out + chr(code & ((1 << POINT) - 1)), code >> POINT
+    return out
+
+
+def text_code(gram: str) -> int:
+    return sum(ord(c) << (POINT * i) for i, c in enumerate(gram))
+
+
+def gram_totals(df: DataFrame, text_col: str, lang_col: str, max_n: int = MAX_N) -> DataFrame:
+    """(lang_col, gram, cnt): counts of all n-grams by label, already summed over each Arrow batch."""
+    from forumlens.session import ship_package
+    ship_package(df.sparkSession)
+    d = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias(lang_col), _normalised(text_col).alias("__t"))
+
+    def job(batches):
+        for b in batches:
+            by_lang: dict = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by_lang.setdefault(lang, []).append(gram_codes(text, max_n))
+            for lang, found in by_lang.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                cnt = np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()),
+                                                  pa.array([code_text(int(c)) for c in codes], pa.string()), pa.array(cnt)],
+                                                 [lang_col, "gram", "cnt"])
+
+    return d.mapInArrow(job, f"`{lang_col}` string, gram string, cnt long")
+
+
 def char_grams(df: DataFrame, text_col: str, key_cols, max_n: int = MAX_N) -> DataFrame:
     """(keys..., gram, cnt): distinct character n-grams per row with counts.
 
@@ -47,12 +105,9 @@ def char_grams(df: DataFrame, text_col: str, key_cols, max_n: int = MAX_N) -> Da
     interpreted higher-order functions over 100k-element arrays)."""
     from forumlens.session import ship_package
     ship_package(df.sparkSession)
-    import pyarrow as pa
     from pyspark.sql import types as T
 
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
-                                                         r"[^\p{L}]+", " ")), F.lit(" "))
-    d = df.select(*key_cols, t.alias("__t"))
+    d = df.select(*key_cols, _normalised(text_col).alias("__t"))
     key_fields = [f for f in d.schema.fields if f.name in key_cols]
     out = T.StructType(key_fields + [T.StructField("gram", T.StringType()), T.StructField("cnt", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,9 +141,8 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     log-prob of an unseen gram). ``grams`` (lang, gram, cnt) may be given when
     the n-grams were already counted. Rows without a label teach nothing."""
     labelled = labelled.where(F.col(lang_col).isNotNull())
-    g = grams.where(F.col(lang_col).isNotNull()) if grams is not None else char_grams(
-        labelled.withColumn("__row", F.monotonically_increasing_id()), text_col, ["__row", lang_col])
-    per = g.groupBy(lang_col, "gram").agg(F.sum("cnt").alias("c"))
+    g = grams.where(F.col(lang_col).isNotNull()) if grams is not None else gram_totals(labelled, text_col, lang_col)
+    per = scratch(g.groupBy(lang_col, "gram").agg(F.sum("cnt").alias("c")), "gram-counts")
     tot = per.groupBy(lang_col).agg(F.sum("c").alias("tot"))
     vsize = per.select(F.count_distinct("gram")).scalar()
     docs = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("nd"))
@@ -102,6 +156,32 @@ def train_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return prof, meta
 
 
+def _scores_in_row(df: DataFrame, wide: DataFrame, known: list, key_col: str, text_col: str) -> DataFrame:
+    """(key, s): log-probability of each language, from profiles sent to the executors."""
+    from forumlens.session import ship_package
+    ship_package(df.sparkSession)
+    t = wide.toArrow()  # counted by the caller
+    codes = np.array([text_code(g) for g in t.column("gram").to_pylist()], np.int64)
+    order = np.argsort(codes)
+    logp = [t.column(f"l{i}").to_numpy().astype(float) for i in range(len(known))]
+    logp = np.stack([np.where(np.isnan(x), r.unk, x) for x, r in zip(logp, known)], axis=1)[order]
+    shared = df.sparkSession.sparkContext.broadcast((codes[order], logp, np.array([r.prior for r in known])))
+    d = df.select(key_col, _normalised(text_col).alias("__t"))
+
+    def job(batches):
+        codes, logp, prior = shared.value
+        for b in batches:
+            out = np.tile(prior, (b.num_rows, 1))
+            for i, text in enumerate(b.column(1).to_pylist()):
+                code, cnt = gram_codes(text)
+                at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+                hit = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+                out[i] += cnt[hit] @ logp[at[hit]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), pa.list_(pa.float64()))], [key_col, "s"])
+
+    return d.mapInArrow(job, StructType([d.schema[key_col], StructField("s", ArrayType(DoubleType()))]))
+
+
 def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_id",
            text_col: str = "text", grams: DataFrame | None = None) -> DataFrame:
     """Per row: lang, lang_prob and the candidate lists (by probability).
@@ -110,7 +190,6 @@ def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_
     The profiles become one row per n-gram with a column per language, so that every
     n-gram is joined once and a document's scores are sums; n-grams of no profile count
     for no language, those missing from one profile with its unseen-gram probability."""
-    g = grams if grams is not None else char_grams(df, text_col, [key_col])
     known = meta.orderBy("lang").collect()  # a row for each language
     if not known:
         none = F.lit(None)
@@ -119,10 +198,15 @@ def detect(df: DataFrame, prof: DataFrame, meta: DataFrame, key_col: str = "doc_
     n = range(len(known))
     wide = prof.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == r.lang, F.col("logp"))).alias(f"l{i}")
                                       for i, r in enumerate(known)])
-    sums = g.join(wide, "gram").groupBy(key_col).agg(
-        *[F.sum(F.col("cnt") * F.coalesce(f"l{i}", F.lit(r.unk))).alias(f"s{i}") for i, r in enumerate(known)])
-    scores = df.select(key_col).join(sums, key_col, "left").select(
-        key_col, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + r.prior for i, r in enumerate(known)]).alias("s"))
+    wide = scratch(wide, "profiles")
+    if grams is None and wide.limit(IN_ROW_GRAMS + 1).count() <= IN_ROW_GRAMS:
+        scores = _scores_in_row(df, wide, known, key_col, text_col)
+    else:
+        g = grams if grams is not None else char_grams(df, text_col, [key_col])
+        sums = g.join(wide, "gram").groupBy(key_col).agg(
+            *[F.sum(F.col("cnt") * F.coalesce(f"l{i}", F.lit(r.unk))).alias(f"s{i}") for i, r in enumerate(known)])
+        scores = df.select(key_col).join(sums, key_col, "left").select(
+            key_col, F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) + r.prior for i, r in enumerate(known)]).alias("s"))
     exps = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
     weighed = scores.select(key_col, exps.alias("e")).withColumn(
         "z", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))

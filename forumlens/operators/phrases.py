@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumlens.sources.scratch import scratch
+
 # Phrase defaults and the joining character.
 MIN_COUNT = 20
 THRESHOLD = 0.05
@@ -92,15 +94,15 @@ def phrase_passes(tokens: DataFrame, nr_grams: int, min_count: int = MIN_COUNT,
     list of merged token frames, one per pass). Each pass learns on the
     training documents of the previous pass's output."""
     train_filter = train_filter if train_filter is not None else (F.col("ml_tag") == 0)
-    cur = tokens.checkpoint(eager=True) if checkpoint and checkpoint_input else tokens
+    cur = scratch(tokens, "phrase-input") if checkpoint and checkpoint_input else tokens
     tables, merged = [], []
     for _ in range(nr_grams - 1):
         ph = learn_phrases(cur.filter(train_filter), min_count, threshold, doc_col)
         if checkpoint:
-            ph = ph.checkpoint(eager=True)
+            ph = scratch(ph, "phrases")
         cur = apply_phrases(cur, ph, doc_col)
         if checkpoint:
-            cur = cur.checkpoint(eager=True)
+            cur = scratch(cur, "phrase-tokens")
         tables.append(ph)
         merged.append(cur)
     return tables, merged
@@ -122,6 +124,6 @@ def extended_tokens(tokens: DataFrame, nr_grams: int, min_count: int = MIN_COUNT
     """D5-D8 end to end: the token lists the dictionary and BoW steps use."""
     if nr_grams <= 1:
         return tokens
-    base = tokens.checkpoint(eager=True)  # tokenized once, read by every pass
+    base = scratch(tokens, "phrase-input")  # tokenized once, read by every pass
     _, merged = phrase_passes(base, nr_grams, min_count, threshold, doc_col, checkpoint_input=False)
     return extend_tokens(base, merged, doc_col)

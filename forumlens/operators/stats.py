@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumlens.sources.scratch import scratch
+
 # The percentile set of the distribution summary.
 SUMMARY_PROBS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 0.999)
 
@@ -31,7 +33,7 @@ def with_global_rank(df: DataFrame, col: str) -> DataFrame:
     """
     values = (df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
-    placed = values.orderBy("v").select("v", "cnt", F.spark_partition_id().alias("pid")).checkpoint(eager=True)
+    placed = scratch(values.orderBy("v").select("v", "cnt", F.spark_partition_id().alias("pid")), "ranked")
     w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: a bounded table, so the single-partition window
     # and the broadcast are safe.

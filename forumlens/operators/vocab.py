@@ -12,13 +12,20 @@ Plan shape at scale:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from forumlens.functions.text import tokenize, with_run_lengths
 from forumlens.operators.assort import with_dense_index
 
 KEY_COLS = ("post_id", "ord_key", "ml_tag")
+IN_ROW_TOKENS = 1 << 20  # a dictionary of up to so many tokens is sent to the executors
 
 
 def tokens_frame(posts: DataFrame, text_col: str = "text", to_lower_case: bool = True,
@@ -59,6 +66,18 @@ def doc_term_counts(tokens: DataFrame, key_cols=KEY_COLS) -> DataFrame:
             .select(*keys, F.col("e.token").alias("token"), F.col("e.cnt").alias("cnt")))
 
 
+def kept_tokens(tokens: DataFrame, no_below: int = 1, no_above: float = 1.0, doc_col: str = "ord_key",
+                train_only: bool = True) -> DataFrame:
+    """(token, df, cf, first_doc) of the tokens of the training documents that pass the limits."""
+    train = tokens.filter(F.col("ml_tag") == 0) if train_only and "ml_tag" in tokens.columns else tokens
+    n_docs = train.select(F.count(F.lit(1))).scalar()
+    per_token = (doc_term_counts(train, (doc_col,))
+                 .groupBy("token")
+                 .agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cf"),
+                      F.min(doc_col).alias("first_doc")))
+    return per_token.filter((F.col("df") >= no_below) & (F.col("df") <= F.floor(F.lit(float(no_above)) * n_docs)))
+
+
 def build_vocabulary(tokens: DataFrame, no_below: int = 1, no_above: float = 1.0,
                      keep_n: int | None = None, doc_col: str = "ord_key",
                      train_only: bool = True) -> DataFrame:
@@ -70,13 +89,7 @@ def build_vocabulary(tokens: DataFrame, no_below: int = 1, no_above: float = 1.0
     ``keep_n`` most frequent by df (ties by id order) survive, if it is given, and
     ids are compacted in id order.
     """
-    train = tokens.filter(F.col("ml_tag") == 0) if train_only and "ml_tag" in tokens.columns else tokens
-    n_docs = train.select(F.count(F.lit(1))).scalar()
-    per_token = (doc_term_counts(train, (doc_col,))
-                 .groupBy("token")
-                 .agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cf"),
-                      F.min(doc_col).alias("first_doc")))
-    kept = per_token.filter((F.col("df") >= no_below) & (F.col("df") <= F.floor(F.lit(float(no_above)) * n_docs)))
+    kept = kept_tokens(tokens, no_below, no_above, doc_col, train_only)
     if keep_n is not None:
         # Distributed top-k (TakeOrderedAndProject): bounded by keep_n rows.
         kept = kept.orderBy(F.col("df").desc(), "first_doc", "token").limit(keep_n)
@@ -87,10 +100,45 @@ def build_vocabulary(tokens: DataFrame, no_below: int = 1, no_above: float = 1.0
         "token", F.col("token_id").cast("int"), "df", "cf", "first_doc")
 
 
-def bag_of_words(tokens: DataFrame, vocab: DataFrame, key_cols=KEY_COLS) -> DataFrame:
+def bag_of_words(tokens: DataFrame, vocab: DataFrame, key_cols=KEY_COLS, most: int = IN_ROW_TOKENS) -> DataFrame:
     """Per document ``keys`` (ascending ids), ``values`` (counts),
     ``key_tokens``; unknown tokens dropped; documents without known tokens keep
-    empty arrays. Applied to every split."""
+    empty arrays. Applied to every split.
+
+    A dictionary of up to ``most`` tokens (it is counted) goes to the executors, and each
+    bag is made in its own row, without a shuffle. A larger one is joined by token."""
+    few = vocab.select("token", "token_id").limit(most + 1).count() <= most
+    return _bags_in_row(tokens, vocab, key_cols) if few else _bags_by_join(tokens, vocab, key_cols)
+
+
+def _bags_in_row(tokens: DataFrame, vocab: DataFrame, key_cols) -> DataFrame:
+    known = vocab.select("token", F.col("token_id").cast("int").alias("token_id")).orderBy("token_id").toArrow()  # counted
+    shared = tokens.sparkSession.sparkContext.broadcast((known.column("token").combine_chunks(),
+                                                         known.column("token_id").to_numpy()))
+    src = tokens.select(*[c for c in key_cols if c in tokens.columns], "tokens")
+    out = StructType([*src.schema.fields[:-1], StructField("keys", ArrayType(IntegerType())),
+                      StructField("values", ArrayType(LongType())), StructField("key_tokens", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = shared.value
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(pc.index_in(flat, value_set=names.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(batch.num_rows), size)
+            hit = place >= 0
+            key, count = np.unique(doc[hit] * max(1, len(ids)) + place[hit], return_counts=True)
+            at = key % max(1, len(ids))
+            offs = pa.array(np.searchsorted(key // max(1, len(ids)), np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offs, v) for v in (
+                pa.array(ids[at], pa.int32()), pa.array(count, pa.int64()), names.take(pa.array(at)).cast(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*batch.schema.names[:-1], "keys", "values", "key_tokens"])
+
+    return src.mapInArrow(run, out)
+
+
+def _bags_by_join(tokens: DataFrame, vocab: DataFrame, key_cols) -> DataFrame:
     keys = [c for c in key_cols if c in tokens.columns]
     bag = with_run_lengths(tokens.select(*keys, "tokens"), "tokens", "bag")
     ex = bag.select(*keys, F.explode_outer("bag").alias("e")).select(

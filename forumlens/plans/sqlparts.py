@@ -36,7 +36,7 @@ def posts_cte() -> str:
 
 
 def tokens_cte() -> str:
-    return f"toks AS (SELECT post_id, ord_key, ml_tag, {tokens_sql('text')} AS tokens FROM posts)"
+    return f"toks AS MATERIALIZED (SELECT post_id, ord_key, ml_tag, {tokens_sql('text')} AS tokens FROM posts)"
 
 
 def vocab_cte(no_below: int = 1, no_above: float = 1.0, keep_n: int | None = None) -> str:

@@ -9,6 +9,7 @@ from forumlens.operators import vocab as V
 from forumlens.plans.memo import step
 from forumlens.plans.registry import register
 from forumlens.plans.sqlparts import posts_cte, tokens_cte, vocab_cte, ml_tag_sql
+from forumlens.sources.scratch import scratch
 from forumlens.sources.tables import posts
 
 
@@ -20,9 +21,9 @@ def _vocab_and_bow(spark, sf_dir):
     # tokens, dictionary and bag of words are steps: each is written once
     # and read by every query that needs it
     def build():
-        toks = _tokens(spark, sf_dir).checkpoint(eager=True)
-        vocab = V.build_vocabulary(toks).checkpoint(eager=True)
-        return toks, vocab, V.bag_of_words(toks, vocab).checkpoint(eager=True)
+        toks = scratch(_tokens(spark, sf_dir), "tokens")
+        vocab = scratch(V.build_vocabulary(toks), "vocabulary")
+        return toks, vocab, scratch(V.bag_of_words(toks, vocab), "bag-of-words")
     return step(spark, "vocab_and_bow", sf_dir, build)
 
 
@@ -42,7 +43,7 @@ def _phrase_passes(spark, sf_dir):
 def _ext_tokens(spark, sf_dir, nr_grams):
     def build():
         base, merged = _phrase_passes(spark, sf_dir)
-        return PH.extend_tokens(base, merged[:nr_grams - 1]).checkpoint(eager=True)
+        return scratch(PH.extend_tokens(base, merged[:nr_grams - 1]), "extended-tokens")
     return step(spark, "ext_tokens", sf_dir, build, nr_grams)
 
 
@@ -116,7 +117,7 @@ WITH {posts_cte()}, {tokens_cte()}, {vocab_cte()}
 SELECT count(*) AS vocab_size FROM vocab""")
 def vocabulary_size(spark, sf_dir):
     """D15."""
-    return V.vocabulary_size(V.build_vocabulary(_tokens(spark, sf_dir)))
+    return V.vocabulary_size(V.kept_tokens(_tokens(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ phrases
@@ -126,9 +127,7 @@ _PHRASE_SQL = """
 ptrain AS (SELECT * FROM toks WHERE ml_tag = 0),
 ntot AS (SELECT sum(len(tokens)) AS n FROM ptrain),
 uni AS (SELECT t, count(*) AS c FROM (SELECT unnest(tokens) AS t FROM ptrain) GROUP BY t),
-pr AS (SELECT ord_key,
-              unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 1])) AS a,
-              unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 2])) AS b
+pr AS (SELECT ord_key, unnest(tokens[:len(tokens) - 1]) AS a, unnest(tokens[2:]) AS b
        FROM ptrain WHERE len(tokens) >= 2),
 pc AS (SELECT a, b, count(*) AS n_ab FROM pr GROUP BY a, b HAVING count(*) >= 20),
 sc AS (SELECT pc.a, pc.b, pc.n_ab,
@@ -149,9 +148,8 @@ def phrase_scores(spark, sf_dir):
 
 @register("phrase_tokens", sql=lambda: f"""
 WITH {posts_cte()}, {tokens_cte()}, {_PHRASE_SQL},
-allpr AS (SELECT ord_key, unnest(range(len(tokens) - 1)) AS i,
-                 unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 1])) AS a,
-                 unnest(list_transform(range(len(tokens) - 1), lambda i: tokens[i + 2])) AS b
+allpr AS (SELECT ord_key, unnest(range(len(tokens) - 1)) AS i, unnest(tokens[:len(tokens) - 1]) AS a,
+                 unnest(tokens[2:]) AS b
           FROM toks WHERE len(tokens) >= 2),
 flagged AS (SELECT allpr.* FROM allpr WHERE EXISTS (SELECT 1 FROM phr WHERE phr.a = allpr.a AND phr.b = allpr.b)),
 runs AS (SELECT ord_key, i, i - row_number() OVER (PARTITION BY ord_key ORDER BY i) AS grp FROM flagged),
