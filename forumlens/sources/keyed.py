@@ -64,7 +64,7 @@ class Keyed:
         data = f"{self.path}/data/version={new}"
         rows.select(*self.schema.names).withColumn("bucket", self.bucket()).repartition(
             max(1, min(len(touched), self.buckets)), "bucket").write.partitionBy("bucket").parquet(data)
-        left = {r[0] for r in self.spark.read.parquet(data).select("bucket").distinct().collect()} if touched else set()
+        left = {int(f.split("=")[1]) for f in _folders(self.spark, data) if f.startswith("bucket=")}
         folders = {b: (new if b in left else None) if b in set(touched) else v for b, v in self.folders.items()}
         return _put_manifest(Keyed(self.spark, self.path, new, self.keys, self.schema, folders))
 
