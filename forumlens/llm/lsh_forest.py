@@ -4,16 +4,20 @@ Sets are the 5-word shingles of the lower-cased words; two texts are linked if t
 Jaccard similarity is at least ``threshold``.
 
 1. Equal texts become one node (64-bit hash of the text), with their number of copies.
-2. Each node has ``TREES`` tries of ``DEPTH`` MinHash values. Matched prefixes start at
-   the full depth and are shortened until a pair at the threshold shares one with the
-   target recall; nodes with the same prefix in a tree form a bucket, in trie order.
-3. In each bucket nodes are compared with leaders by their signatures: a node with an
-   estimate of at least ``NEAR`` to a leader is settled, one at least ``LOOSE`` is joined
-   to it, and the first unsettled node is the next leader. As 1 - Jaccard is a metric,
-   the partner of a settled node is at least loosely near the same leader, so linked
-   nodes are always joined. A bucket of over ``SALT_ROWS`` nodes is cut into blocks, and
-   each pair of blocks is one group with all nodes of both: every two nodes of a bucket
-   meet in a group, so the margin is the same as in a small bucket.
+2. Each node has a path in ``TREES`` tries: its signature, read from the tree's own
+   ``DEPTH`` values on. Sorted paths are the trie; nodes that share a prefix of ``floor_depth``
+   values of a tree, at which a pair at the threshold meets with the target recall, are a
+   bucket: one subtree, sorted.
+3. In a subtree matched prefixes start at full length and are shortened trie node by trie
+   node. At each branching the first live node leads: nodes with an estimate of at least
+   ``SAME`` to it are settled and stop there, the others and the leader go on to the shorter
+   prefix. At the floor all live nodes are compared with leaders until none is left: an
+   estimate of at least ``NEAR`` settles a node that leads nobody, one of at least ``LOOSE``
+   joins it. As 1 - Jaccard is a metric, the leaders of two linked nodes have a similarity of at least
+   threshold - (1 - SAME) - (1 - NEAR), over ``LOOSE``, and lie under the prefix by which the
+   linked nodes meet, so linked nodes are joined. A bucket of over ``SALT_ROWS`` nodes is cut into
+   blocks, and each pair of blocks is one group with all nodes of both: every two nodes
+   of a bucket meet in a group, so the margin is the same as in a small bucket.
 4. The joined nodes' components are verified exactly: each pair of blocks of a component
    is one bounded group, in which all shared shingles are counted; it returns a row for
    each node (its links and its root), never the pairs.
@@ -36,7 +40,7 @@ from forumlens.sources.scratch import scratch
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 14, 5, 0.999
-NEAR, LOOSE = 0.85, 0.45
+SAME, NEAR, LOOSE = 0.97, 0.85, 0.42
 SALT_ROWS = 1 << 16                        # of a bucket in a group (two blocks, a sixteenth left for chance)
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20  # of a component in a block
 
@@ -45,8 +49,9 @@ _A = (mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _B = (mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.uint32)
 
 
-def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which a pair at the threshold meets in a tree with this probability."""
+def floor_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix with which a pair at the threshold meets in a tree with this probability:
+    prefixes are shortened down to it, and no further."""
     d = depth
     while d > 1 and 1 - (1 - threshold ** d) ** trees < recall:
         d -= 1
@@ -123,31 +128,69 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def lead(group: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Root of each row among the rows of its group."""
+def shared_prefixes(group: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Values that each row's path shares with the row before, -1 for the first of a group."""
+    out = np.full(len(group), -1)
+    if len(group) > 1:
+        unlike = path[1:] != path[:-1]
+        same = np.where(unlike.any(1), unlike.argmax(1), path.shape[1])
+        out[1:] = np.where(group[1:] == group[:-1], same, -1)
+    return out
+
+
+def _alike(path: np.ndarray, rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), 1 << 14):
+        out[i:i + (1 << 14)] = (path[rows[i:i + (1 << 14)]] == path[heads[i:i + (1 << 14)]]).mean(1)
+    return out
+
+
+def _heads(number: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The first of ``rows`` with the same number, for each of them."""
+    first = np.ones(len(rows), bool)
+    first[1:] = number[rows][1:] != number[rows][:-1]
+    return rows[first][np.cumsum(first) - 1]
+
+
+def lead(group: np.ndarray, path: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Root of each row among the rows of its group, and the prefix length at which it stopped.
+
+    Rows are sorted by group and path and share ``floor`` values within a group.
+    """
+    shared = shared_prefixes(group, path)
+    stop = np.full(len(group), floor)
+    live, leads = np.ones(len(group), bool), np.zeros(len(group), bool)
     a, b = [], []
-    active = np.arange(len(group))
+    for depth in np.unique(shared[shared > floor])[::-1]:
+        node = np.cumsum(shared < depth) - 1  # rows under the same prefix of this length
+        branching = np.bincount(node, weights=shared == depth) > 0
+        rows = np.flatnonzero(live & branching[node])
+        head = _heads(node, rows)
+        settled = (rows != head) & ~leads[rows]
+        settled &= _alike(path, rows, head) >= SAME
+        a.append(rows[settled])
+        b.append(head[settled])
+        live[rows[settled]] = False
+        leads[head[settled]] = True
+        stop[rows[settled]] = depth
+    active = np.flatnonzero(live)
     while len(active):
-        first = np.ones(len(active), bool)
-        first[1:] = group[active][1:] != group[active][:-1]
-        head = active[first][np.cumsum(first) - 1]
-        alike = np.empty(len(active))
-        for i in range(0, len(active), 1 << 14):
-            alike[i:i + (1 << 14)] = (sig[active[i:i + (1 << 14)]] == sig[head[i:i + (1 << 14)]]).mean(1)
+        head = _heads(group, active)
+        alike = _alike(path, active, head)
         joins = (alike >= LOOSE) & (active != head)
         a.append(active[joins])
         b.append(head[joins])
-        active = active[(alike < NEAR) & (active != head)]
-    return local_roots(len(group), np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, np.int64)
+        active = active[((alike < NEAR) | leads[active]) & (active != head)]
+    return (local_roots(len(group), np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, np.int64)), stop
 
 
-def _lead(keys: list[str]):
+def _lead(keys: list[str], floor: int):
     """Rows (tid, root) of nodes with another root in their group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, keys, 4096):
-            sig = np.stack([np.frombuffer(x, np.uint16) for x in t.column("sig").to_pylist()])
+            path = np.stack([np.frombuffer(x, np.uint16) for x in t.column("path").to_pylist()])
             tid = t.column("tid").to_numpy()
-            root = lead(group_numbers(t, keys), sig)
+            root, _ = lead(group_numbers(t, keys), path, floor)
             out = np.flatnonzero(tid[root] != tid)
             yield pa.RecordBatch.from_arrays([pa.array(tid[out]), pa.array(tid[root][out])], ["tid", "root"])
     return run
@@ -235,20 +278,21 @@ def texts_and_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("s.n").alias("n"),
         F.first("s.sig").alias("sig")), "forest-texts")
 
-    d = prefix_length(threshold)
+    d = floor_depth(threshold)
     buckets = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sig, {2 * DEPTH * t + 1}, {2 * d})")) for t in range(TREES)])
-    keys = texts.where("n > 0").select("tid", F.explode(buckets).alias("bucket"))
+    keys = texts.where("n > 0").select("tid", F.posexplode(buckets).alias("tree", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     parts = F.when(F.col("members") > SALT_ROWS, F.ceil(F.col("members") * 32 / (SALT_ROWS * 15))).otherwise(F.lit(1)).cast("long")
-    inside = keys.join(sizes, "bucket").select("tid", "bucket", parts.alias("parts"), F.pmod(
+    path = F.expr(f"concat(substring(sig, {2 * DEPTH} * tree + 1), substring(sig, 1, {2 * DEPTH} * tree))")
+    inside = keys.join(sizes, "bucket").select("tid", "tree", "bucket", parts.alias("parts"), F.pmod(
         F.xxhash64("tid", F.lit(81)), parts).alias("part")).join(texts.select("tid", "sig"), "tid")
     others = F.when(F.col("parts") == 1, F.array(F.col("part"))).otherwise(
         F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.col("part")))
-    met = inside.select("tid", "bucket", "part", F.explode(others).alias("other"), "sig").select(
-        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "tid", "sig")
+    met = inside.select("tid", "bucket", "part", F.explode(others).alias("other"), path.alias("path")).select(
+        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "tid", "path")
     three = ["bucket", "low", "high"]
-    joined = scratch(met.repartition(*three).sortWithinPartitions(*three, "sig", "tid").mapInArrow(
-        _lead(three), "tid long, root long"), "forest-led").select(F.col("tid").alias("u"), F.col("root").alias("v"))
+    joined = scratch(met.repartition(*three).sortWithinPartitions(*three, "path", "tid").mapInArrow(
+        _lead(three, d), "tid long, root long"), "forest-led").select(F.col("tid").alias("u"), F.col("root").alias("v"))
     likely = components(joined).select(F.col("node").alias("tid"), F.col("component").alias("comp"))
 
     members = likely.join(texts.select("tid", "rep", "copies", "n"), "tid")

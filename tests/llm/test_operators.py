@@ -425,11 +425,68 @@ def test_a_chain_over_many_blocks_is_one_class(spark, monkeypatch):
 
 
 def test_prefix_is_shortened_to_the_recall():
-    d = lsh_forest.prefix_length()
+    d = lsh_forest.floor_depth()
     reach = [1 - (1 - 0.8 ** k) ** lsh_forest.TREES for k in (d, d + 1)]
     assert reach[0] >= lsh_forest.RECALL > reach[1]
 
 
+def test_prefixes_stop_at_different_depths():
+    n, floor = lsh_forest.TREES * lsh_forest.DEPTH, 4
+    r = np.random.default_rng(8)
+    a = r.integers(0, 60000, n)
+    rows = [a, a]  # the same signature
+    rows += [np.where(np.arange(n) == k, 60001, a) for k in (40, 41)]  # one other value, deep in the trie
+    rows.append(np.where(np.arange(n) >= n * 6 // 10, 60002, a))  # six tenths alike: joined at the floor
+    far = r.integers(0, 60000, n)
+    far[:floor] = a[:floor]  # shares the bucket only
+    rows.append(far)
+    path = np.array(rows, np.uint16)
+    path = path[np.lexsort(path[:, ::-1].T)]
+    group = np.zeros(len(path), np.int64)
+    shared = lsh_forest.shared_prefixes(group, path)
+    for i in range(1, len(path)):
+        same = path[i] == path[i - 1]
+        assert shared[i] == (n if same.all() else int(np.argmin(same)))
+    root, stop = lsh_forest.lead(group, path, floor)
+    alone = [i for i in range(len(path)) if (path[i] == far).all()]
+    assert len(set(root)) == 2 and sum(root == root[alone[0]]) == 1
+    assert {floor, 40, n} <= set(stop.tolist()), stop  # same: full length; one value: where it branches; else the floor
+    twice = lsh_forest.lead(np.repeat([0, 1], len(path)), np.concatenate([path, path]), floor)
+    assert (twice[0][:len(path)] == root).all() and (twice[0][len(path):] == root + len(path)).all()
+
+
+def test_linked_signatures_are_joined_whatever_settles_first():
+    r = np.random.default_rng(9)
+    n, floor = lsh_forest.TREES * lsh_forest.DEPTH, 4
+    for _ in range(40):
+        base = r.integers(0, 60000, (3, n))
+        rows = []
+        for _ in range(120):
+            x = base[r.integers(0, 3)].copy()
+            change = r.random(n) < r.choice([0, 0.02, 0.1, 0.2])
+            x[change] = r.integers(0, 60000, change.sum())
+            x[:floor] = base[0, :floor]
+            rows.append(x)
+        path = np.array(rows, np.uint16)
+        path = path[np.lexsort(path[:, ::-1].T)]
+        root, _ = lsh_forest.lead(np.zeros(len(path), np.int64), path, floor)
+        alike = (path[:, None] == path[None]).mean(2)
+        assert all(root[i] == root[j] for i, j in zip(*np.nonzero(alike >= 0.8)))
+
+
+def test_recall_on_planted_pairs_at_the_threshold(spark):
+    r, texts, linked = np.random.default_rng(10), [], 0
+    for i in range(600):
+        words = [f"p{i}w{k}" for k in range(230)]
+        left = words[:200]
+        cut = int(r.integers(18, 24))  # a shift by 21 or 22 words is a Jaccard similarity of about 0.8
+        texts += [" ".join(left), " ".join(words[cut:200 + cut])]
+        linked += (196 - cut) / (196 + cut) >= 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lsh_forest.near_duplicates(docs).where("links > 0").count() / 2
+    assert 0.99 * linked <= got <= linked and 200 < linked < 600
+
+
 # ---------------------------------------------------------------------- op 10
 
 def plain_url(url):
