@@ -3,7 +3,10 @@
 * D5 counts unigrams and adjacent pairs with partial aggregation (hot pairs
   collapse map-side), keeps pairs with count >= min_count, and scores them by
   normalised PMI: ln(p(ab) / (p(a) p(b))) / -ln p(ab), p(x) = count / N, N the
-  total token count; a pair is a phrase when its score > threshold.
+  total token count; a pair is a phrase when its score > threshold. Most pairs
+  occur once, so they are first counted by a hash (:func:`reachable`), and only pairs
+  whose hash reaches min_count are shuffled; a hash counts at least what each of its pairs does,
+  so none is lost.
 * D6 merges greedily left to right. Matching adjacent pairs are flagged with a
   semi-join against the phrase table; inside a run of consecutive flagged
   positions the scan takes the 1st, 3rd, 5th ... (gaps-and-islands window
@@ -18,7 +21,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.sources.scratch import scratch
@@ -28,6 +35,9 @@ MIN_COUNT = 20
 THRESHOLD = 0.05
 DELIM = "_"
 
+CELL_BITS = 16               # counters in a block
+MIN_BITS, MAX_BITS = 16, 26  # counters in all: 64 MB a task and 16 MB of broadcast bits at most
+
 
 def _pairs(tokens: DataFrame, doc_col: str = "ord_key") -> DataFrame:
     """(doc, i, a, b) for every adjacent pair, computed in-row."""
@@ -40,13 +50,72 @@ def _pairs(tokens: DataFrame, doc_col: str = "ord_key") -> DataFrame:
             .select(doc_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b")))
 
 
+def _cell(bits: int) -> Column:
+    return F.xxhash64("a", "b").bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _count_cells(bits: int, top: int):
+    """Rows (block, counters) of a task's cells, one byte a counter, none over ``top``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            at, n = np.unique(b.column("cell").to_numpy(), return_counts=True)
+            cells[at] = np.minimum(cells[at] + n, top)
+        blocks = cells.reshape(-1, 1 << CELL_BITS)
+        for i in np.flatnonzero(blocks.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([blocks[i].tobytes()], pa.binary())],
+                                             ["block", "counters"])
+    return run
+
+
+def _passing_words(top: int):
+    """Rows (word, bits): the cells that reach ``top`` over all rows of a block (sorted by it)."""
+    def words(block: int, total: np.ndarray) -> pa.RecordBatch:
+        bits = np.packbits(total >= top, bitorder="little").view(np.int64)
+        at = np.flatnonzero(bits)
+        return pa.RecordBatch.from_arrays([pa.array(block * (len(total) // 64) + at), pa.array(bits[at])], ["word", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+        for b in batches:
+            for k, counters in zip(b.column("block").to_pylist(), b.column("counters")):
+                if k != block:
+                    if block is not None:
+                        yield words(block, total)
+                    block, total = k, np.zeros(1 << CELL_BITS, np.int64)
+                total = np.minimum(total + np.frombuffer(counters.as_py(), np.uint8), top)
+        if block is not None:
+            yield words(block, total)
+    return run
+
+
+def reachable(pairs: DataFrame, min_count: int, n_pairs: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose hash counts at least ``min_count`` (up to 255).
+
+    Each task counts its pairs in an array of fixed size and sends its blocks; their sums
+    leave one bit a counter, broadcast in at most 2 ** (MAX_BITS - 6) rows. There are about as many
+    counters as pairs up to the bound; with far more pairs fewer rows fall away, none wrongly.
+    """
+    top = min(min_count, 255)
+    bits = min(MAX_BITS, max(MIN_BITS, int(n_pairs).bit_length()))
+    counted = pairs.select(_cell(bits).alias("cell")).mapInArrow(_count_cells(bits, top), "block long, counters binary")
+    passing = scratch(counted.repartition("block").sortWithinPartitions("block").mapInArrow(
+        _passing_words(top), "word long, bits long"), "phrase-cells")
+    cell = pairs.withColumn("cell", _cell(bits)).withColumn("word", F.shiftright("cell", 6))
+    return cell.join(F.broadcast(passing), "word").where(
+        F.expr("getbit(bits, cast(cell & 63 as int)) = 1")).select(*pairs.columns)
+
+
 def learn_phrases(tokens: DataFrame, min_count: int = MIN_COUNT, threshold: float = THRESHOLD,
                   doc_col: str = "ord_key") -> DataFrame:
     """Phrase table (a, b, n_ab, n_a, n_b, score) of pairs that pass."""
     uni = (tokens.select(F.explode_outer("tokens").alias("t")).filter(F.col("t").isNotNull())
            .groupBy("t").agg(F.count(F.lit(1)).alias("n")))
     n_total = tokens.select(F.sum(F.size("tokens"))).scalar()
-    pairs = (_pairs(tokens, doc_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    n_tokens = tokens.select(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0
+    every = _pairs(tokens, doc_col).select("a", "b")
+    likely = reachable(every, min_count, n_tokens) if min_count > 1 else every
+    pairs = (likely.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
              .filter(F.col("n_ab") >= min_count))
     ua = uni.select(F.col("t").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("t").alias("b"), F.col("n").alias("n_b"))

@@ -12,7 +12,7 @@ from forumlens.operators import timeline as TL
 from forumlens.plans.registry import register
 from forumlens.plans.sqlparts import (ANCHOR_RE, ANCHOR_TEXT_RE, TAG_RE, href_sql, link_type_sql, no_comments_sql,
                                       posts_cte)
-from forumlens.sources.tables import DEFAULT_TOPICS, posts, table, topic_vectors
+from forumlens.sources.tables import DEFAULT_TOPICS, post_stats, posts, table, topic_vectors
 
 K = DEFAULT_TOPICS
 MAIN_TAG = "en"
@@ -116,6 +116,35 @@ def link_report(spark, sf_dir):
     return L.link_report(_links(spark, sf_dir))
 
 
+def _link_votes_sql() -> str:
+    ws = ", ".join(_sqlr(f"sum(coalesce(tvn.w[{i + 1}], 0.0))", f"w_topic_{i}") for i in range(K))
+    return f"""WITH {_links_cte()}, {_topic_sql_ctes()},
+st AS (SELECT user_id AS post_id, count(*) FILTER (event_type = 'click') AS votes,
+              count(*) FILTER (event_type = 'view') AS views,
+              count(*) FILTER (event_type = 'purchase') - count(*) FILTER (event_type = 'error') AS answer_vote
+       FROM events GROUP BY user_id)
+SELECT address, CAST(count(*) AS BIGINT) AS cnt, CAST(count(DISTINCT lk.post_id) AS BIGINT) AS n_posts,
+       first(link_type) AS link_type, CAST(sum(coalesce(votes, 0)) AS BIGINT) AS question_votes_total,
+       CAST(sum(coalesce(views, 0)) AS BIGINT) AS views_total,
+       CAST(sum(CASE WHEN pos > 0 THEN coalesce(answer_vote, 0) ELSE 0 END) AS BIGINT) AS answers_votes_total, {ws}
+FROM lk LEFT JOIN st ON st.post_id = lk.post_id LEFT JOIN tvn ON tvn.post_id = lk.post_id GROUP BY address"""
+
+
+@register("link_votes", sql=_link_votes_sql)
+def link_votes(spark, sf_dir):
+    """G7 + F7: per address its count, referring pages and type, the sums of their question
+    votes and views, of answer votes (links in answers: all but a page's first), and of their
+    topic weights."""
+    links = _links(spark, sf_dir).withColumn("source", F.when(F.col("pos") > 0, "answer").otherwise("question"))
+    weights = topic_vectors(spark, sf_dir, K).select("post_id", *[F.col("w")[i].alias(f"w_topic_{i}") for i in range(K)])
+    stats = post_stats(spark, sf_dir).join(weights, "post_id", "full")
+    topics = [f"w_topic_{i}" for i in range(K)]
+    rep = L.link_report(links, stats, topics)
+    totals = ["question_votes_total", "views_total", "answers_votes_total"]
+    return rep.select("address", "cnt", "n_posts", "link_type", *[F.col(c).cast("long").alias(c) for c in totals],
+                      *[_r(c) for c in topics])
+
+
 @register("link_refs", sql=lambda: f"WITH {_links_cte()} SELECT DISTINCT address, post_id FROM lk")
 def link_refs(spark, sf_dir):
     """The referring pages of every address as (address, page) pairs."""

@@ -95,6 +95,15 @@ def topic_vectors(spark: SparkSession, sf_dir: str, k: int = DEFAULT_TOPICS) ->
                       F.transform(raw, lambda v: F.try_divide(v, s)).alias("w"))
 
 
+def post_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per post with events (post_id = user_id): question votes (clicks), views, votes of its
+    answers (purchases less errors)."""
+    def n(kind: str):
+        return F.count(F.when(F.col("event_type") == kind, 1))
+    return table(spark, sf_dir, "events").where("user_id is not null").groupBy(F.col("user_id").alias("post_id")).agg(
+        n("click").alias("votes"), n("view").alias("views"), (n("purchase") - n("error")).alias("answer_vote"))
+
+
 def catalog_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run overview stand-in: one run per order."""
     o = table(spark, sf_dir, "orders")

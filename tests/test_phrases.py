@@ -67,3 +67,26 @@ def test_greedy_merge_matches_brute_force(spark):
     pc = Counter((t[i], t[i + 1]) for t in train for i in range(len(t) - 1))
     for r in ph.collect():
         assert pc[(r.a, r.b)] == r.n_ab
+
+
+def test_counting_by_hash_loses_no_pair(spark, monkeypatch):
+    import numpy as np
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [[words[int(i) % 400] for i in r.zipf(1.3, 60)] for _ in range(300)]
+    rows += [[f"o{i}", f"p{i}"] for i in range(4000)] + [[], ["one"], None]
+    toks = _toks(spark, rows)
+    pairs = PH._pairs(toks).select("a", "b")
+    seen = Counter((t[i], t[i + 1]) for t in rows if t for i in range(len(t) - 1))
+    for low, high in ((16, 26), (16, 16)):
+        monkeypatch.setattr(PH, "MIN_BITS", low)
+        monkeypatch.setattr(PH, "MAX_BITS", high)
+        for least in (2, 20, 300):  # over 255 the counters stop at 255
+            got = Counter((x.a, x.b) for x in PH.reachable(pairs, least, sum(seen.values())).collect())
+            assert all(got[p] == n for p, n in seen.items() if n >= least) and all(seen[p] == n for p, n in got.items())
+            assert sum(got.values()) < sum(seen.values()) / 1.2
+    assert sum(1 for p in got if p[0].startswith("o")) < 200
+    exact = PH.learn_phrases(toks, 20, -1.0).collect()
+    monkeypatch.setattr(PH, "reachable", lambda pairs, *_: pairs)
+    assert sorted(exact) == sorted(PH.learn_phrases(toks, 20, -1.0).collect()) and exact
+    assert PH.learn_phrases(toks.limit(0)).count() == 0
