@@ -96,11 +96,13 @@ def _hashes(ws: Column) -> Column:
         *[F.get(ws, i + (k - 1)) for k in range(SHINGLE)])))
 
 
-def _minhashes(sh: Column, bands: int) -> Column:
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(sh, lambda h: F.xxhash64(h, F.lit(band))))
+def _minhashes(sh: Column, bands: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.xxhash64(
+        b, F.array_min(F.transform(sh, lambda h: F.xxhash64(h, b)))))
 
-    return F.array(*[F.xxhash64(F.lit(b), least(b)) for b in range(bands)])
+
+def _holds(text: Column, need: Sequence[str]) -> Column:
+    return text.rlike(r"(?<![\p{L}\p{N}])(" + "|".join(sorted(need)) + r")(?![\p{L}\p{N}])")
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, min_containment: float = 0.8,
@@ -118,36 +120,40 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, min_
     classes: dict[int, list[tuple[str, str]]] = {}
     for name, text in templates:
         classes.setdefault(1 << (len(_words(text)) - 1).bit_length(), []).append((name, text))
-    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    found = None
+    if not classes:
+        return spark.createDataFrame([], "doc_id long, license string, containment double, word_at int, windows long")
+    kinds, listed, every = [], [], set()
     for length, members in sorted(classes.items()):
-        need = sorted({w for _, t in members for w in required_words(t, min_containment)})
-        marks = F.col(text_col).rlike(r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(need) + r")(?![\p{L}\p{N}])")
+        need = {w for _, t in members for w in required_words(t, min_containment)}
         # At worst a template of length/2 + 1 words in a window of 2 * length words.
         t = max(SHINGLE, length // 2 + 1) - SHINGLE + 1
         least = min_containment * t / (2 * length - SHINGLE + 1 + (1 - min_containment) * t)
         bands = bands_needed(least, recall)
-        table = spark.createDataFrame([(n, _words(t)) for n, t in members], "license string, ws array<string>")
-        table = table.select("license", _hashes(F.col("ws")).alias("t_sh")).withColumn("t_mh", _minhashes(F.col("t_sh"), bands))
-        windows = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).where(marks)
-                   .select("doc_id", words.alias("ws")).where(F.size("ws") >= SHINGLE)
-                   .select("doc_id", F.posexplode(F.transform(
-                       F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - SHINGLE), F.lit(length)),
-                       lambda i: F.slice("ws", i + 1, 2 * length))).alias("nr", "part"))
-                   .where(F.size("part") >= SHINGLE)
-                   .select("doc_id", (F.col("nr") * length).alias("word_at"), _hashes(F.col("part")).alias("sh"))
-                   .select("*", _minhashes(F.col("sh"), bands).alias("mh")))
-        # The templates are a fixed list of the program, so its band table is small.
-        keys = table.select("license", "t_sh", F.explode("t_mh").alias("band"))
-        bound = F.array(*[F.lit(b) for b in sorted({r.band for r in keys.select("band").collect()})])
-        hits = (windows.select("doc_id", "word_at", "sh", F.explode(F.array_intersect("mh", bound)).alias("band"))
-                .join(F.broadcast(keys), "band")
-                .select("doc_id", "word_at", "license",
-                        (F.size(F.array_intersect("sh", "t_sh")) / F.size("t_sh")).alias("containment"))
-                .where(F.col("containment") >= min_containment))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, license string, containment double, word_at int, windows long")
+        kinds.append(F.when(_holds(F.col("low"), need), F.struct(F.lit(length).alias("length"), F.lit(bands).alias("bands"))))
+        listed += [(n, _words(t), length, bands) for n, t in members]
+        every |= need
+    # one pass over the texts: the classes of which a text holds a required word
+    texts = (docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("low")).where(_holds(F.col("low"), every))
+             .select("doc_id", F.filter(F.split("low", r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("ws"),
+                     F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("ws") >= SHINGLE))
+    windows = (texts.select("doc_id", "ws", F.explode("kinds").alias("k"))
+               .select("doc_id", "k", F.posexplode(F.transform(
+                   F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - SHINGLE), F.col("k.length")),
+                   lambda i: F.slice("ws", i + 1, 2 * F.col("k.length")))).alias("nr", "part"))
+               .where(F.size("part") >= SHINGLE)
+               .select("doc_id", "k", (F.col("nr") * F.col("k.length")).alias("word_at"), _hashes(F.col("part")).alias("sh"))
+               .select("*", _minhashes(F.col("sh"), F.col("k.bands")).alias("mh")))
+    # The templates are a fixed list of the program, so its band table is small.
+    table = spark.createDataFrame(listed, "license string, ws array<string>, length int, bands int")
+    keys = table.select("license", "length", "bands", _hashes(F.col("ws")).alias("t_sh")).select(
+        "license", "length", "t_sh", F.explode(_minhashes(F.col("t_sh"), F.col("bands"))).alias("band"))
+    bound = F.array(*[F.lit(b) for b in sorted({r.band for r in keys.select("band").collect()})])
+    found = (windows.select("doc_id", "word_at", F.col("k.length").alias("length"), "sh",
+                            F.explode(F.array_intersect("mh", bound)).alias("band"))
+             .join(F.broadcast(keys), ["length", "band"])
+             .select("doc_id", "word_at", "license",
+                     (F.size(F.array_intersect("sh", "t_sh")) / F.size("t_sh")).alias("containment"))
+             .where(F.col("containment") >= min_containment))
     best = found.groupBy("doc_id", "license", "word_at").agg(F.max("containment").alias("containment"))
     return best.groupBy("doc_id", "license").agg(
         F.max("containment").alias("containment"), F.min("word_at").alias("word_at"), F.count(F.lit(1)).alias("windows"))
