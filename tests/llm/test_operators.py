@@ -258,6 +258,24 @@ furnished to do so, subject to the following conditions:"""
     assert got == [(i, name) for i, (name, _) in enumerate(texts)]
 
 
+def test_every_template_is_found_in_edited_copies(spark):
+    r, rows, want = np.random.default_rng(12), [], {}
+    for k, (name, line) in enumerate(license_scan.TEMPLATES):
+        sh = set(license_scan._shingles(license_scan._words(line)))
+        for i in range(60):
+            ws = line.split()
+            for _ in range(i % 4):  # edits as long as enough of the template is left
+                new = [w if j != (at := int(r.integers(0, len(ws)))) else f"other{j}" for j, w in enumerate(ws)]
+                if len(sh & set(license_scan._shingles(license_scan._words(" ".join(new))))) >= 0.8 * len(sh):
+                    ws = new
+            before, after = sentence(int(r.integers(0, 150)), 9000 + i), sentence(int(r.integers(0, 60)), 9500 + i)
+            want[len(rows)] = (k, name)
+            rows.append((len(rows), f"{before} {' '.join(ws)} {after}"))
+    got = {(x.doc_id, x.license) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = np.bincount([k for d, (k, name) in want.items() if (d, name) in got], minlength=len(license_scan.TEMPLATES))
+    assert found.tolist() == [60] * len(license_scan.TEMPLATES)
+
+
 def test_required_words_lose_nothing():
     for _, t in license_scan.TEMPLATES:
         sh = license_scan._shingles(license_scan._words(t))
