@@ -5,6 +5,8 @@
   value (so a frequent value is one row), the values are range-partitioned and sorted,
   every value gets its range of global ranks from per-partition sums, and only the few
   values at the needed ranks are kept;
+* where a sort of all values is too dear, quantiles may come from a mergeable sketch of
+  fixed size with a stated error of rank (opt-in);
 * histograms bucket arithmetically against scalar subqueries for min/max.
 """
 
@@ -68,6 +70,27 @@ def exact_quantiles(df: DataFrame, col: str, probs=SUMMARY_PROBS) -> DataFrame:
     return ranked.agg(*_quantile_exprs(F.lit(n), probs))
 
 
+SKETCH_K = 2000
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """Error of a sketch quantile's rank as a share of the rows, held with probability 0.99."""
+    return 2.296 / k ** 0.9723
+
+
+def sketch_quantiles(df: DataFrame, col: str, probs=SUMMARY_PROBS, k: int = SKETCH_K) -> DataFrame:
+    """G10 without a sort: (p, value), a row for each probability, from one KLL sketch of the
+    not null values. Tasks send a sketch each, whatever their rows; ``value`` is a value of
+    the column whose rank is within :func:`rank_error` of p; it may differ from run to run.
+    Null without any value."""
+    sketch = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(col).cast("double"), F.lit(k)).alias("s"))
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    values = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", asked))
+    return sketch.select(F.explode(F.arrays_zip(asked.alias("p"), F.coalesce(
+        values, F.array_repeat(F.lit(None).cast("double"), len(probs))).alias("value"))).alias("q")).select("q.p", "q.value")
+
+
 def describe(df: DataFrame, col: str, probs=SUMMARY_PROBS, digits: int | None = 6) -> DataFrame:
     """G10 + G11: one summary row: count, mean, sample std, min, max, exact
     percentiles, population skewness and excess kurtosis -- one aggregation over the rows;

@@ -93,6 +93,22 @@ def step_store(spark, sf_dir):
         missing.withColumn("missing", F.lit(True)), allowMissingColumns=True)
 
 
+@register("bucketed_steps", sql=f"""
+WITH {_STEPS_SQL}, second AS (SELECT * FROM steps WHERE step = '#2')
+SELECT o.o_orderkey AS flow_run_id, t.step_label, t.exit_code, t.flow_run_id IS NULL AS missing
+FROM orders o LEFT JOIN second t ON t.flow_run_id = o.o_orderkey""")
+def bucketed_steps(spark, sf_dir):
+    """A5 + F1: the steps stored in buckets by (step, run), the second step of every run
+    fetched by its keys without a shuffle of the store, and the keys without a record."""
+    keys = ["step", "flow_run_id"]
+    records = catalog_steps(spark, sf_dir).select("flow_run_id", "step", "step_label", "exit_code")
+    stored = spark.table(S.write_bucketed(records, keys))
+    wanted = catalog_runs(spark, sf_dir).select(F.lit("#2").alias("step"), "flow_run_id")
+    found, missing = S.fetch_by_keys(stored, wanted, keys)
+    return found.withColumn("missing", F.lit(False)).unionByName(
+        missing.withColumn("missing", F.lit(True)), allowMissingColumns=True).drop("step")
+
+
 @register("step_guards", sql=f"""
 WITH {_STEPS_SQL},
 req AS (SELECT '#' || n AS step, 'L' || o_orderkey || '_' || n AS step_label FROM orders, (VALUES (1), (4)) v(n))

@@ -48,6 +48,20 @@ def dist_summary(spark, sf_dir):
     return S.describe(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
+@register("quantile_sketch")
+def quantile_sketch(spark, sf_dir):
+    """G10 by a sketch: 15 percentiles of l_extendedprice, and the share of rows below and up
+    to each value (their distance from p is the sketch's error)."""
+    rows = table(spark, sf_dir, "lineitem").where("l_extendedprice is not null")
+    q = S.sketch_quantiles(rows, "l_extendedprice").collect()  # 15 rows
+    v = F.col("l_extendedprice").cast("double")
+    shares = rows.agg(*[F.avg((v < x.value).cast("double")).alias(f"b{i}") for i, x in enumerate(q)],
+                      *[F.avg((v <= x.value).cast("double")).alias(f"u{i}") for i, x in enumerate(q)])
+    return shares.select(F.explode(F.array(*[F.struct(
+        F.lit(x.p).alias("p"), F.lit(x.value).cast("double").alias("value"), F.col(f"b{i}").alias("below"), F.col(f"u{i}").alias("up_to"))
+        for i, x in enumerate(q)])).alias("q")).select("q.*")
+
+
 @register("histogram", sql="""
 WITH v AS (SELECT value AS v FROM events WHERE value IS NOT NULL),
 mm AS (SELECT min(v) AS mn, max(v) AS mx, count(*) AS n FROM v),

@@ -7,9 +7,13 @@ One Parquet dataset per record class, partitioned by ``step`` and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from forumlens.session import ensure_checkpoint_dir
+
 PARTITION_COLS = ("step", "step_label")
 
 
@@ -22,6 +26,22 @@ def write_dataset(df: DataFrame, path: str, mode: str = "append", partition_cols
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, key_cols, name: str = "steps", buckets: int | None = None, path: str | None = None) -> str:
+    """A5/F1: write records hashed and sorted by their keys; returns the table's name.
+
+    Joins and groupings by all of the keys read the table without a shuffle of the stored side,
+    as long as it has no fewer buckets than the session has shuffle partitions (the default
+    number). One file a bucket. The files lie at ``path`` (a new folder of the shared
+    checkpoint folder if none is given); the table's name is known to this session's catalog.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *key_cols).write.format("parquet").bucketBy(buckets, *key_cols).sortBy(*key_cols)
+     .option("path", path or f"{ensure_checkpoint_dir(spark)}/{table}").saveAsTable(table))
+    return table
+
+
 def scan_step(spark: SparkSession, path: str, step: str, step_label: str | None = None,
               ml_tags=None, columns=None) -> DataFrame:
     """A2/A4: scan one step (partition pruning), optional split and field list."""
