@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 first four return the columns of ``documents``: rows rejected as toxic go, then rows
 rejected for quality, then all but one of each group of near duplicates, then rows
 that hold a benchmark item. The last returns what the mix takes of each document.
+
+Every stage takes an empty table (and returns one), nulls in any column, and columns of
+any further names, which it hands on unchanged; what it does with null and empty texts, ties and
+repeated rows is said at each.
 """
 
 from __future__ import annotations
@@ -26,33 +30,55 @@ def _where_score(docs: DataFrame, scorer, weights, condition: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: rows with a toxicity score of 0.5 or more go."""
+    """Operator 9: rows with a toxicity score of 0.5 or more go.
+
+    Null and empty texts have the score of the model's constant, equal texts the same score, so
+    repeated rows stay or go together. Without any label nothing is known, and all rows stay.
+    """
     prepare(spark)
     weights = queries.toxicity_weights(docs, _table(spark, sf_dir, "labels"))
+    if not weights.any():
+        return docs
     return _where_score(docs, toxicity_pu.score, weights, "score < 0.5")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: rows with a quality score under 0.5 go."""
+    """Operator 6: rows with a quality score under 0.5 go.
+
+    Null and empty texts have the score of the model's constant, equal texts the same score, so
+    repeated rows stay or go together. Without any label all scores are 0.5, and all rows stay.
+    """
     prepare(spark)
     weights = queries.quality_weights(docs, _table(spark, sf_dir, "labels"))
     return _where_score(docs, quality_ftrl.score, weights, "score >= 0.5")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each class of near duplicates the row with the smallest id stays."""
+    """Operator 8: of each class of near duplicates the row with the smallest id stays.
+
+    Of repeated rows (and of ties of the smallest id) one stays; a null id stands for a class only
+    if none of its rows has an id. Empty texts are copies of each other, null texts all stay.
+    """
     prepare(spark)
     return lsh_forest.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: rows that hold a benchmark item go."""
+    """Operator 4: rows that hold a benchmark item go.
+
+    Null and empty texts hold none; repeated rows stay or go together. An empty benchmark, or one of
+    null and empty items, rejects nothing.
+    """
     prepare(spark)
     return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the words that the mix takes of each document."""
+    """Operator 3: the words that the mix takes of each document, a row for each row.
+
+    Null and empty texts have size 0 and nothing taken; a null source is a source; repeated rows
+    are taken separately.
+    """
     prepare(spark)
     return mixing.mix(docs)
 
