@@ -108,13 +108,13 @@ def reachable(pairs: DataFrame, min_count: int, n_pairs: int) -> DataFrame:
 
 def learn_phrases(tokens: DataFrame, min_count: int = MIN_COUNT, threshold: float = THRESHOLD,
                   doc_col: str = "ord_key") -> DataFrame:
-    """Phrase table (a, b, n_ab, n_a, n_b, score) of pairs that pass."""
+    """Phrase table (a, b, n_ab, n_a, n_b, score) of pairs that pass. ``tokens`` is read
+    four times: a written table is best."""
     uni = (tokens.select(F.explode_outer("tokens").alias("t")).filter(F.col("t").isNotNull())
            .groupBy("t").agg(F.count(F.lit(1)).alias("n")))
-    n_total = tokens.select(F.sum(F.size("tokens"))).scalar()
-    n_tokens = tokens.select(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0
+    n_total = tokens.select(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0
     every = _pairs(tokens, doc_col).select("a", "b")
-    likely = reachable(every, min_count, n_tokens) if min_count > 1 else every
+    likely = reachable(every, min_count, n_total) if min_count > 1 else every
     pairs = (likely.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
              .filter(F.col("n_ab") >= min_count))
     ua = uni.select(F.col("t").alias("a"), F.col("n").alias("n_a"))

@@ -142,7 +142,8 @@ SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, 6) AS score FROM phr""")
 def phrase_scores(spark, sf_dir):
     """Adjacent pairs of the training documents with count >= 20 and
     normalised PMI > 0.05."""
-    p = PH.learn_phrases(_tokens(spark, sf_dir).filter(F.col("ml_tag") == 0))
+    train = scratch(_tokens(spark, sf_dir).filter(F.col("ml_tag") == 0).select("ord_key", "tokens"), "phrase-train")
+    p = PH.learn_phrases(train)
     return p.select("a", "b", "n_ab", F.round("score", 6).alias("score"))
 
 
