@@ -9,12 +9,14 @@ left out of the mean (the reference would turn the whole mean into NaN).
   and role counts r(u,d), the sum over document pairs of multiplicity x cosine
   is 1/2 sum_u (|sum_d r u_d|^2 - sum_d r^2), and the pair count is
   1/2 sum_u ((sum_d r)^2 - sum_d r^2) over documents with a non-zero vector.
-* L15: ``n_iter`` random relabellings, all in one job: a node takes the vector of
-  the node at a position given by a keyed bijection of its own position, so an
-  iteration needs no sort, rank or window. Nodes with a vector come first in the
-  positions, so a row that takes a zero vector is dropped by a comparison. The
-  statistic is a group-by on the iteration. Then ECDF, VA index and verdict (K11)
-  plus the distribution summary.
+* L15: ``n_iter`` random relabellings: a node takes the vector of the node at a
+  position given by a keyed bijection of its own position, so an iteration needs no
+  sort, rank or window. Nodes with a vector come first in the positions, so what takes
+  a zero vector falls away by a comparison. While the vectors fit ``VECTOR_BYTES``
+  (counted first) cells of a block of edges and a block of iterations sum the statistic
+  in place and hand on a row for each iteration; beyond it blocks of iterations are
+  joined with the vectors. Then ECDF, VA index and verdict (K11) plus the
+  distribution summary.
 """
 
 from __future__ import annotations
@@ -28,9 +30,14 @@ from pyspark.sql import functions as F
 
 from forumlens.functions.scalars import va_index, verdict
 from forumlens.operators.stats import describe
-from forumlens.sources.scratch import scratch
+from forumlens.sources.scratch import discard, scratch
 
 DEFAULT_SEED = 11
+VECTOR_BYTES = 1 << 26      # vectors of a graph that are broadcast, at most
+BLOCK_ROWS = 1 << 19        # edges (or roles) of a cell, about
+CHUNK = 1 << 15             # edges that a cell multiplies at a time
+MOST_TASKS = 1 << 15        # partitions that the cells are dealt to, at most
+JOINED_ITERATIONS = 100     # iterations of a block beyond VECTOR_BYTES
 
 
 def vector_columns(df: DataFrame, arr_col: str, k: int, unit: bool = True) -> DataFrame:
@@ -98,6 +105,10 @@ def _scramble(x: np.ndarray, key: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _round_key(seed: int, it: int, r: int) -> int:
+    return (seed * 0x2545F4914F6CDD1D + it * 0xD1342543DE82EF95 + r * 0x9FB21C651E98DF25) & ((1 << 63) - 1)
+
+
 def keyed_bijection(idx: np.ndarray, n: int, it: int, seed: int) -> np.ndarray:
     """A permutation of 0..n-1 chosen by (seed, it), at the places ``idx``: a Feistel
     network on the next even number of bits, walked on until the value is below n."""
@@ -107,23 +118,37 @@ def keyed_bijection(idx: np.ndarray, n: int, it: int, seed: int) -> np.ndarray:
     while len(todo):
         left, right = out[todo] >> np.uint64(half), out[todo] & mask
         for r in range(FEISTEL_ROUNDS):
-            key = (seed * 0x2545F4914F6CDD1D + it * 0xD1342543DE82EF95 + r * 0x9FB21C651E98DF25) & ((1 << 63) - 1)
-            left, right = right, left ^ (_scramble(right, key) & mask)
+            left, right = right, left ^ (_scramble(right, _round_key(seed, it, r)) & mask)
+        out[todo] = (left << np.uint64(half)) | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def keyed_inverse(pos: np.ndarray, n: int, it: int, seed: int) -> np.ndarray:
+    """The places that ``keyed_bijection`` sends to ``pos``: its rounds in reverse."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, out = np.uint64((1 << half) - 1), pos.astype(np.uint64)
+    todo = np.arange(len(pos))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for r in reversed(range(FEISTEL_ROUNDS)):
+            left, right = right ^ (_scramble(left, _round_key(seed, it, r)) & mask), left
         out[todo] = (left << np.uint64(half)) | right
         todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
 
 
-def permutations(positions: DataFrame, n: int, n_iter: int, seed: int = DEFAULT_SEED, below: int | None = None) -> DataFrame:
+def permutations(positions: DataFrame, n: int, n_iter: int, seed: int = DEFAULT_SEED, below: int | None = None,
+                 first: int = 0) -> DataFrame:
     """H5: (it, node, src_idx) from (node, idx): in iteration ``it`` a node takes the
     vector of the node with index ``src_idx``; a bijection of 0..n-1 for each iteration.
-    With ``below`` only rows with a smaller ``src_idx``."""
+    With ``below`` only rows with a smaller ``src_idx``; ``first`` is the first iteration's number."""
     most = n if below is None else below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             idx = batch.column("idx").to_numpy()
-            for it in range(n_iter):
+            for it in range(first, first + n_iter):
                 src = keyed_bijection(idx, n, it, seed)
                 at = np.flatnonzero(src < most)
                 yield pa.RecordBatch.from_arrays(
@@ -134,37 +159,191 @@ def permutations(positions: DataFrame, n: int, n_iter: int, seed: int = DEFAULT_
 
 
 def permutation_stats(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: int = 100,
-                      seed: int = DEFAULT_SEED, doc_roles: DataFrame | None = None) -> DataFrame:
+                      seed: int = DEFAULT_SEED, doc_roles: DataFrame | None = None,
+                      vector_bytes: int = VECTOR_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(it, stat): the mean edge cosine after relabelling the node
     vectors with permutation ``it``. ``vecs``: (node, v*) unit vectors; either
     ``edges`` (src, dst[, weight]) or ``doc_roles`` (doc, user, r) for the
-    factorised document graph."""
-    # nodes with a vector first: a permuted zero vector gives a null cosine, so rows that
-    # take one are dropped as they arise
+    factorised document graph.
+
+    An iteration in which no edge joins two vectors has a null ``stat``. Vectors of up to
+    ``vector_bytes`` are broadcast and the sums made in blocks of ``block_rows`` edges; more are joined."""
+    # nodes with a vector first: what takes a position from ``filled`` on has a null cosine
     idx = scratch(with_dense_index(vecs.withColumn("none", F.col("v0").isNull()), ["none", "node"], "idx"), "perm-index")
     n, filled = idx.agg(F.count(F.lit(1)), F.count("v0")).first()
+    if filled * k * 8 > vector_bytes:
+        return _stats_by_joins(edges, idx, n, filled, k, n_iter, seed, doc_roles)
+    where = idx.select("node", "idx")
+    table = idx.where("not none").orderBy("idx").select(*[f"v{i}" for i in range(k)]).toArrow()
+    vectors = idx.sparkSession.sparkContext.broadcast(
+        np.column_stack([table[f"v{i}"].to_numpy() for i in range(k)]).reshape(filled, k))
+    if doc_roles is None:
+        w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+        rows = (edges.groupBy("src", "dst").agg(F.sum(w).alias("w"))
+                .join(where.toDF("src", "a"), "src").join(where.toDF("dst", "b"), "dst").select("a", "b", "w"))
+        parts = _cells(rows, F.xxhash64("a", "b"), n_iter, block_rows, _edge_cell(vectors, n, filled, seed),
+                       "it int, num double, den double")
+    else:
+        rows = doc_roles.join(where.toDF("doc", "a"), "doc").select("a", "user", F.col("r").cast("double").alias("r"))
+        # a user of more rows than a block holds is split over the blocks
+        big = rows.groupBy("user").agg((F.count(F.lit(1)) > block_rows).alias("split"))
+        rows = rows.join(big.withColumnRenamed("user", "u"), F.col("user").eqNullSafe(F.col("u"))).drop("u")
+        key = F.when(F.col("split"), F.xxhash64("user", "a")).otherwise(F.xxhash64("user"))
+        user = doc_roles.schema["user"].dataType.simpleString()
+        parts = _cells(rows, key, n_iter, block_rows, _role_cell(vectors, n, filled, seed),
+                       f"it int, split boolean, user {user}, num double, den double, sums array<double>")
+        parts = scratch(parts, "perm-parts")
+        halves = parts.where("split").groupBy("it", "user").agg(
+            F.sum("num").alias("sr2"), F.sum("den").alias("sr"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(k)])
+        sq = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(k)), F.lit(0.0))
+        parts = parts.where("not split").select("it", "num", "den").unionByName(
+            halves.select("it", (sq - F.col("sr2")).alias("num"), (F.col("sr") * F.col("sr") - F.col("sr2")).alias("den")))
+    return _every(idx, n_iter, parts.groupBy("it").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("stat")))
+
+
+def _every(idx: DataFrame, n_iter: int, stats: DataFrame) -> DataFrame:
+    """A row for each iteration, also where no edge joins two vectors."""
+    return idx.sparkSession.range(n_iter).select(F.col("id").cast("int").alias("it")).join(stats, "it", "left")
+
+
+def _cells(rows: DataFrame, key, n_iter: int, block_rows: int, cell, schema: str) -> DataFrame:
+    """``cell(first, last, table)`` for each block of rows (by the hash ``key``) and block of iterations.
+
+    There are as many blocks of iterations as keep the cores busy, so that rows are copied
+    only while they are few."""
+    rows = scratch(rows, "perm-rows")
+    blocks = max(1, -(-rows.count() // block_rows))
+    busy = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    spans = max(1, min(n_iter, -(-busy // blocks)))
+    step = -(-n_iter // spans)
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table["span"][0].as_py() * step
+        return cell(first, min(first + step, n_iter), table)
+
+    return (rows.withColumn("block", F.pmod(key, F.lit(blocks)))
+            .withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(-(-n_iter // step) - 1))))
+            .repartition(min(blocks * spans, MOST_TASKS), "block", "span")
+            .groupBy("block", "span").applyInArrow(run, schema))
+
+
+def _landed(nodes: np.ndarray, n: int, filled: int, it: int, seed: int) -> np.ndarray:
+    """The position that each of the (sorted) ``nodes`` takes, -1 if it has no vector. Worked out
+    for the nodes, or from the vectors' side if there are fewer of those."""
+    if len(nodes) <= filled:
+        pos = keyed_bijection(nodes, n, it, seed)
+        pos[pos >= filled] = -1
+        return pos
+    pos = np.full(len(nodes), -1, np.int64)
+    landed = keyed_inverse(np.arange(filled), n, it, seed)
+    at = np.minimum(np.searchsorted(nodes, landed), len(nodes) - 1)
+    met = nodes[at] == landed
+    pos[at[met]] = np.flatnonzero(met)
+    return pos
+
+
+def _edge_cell(vectors, n: int, filled: int, seed: int):
+    """For each iteration of a cell the sum of weight x cosine and of weights."""
+
+    def cell(first: int, last: int, table: pa.Table) -> pa.Table:
+        a, b, w = (table[c].to_numpy() for c in ("a", "b", "w"))
+        order = np.argsort(a, kind="stable")
+        nodes, local = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+        a, b, w, vec = local[:len(a)], local[len(a):], w[order], vectors.value
+        num, den = np.zeros(last - first), np.zeros(last - first)
+        for it in range(first, last):
+            pos = _landed(nodes, n, filled, it, seed)
+            full = pos >= 0
+            own = vec[pos[full]]
+            at = np.cumsum(full) - 1
+            for lo in range(0, len(a), CHUNK):
+                x, y, z = a[lo:lo + CHUNK], b[lo:lo + CHUNK], w[lo:lo + CHUNK]
+                ok = full[x] & full[y]
+                if not ok.all():
+                    x, y, z = x[ok], y[ok], z[ok]
+                num[it - first] += z @ np.einsum("ij,ij->i", own[at[x]], own[at[y]])
+                den[it - first] += z.sum()
+        return pa.table({"it": np.arange(first, last, dtype=np.int32), "num": num, "den": den})
+
+    return cell
+
+
+def _role_cell(vectors, n: int, filled: int, seed: int):
+    """For each iteration of a cell the sums over its whole users of |sum r v|^2 - sum r^2 and of
+    (sum r)^2 - sum r^2; for each split user sum r^2, sum r and sum r v of the cell's rows."""
+
+    def cell(first: int, last: int, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        users = table["user"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = users.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code, r = code[order], table["r"].to_numpy()[order]
+        split = np.zeros(len(users.dictionary), bool)
+        split[code] = table["split"].to_numpy(zero_copy_only=False)[order]
+        nodes, local = np.unique(table["a"].to_numpy()[order], return_inverse=True)
+        vec, out = vectors.value, []
+        for it in range(first, last):
+            pos = _landed(nodes, n, filled, it, seed)[local]
+            rows = np.flatnonzero(pos >= 0)
+            num = den = 0.0
+            if len(rows):
+                c, x = code[rows], r[rows]
+                start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                sums = np.add.reduceat(vec[pos[rows]] * x[:, None], start, axis=0)
+                sr, sr2 = np.add.reduceat(x, start), np.add.reduceat(x * x, start)
+                whole = ~split[c[start]]
+                num = float((sums[whole] ** 2).sum() - sr2[whole].sum())
+                den = float((sr[whole] ** 2).sum() - sr2[whole].sum())
+                out += [(it, True, int(c[start[j]]), sr2[j], sr[j], sums[j]) for j in np.flatnonzero(~whole)]
+            out.append((it, False, None, num, den, None))
+        it, part, user, num, den, sums = zip(*out)
+        return pa.table({"it": pa.array(it, pa.int32()), "split": pa.array(part), "user":
+                         users.dictionary.take(pa.array(user, pa.int32())), "num": pa.array(num, pa.float64()),
+                         "den": pa.array(den, pa.float64()), "sums": pa.array(sums, pa.list_(pa.float64()))})
+
+    return cell
+
+
+def _stats_by_joins(edges: DataFrame | None, idx: DataFrame, n: int, filled: int, k: int, n_iter: int, seed: int,
+                    doc_roles: DataFrame | None) -> DataFrame:
+    """The statistics of vectors of any number: blocks of ``JOINED_ITERATIONS`` are joined with
+    the vectors one after another, so that the written table of a block is all there is at a time."""
+    done = None
+    for first in range(0, n_iter, JOINED_ITERATIONS):
+        taken = _taken(idx, n, filled, k, first, min(JOINED_ITERATIONS, n_iter - first), seed)
+        stat = scratch(_joined_stats(edges, taken, k, doc_roles), "perm-block")
+        discard(taken)
+        done = stat if done is None else done.unionByName(stat)
+    return _every(idx, n_iter, done)
+
+
+def _taken(idx: DataFrame, n: int, filled: int, k: int, first: int, count: int, seed: int) -> DataFrame:
+    """(it, node, v*) of the nodes that take a vector in the iterations from ``first`` on."""
     nz = idx.where("not none").select(F.col("idx").alias("src_idx"), *[f"v{i}" for i in range(k)])
     # The size estimate does not know the rows that the job adds, so this join is pinned to
     # a shuffle join; the written table has its true size, and AQE picks the others.
-    rows = permutations(idx.repartition(idx.sparkSession.sparkContext.defaultParallelism, "node"), n, n_iter, seed, filled)
-    taken = scratch(rows.hint("merge").join(nz, "src_idx").drop("src_idx"), "perm-vectors")
+    rows = permutations(idx.repartition(idx.sparkSession.sparkContext.defaultParallelism, "node"), n, count, seed,
+                        filled, first)
+    return scratch(rows.hint("merge").join(nz, "src_idx").drop("src_idx"), "perm-vectors")
+
+
+def _joined_stats(edges: DataFrame | None, taken: DataFrame, k: int, doc_roles: DataFrame | None) -> DataFrame:
+    """(it, stat) of the relabelled vectors ``taken``."""
     v = [f"v{i}" for i in range(k)]
     if doc_roles is not None:
         per = doc_roles.join(taken.withColumnRenamed("node", "doc"), "doc").groupBy("it", "user").agg(
             F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("sr2"),
             *[F.sum(F.col("r") * F.col(c)).alias(f"s{i}") for i, c in enumerate(v)])
         sq = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(k)), F.lit(0.0))
-        stat = per.groupBy("it").agg((F.sum(sq - F.col("sr2")) / F.sum(F.col("sr") * F.col("sr") - F.col("sr2")))
+        return per.groupBy("it").agg(F.try_divide(F.sum(sq - F.col("sr2")), F.sum(F.col("sr") * F.col("sr") - F.col("sr2")))
                                      .alias("stat"))
-    else:
-        # the edges of a source sum their targets' vectors before they meet the source's
-        w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-        e = edges.select("src", F.col("dst").alias("node"), w.alias("w"))
-        per = e.join(taken, "node").groupBy("it", "src").agg(
-            F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{i}") for i, c in enumerate(v)])
-        j = per.join(taken.withColumnRenamed("node", "src"), ["it", "src"])
-        stat = j.groupBy("it").agg((F.sum(_dot("s", "v", k)) / F.sum("sw")).alias("stat"))
-    return stat
+    # the edges of a source sum their targets' vectors before they meet the source's
+    w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    e = edges.select("src", F.col("dst").alias("node"), w.alias("w"))
+    per = e.join(taken, "node").groupBy("it", "src").agg(
+        F.sum("w").alias("sw"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{i}") for i, c in enumerate(v)])
+    j = per.join(taken.withColumnRenamed("node", "src"), ["it", "src"])
+    return j.groupBy("it").agg((F.sum(_dot("s", "v", k)) / F.sum("sw")).alias("stat"))
 
 
 def permutation_test(edges: DataFrame | None, vecs: DataFrame, k: int, n_iter: int = 100,

@@ -84,3 +84,40 @@ def test_keyed_bijection():
     for it in range(5000):
         seen[np.arange(5), AS.keyed_bijection(np.arange(5), 5, it, 11)] += 1
     assert seen.min() > 880 and seen.max() < 1120
+
+
+def test_inverse_of_the_bijection():
+    for n in (1, 2, 5, 64, 1000, 4097):
+        for it in range(3):
+            there = AS.keyed_bijection(np.arange(n), n, it, 7)
+            assert (AS.keyed_inverse(there, n, it, 7) == np.arange(n)).all()
+
+
+def test_cells_and_joins_agree(spark):
+    """Blocks of two rows, users split over blocks, a null user and weights: the sums of the
+    cells are those of the joins and of a plain loop."""
+    r = np.random.default_rng(2)
+    vec = {i: [float(x) for x in r.random(2)] if i % 3 else [0.0, 0.0] for i in range(30)}
+    vecs = _vecs(spark, vec)
+    links = [(int(a), int(b), int(w)) for a, b, w in zip(r.integers(0, 30, 80), r.integers(0, 30, 80), r.integers(1, 4, 80))]
+    edges = spark.createDataFrame(links + links[:5], "src long, dst long, weight long")
+    held = {(int(d), None if u == 4 else int(u)) for d, u in zip(r.integers(0, 30, 90), r.integers(0, 5, 90))}
+    roles = spark.createDataFrame([(d, u, 1 + d % 3) for d, u in sorted(held, key=str)], "doc long, user long, r long")
+    for kind in ({"edges": edges}, {"edges": None, "doc_roles": roles}):
+        cells = {x.it: x.stat for x in AS.permutation_stats(vecs=vecs, k=2, n_iter=7, seed=5, block_rows=2, **kind).collect()}
+        one = {x.it: x.stat for x in AS.permutation_stats(vecs=vecs, k=2, n_iter=7, seed=5, **kind).collect()}
+        joins = {x.it: x.stat for x in AS.permutation_stats(vecs=vecs, k=2, n_iter=7, seed=5, vector_bytes=0, **kind).collect()}
+        assert set(cells) == set(one) == set(joins) == set(range(7))
+        assert all(abs(cells[i] - joins[i]) < 1e-12 and abs(one[i] - joins[i]) < 1e-12 for i in cells)
+    nodes = sorted(vec, key=lambda v: (_unit(vec[v]) is None, v))
+    for it, stat in {x.it: x.stat for x in AS.permutation_stats(edges, vecs, 2, 3, 5, block_rows=2).collect()}.items():
+        of = {v: _unit(vec[nodes[p]]) for v, p in zip(nodes, AS.keyed_bijection(np.arange(30), 30, it, 5))}
+        got = [(w, _cos(of[a], of[b])) for a, b, w in links + links[:5]]
+        assert abs(stat - sum(w * c for w, c in got if c is not None) / sum(w for w, c in got if c is not None)) < 1e-12
+
+
+def test_graphs_without_vectors_or_edges(spark):
+    none = _vecs(spark, {1: [0.0, 0.0], 2: [0.0, 0.0]})
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    assert [x.stat for x in AS.permutation_stats(edges, none, 2, 3).collect()] == [None] * 3
+    assert [x.stat for x in AS.permutation_stats(edges.limit(0), _vecs(spark, VEC), 2, 3).collect()] == [None] * 3
