@@ -29,7 +29,7 @@ def _load_all() -> None:
     # Importing the modules fills the registry.
     from forumlens.plans import (  # noqa: F401
         text_queries, outcome_queries, report_queries, graph_queries, model_queries, extract_queries,
-        document_queries,
+        document_queries, record_queries,
     )
 
 

@@ -168,7 +168,46 @@ def phrase_tokens(spark, sf_dir):
                       F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 2)).cast("bigint").alias("n_phrases"))
 
 
-@register("phrase_tokens_3gram")
+def _pass_sql(source: str, n: int) -> str:
+    """Pass ``n`` of the phrase chain in SQL: phrases learned on the training documents of
+    ``source``, merged greedily from the left; its tokens are ``m{n}``."""
+    return f"""
+tr{n} AS (SELECT * FROM {source} WHERE ml_tag = 0),
+ntot{n} AS (SELECT sum(len(tokens)) AS n FROM tr{n}),
+uni{n} AS (SELECT t, count(*) AS c FROM (SELECT unnest(tokens) AS t FROM tr{n}) GROUP BY t),
+pr{n} AS (SELECT unnest(tokens[:len(tokens) - 1]) AS a, unnest(tokens[2:]) AS b FROM tr{n} WHERE len(tokens) >= 2),
+pc{n} AS (SELECT a, b, count(*) AS n_ab FROM pr{n} GROUP BY a, b HAVING count(*) >= 20),
+phr{n} AS MATERIALIZED (SELECT p.a, p.b FROM pc{n} p JOIN uni{n} x ON x.t = p.a JOIN uni{n} y ON y.t = p.b CROSS JOIN ntot{n} s
+  WHERE ln((p.n_ab / s.n) / ((x.c / s.n) * (y.c / s.n))) / (-ln(p.n_ab / s.n)) > 0.05),
+ap{n} AS (SELECT ord_key, unnest(range(len(tokens) - 1)) AS i, unnest(tokens[:len(tokens) - 1]) AS a, unnest(tokens[2:]) AS b
+          FROM {source} WHERE len(tokens) >= 2),
+fl{n} AS (SELECT q.* FROM ap{n} q JOIN phr{n} h ON h.a = q.a AND h.b = q.b),
+rn{n} AS (SELECT *, i - row_number() OVER (PARTITION BY ord_key ORDER BY i) AS grp FROM fl{n}),
+tk{n} AS MATERIALIZED (SELECT ord_key, i, a || '_' || b AS t FROM (SELECT *, min(i) OVER (PARTITION BY ord_key, grp) AS st FROM rn{n})
+         WHERE (i - st) % 2 = 0),
+ex{n} AS (SELECT ord_key, unnest(range(len(tokens))) AS j, unnest(tokens) AS t FROM {source}),
+mg{n} AS (SELECT e.ord_key, list(coalesce(k.t, e.t) ORDER BY e.j) AS tokens FROM ex{n} e
+          LEFT JOIN tk{n} k ON k.ord_key = e.ord_key AND k.i = e.j
+          WHERE NOT EXISTS (SELECT 1 FROM tk{n} s WHERE s.ord_key = e.ord_key AND s.i + 1 = e.j) GROUP BY e.ord_key),
+m{n} AS MATERIALIZED (SELECT s.ord_key, s.ml_tag, coalesce(g.tokens, []) AS tokens FROM {source} s LEFT JOIN mg{n} g ON g.ord_key = s.ord_key)"""
+
+
+def _extended_sql() -> str:
+    """``toks``: the tokens with the two-word phrases of the first pass and the three-word ones of the second."""
+    plain = tokens_cte().replace("toks AS", "plain AS", 1)
+
+    def words(table: str, n: int) -> str:
+        return f"list_filter({table}.tokens, lambda t: len(string_split(t, '_')) = {n})"
+    return f"""{plain}, {_pass_sql('plain', 1)}, {_pass_sql('m1', 2)},
+toks AS MATERIALIZED (SELECT p.ord_key, p.ml_tag, p.tokens || {words('m1', 2)} || {words('m2', 3)} AS tokens
+                      FROM plain p JOIN m1 ON m1.ord_key = p.ord_key JOIN m2 ON m2.ord_key = p.ord_key)"""
+
+
+@register("phrase_tokens_3gram", sql=lambda: f"""
+WITH {posts_cte()}, {_extended_sql()}
+SELECT ord_key, CAST(len(tokens) AS BIGINT) AS n_ext,
+       CAST(len(list_filter(tokens, lambda t: len(string_split(t, '_')) = 2)) AS BIGINT) AS n_bigrams,
+       CAST(len(list_filter(tokens, lambda t: len(string_split(t, '_')) = 3)) AS BIGINT) AS n_trigrams FROM toks""")
 def phrase_tokens_3gram(spark, sf_dir):
     """D5-D8 with three-word phrases (two chained passes): per document the
     extended token count and the two- and three-word phrases appended."""
@@ -178,7 +217,9 @@ def phrase_tokens_3gram(spark, sf_dir):
                       F.size(F.filter("tokens", lambda t: PH.n_joined(t) == 3)).cast("bigint").alias("n_trigrams"))
 
 
-@register("phrase_vocabulary")
+@register("phrase_vocabulary", sql=lambda: f"""
+WITH {posts_cte()}, {_extended_sql()}, {vocab_cte()}
+SELECT token, token_id, df, cf FROM vocab""")
 def phrase_vocabulary(spark, sf_dir):
     """D5-D10 as configured in the demo (3-grams): dictionary over extended
     tokens of the training split."""

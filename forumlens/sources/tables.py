@@ -4,7 +4,7 @@ The engine's own datasets (posts, outcome log, contributor roles, topic vectors)
 are DataFrames with fixed columns. On the driver's test tables they are derived
 as follows (mapping documented in the README):
 
-* ``posts``     <- documents; ``post_stats`` (votes/views) <- labels
+* ``posts``     <- documents; ``post_stats`` (votes/views) <- events
 * ``outcomes``  <- events (event_type 'error' is a failed task)
 * ``roles``     <- orders (asker = o_custkey) and lineitem (answerer = l_suppkey)
 * ``topic_vectors`` <- embeddings (all dims folded into k sums of absolute values, normalised)
@@ -42,12 +42,6 @@ def posts(spark: SparkSession, sf_dir: str, test_fraction: float = 0.15,
         F.col("lang"))
 
 
-def post_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes and views of posts (post_id, votes, views), without their text."""
-    return table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("post_id"), F.col("quality").alias("votes"), F.col("toxic").alias("views"))
-
-
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-task outcome log (``post_results`` shape) from ``events``.
 
