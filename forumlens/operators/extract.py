@@ -1,8 +1,9 @@
 """HTML extraction jobs.
 
-Each job is one ``mapInArrow`` pass: executors parse their rows' HTML with the
-small tree in ``functions/htmltree.py`` and emit Arrow record batches with a
-declared (nested) schema. Every row yields exactly one outcome: a failure
+Listings, page counts and the links of whole pages are column expressions
+(``functions/markup.py``). The post job is one ``mapInArrow`` pass: executors parse
+their rows' HTML with the small tree in ``functions/htmltree.py`` and emit Arrow
+record batches with a declared (nested) schema. Every row yields exactly one outcome: a failure
 keeps ``exit_code = 1`` and the message, with null data (nothing is dropped).
 Class tests are class-token membership.
 """
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forumlens.functions import markup as M
 from forumlens.functions.htmltree import Node, parse
 from forumlens.functions.scalars import split_tag
 from forumlens.operators.assort import with_dense_index
+from forumlens.operators.links import ANCHOR_RE
 from forumlens.session import ship_package
 
 # The page layout the parser expects (overridable profile).
@@ -172,37 +175,10 @@ def _child(tag: str, take):
     return inner
 
 
-def _number(text: str | None) -> int:
-    return int(re.sub(r"[^0-9-]", "", text or ""))
-
-
-def _strong_number(n: Node):
-    return _child("strong", lambda s: int(s.get_text()))(n)
-
-
-def _state(n: Node):
-    return next((c for c in n.classes() if c != FORUM_PROFILE["status_class"]), None)
-
-
 def _profile_link(n: Node, prefix: str) -> Node | None:
     return next((a for a in n.find_all("a") if (a.get("href") or "").startswith(prefix)), None)
 
 
-LISTING_RULES = (
-    Rule("post_url", "a", "question_link_class", _attr("href")),
-    Rule("heading", "a", "question_link_class", Node.get_text),
-    Rule("votes", "span", "vote_count_class", _strong_number),
-    Rule("views", "div", "views_class", lambda n: _number(n.get("title"))),
-    Rule("answers", "div", "status_class", _strong_number),
-    Rule("answer_status", "div", "status_class", _state),
-    Rule("excerpt", "div", "excerpt_class", lambda n: n.get_text(strip=True)),
-    Rule("asked_date_raw", "div", "action_time_class", _child("span", _attr("title"))),
-    Rule("user", "div", "user_details_class", lambda n: next((t.strip() for t in n.texts() if t.strip()), None)),
-    Rule("user_url", "div", "user_details_class", _child("a", _attr("href"))),
-    Rule("tags", "div", "tags_class", lambda n: [a.get_text() for a in n.find_all("a")]),
-)
-LISTING_NEEDS = ("votes", "answers", "views")
-
 ANSWER_RULES = (
     Rule("answer_vote", "div", "vote_class", lambda n: int(n.get("data-value"))),
     Rule("answer_date", "div", "action_time_class", _child("span", lambda s: parse_date(s.get("title")))),
@@ -283,25 +259,6 @@ def parse_post(doc: str | None, post_id, p=FORUM_PROFILE) -> dict:
             "total_comment_count": own + sum(len(a["comment_lst"]) for a in answers)}
 
 
-def listing_meta(doc: str | None, p=FORUM_PROFILE) -> list[dict]:
-    """One record per question summary; a missing field is null and a
-    record that lacks a required number fails with exit_code 1."""
-    empty = {r.field: None for r in LISTING_RULES}
-    out = []
-    for pos, node in enumerate(elements(parse(doc), "div", "summary_class", p)):
-        rec = {"pos": pos, "post_id": -1, "exit_code": 0, "exit_msg": "", **empty}
-        try:
-            rec["post_id"] = int((node.get("id") or "")[p["summary_id_prefix_len"]:])
-            rec.update(read(node, LISTING_RULES, p))
-            missing = [f for f in LISTING_NEEDS if rec[f] is None]
-            if missing:
-                raise ValueError(f"missing {missing[0]} for post {rec['post_id']}")
-        except Exception as exc:  # noqa: BLE001
-            rec.update(empty, exit_code=1, exit_msg=str(exc))
-        out.append(rec)
-    return out
-
-
 # ------------------------------------------------------------- Spark jobs
 
 def parse_posts(raw: DataFrame, html_col: str = "content_raw", profile: dict | None = None) -> DataFrame:
@@ -330,28 +287,61 @@ def parse_posts(raw: DataFrame, html_col: str = "content_raw", profile: dict | N
     return src.mapInArrow(job, QUESTION_INFO)
 
 
+# The numbers that a question summary must have.
+LISTING_NEEDS = ("votes", "answers", "views")
+
+
+def listing_meta(pages: DataFrame, p: dict = FORUM_PROFILE) -> DataFrame:
+    """A record for each question summary of (page_nr, batch_id, html), with its position on
+    the page. A missing field is null; a record that lacks its id or a required number fails
+    with exit_code 1, a message and null fields."""
+    def part(tag: str, hook: str) -> Column:
+        return M.last(M.elements(F.col("s"), tag, p[hook]))
+
+    def number(c: Column) -> Column:
+        return F.trim(c).try_cast("int")
+
+    found = M.elements(M.uncommented(F.col("html")), "div", p["summary_class"])
+    s = pages.select("page_nr", "batch_id", F.posexplode(found).alias("pos", "s"))
+    blocks = {"link": ("a", "question_link_class"), "vote": ("span", "vote_count_class"), "view": ("div", "views_class"),
+              "status": ("div", "status_class"), "body": ("div", "excerpt_class"), "when": ("div", "action_time_class"),
+              "who": ("div", "user_details_class"), "tag": ("div", "tags_class")}
+    own_id = F.substring(M.attribute(F.col("s"), "id"), F.lit(p["summary_id_prefix_len"] + 1), F.lit(20)).try_cast("long")
+    s = s.select("page_nr", "batch_id", F.col("pos").cast("int").alias("pos"), F.coalesce(own_id, F.lit(-1)).alias("post_id"),
+                 *[part(*where).alias(f"b_{name}") for name, where in blocks.items()])
+    b = {name: F.col(f"b_{name}") for name in blocks}
+    state = F.filter(F.split(M.attribute(b["status"], "class"), r"\s+"), lambda c: (c != p["status_class"]) & (c != ""))
+    fields = {
+        "post_url": M.attribute(b["link"], "href"), "heading": M.text(b["link"]),
+        "excerpt": F.array_join(M.pieces(b["body"]), ""),
+        "asked_date_raw": M.attribute(M.first(M.elements(b["when"], "span")), "title"),
+        "votes": number(M.text(M.first(M.elements(b["vote"], "strong")))),
+        "answers": number(M.text(M.first(M.elements(b["status"], "strong")))), "answer_status": M.first(state),
+        "views": F.regexp_replace(M.attribute(b["view"], "title"), "[^0-9-]", "").try_cast("int"),
+        "tags": F.transform(M.elements(b["tag"], "a"), M.text),
+        "user": M.first(M.pieces(b["who"])), "user_url": M.attribute(M.first(M.elements(b["who"], "a")), "href")}
+    s = s.select("page_nr", "batch_id", "pos", "post_id", *[c.alias(name) for name, c in fields.items()])
+    lacks = F.when(F.col("post_id") < 0, "a summary without a post id")
+    for name in LISTING_NEEDS:
+        lacks = lacks.when(F.col(name).isNull(), F.concat(F.lit(f"missing {name} for post "), "post_id"))
+    s = s.withColumn("exit_msg", F.coalesce(lacks, F.lit("")))
+    good = F.col("exit_msg") == ""
+    return s.select("batch_id", "page_nr", "pos", "post_id", F.when(good, 0).otherwise(1).alias("exit_code"), "exit_msg",
+                    *[F.when(good, F.col(f.name)).alias(f.name) for f in POST_META.fields if f.name in fields])
+
+
 def extract_listing(pages: DataFrame, html_col: str = "content_raw", profile: dict | None = None,
                     test_fraction: float = 0.15, val_fraction: float = 0.15, divisor: int = 1,
                     batch_col: str | None = None) -> DataFrame:
     """Listing pages (page_nr, <html>) -> one post_meta row per
     summary, with asked_date parsed, a split tag and order keys
     (``batch + divisor * (row number within the batch - 1)``)."""
-    ship_package(pages.sparkSession)
     p = dict(FORUM_PROFILE, **(profile or {}))
-    out = T.StructType([*POST_META.fields, T.StructField("batch_id", T.LongType())])
-    schema = _arrow_schema(out)
     src = pages.select(F.col("page_nr").cast("long"), F.col(html_col).alias("html"),
                        (F.col(batch_col) if batch_col else F.lit(0)).cast("long").alias("batch_id"))
-
-    def job(batches):
-        for b in batches:
-            rows = [{"page_nr": r["page_nr"], "batch_id": r["batch_id"], **rec}
-                    for r in b.to_pylist() for rec in listing_meta(r["html"], p)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
     # Row numbers within a batch are global positions less the batch's first one: no
     # window over a batch, however many posts it has.
-    meta = with_dense_index(src.mapInArrow(job, out), ["batch_id", "page_nr", "pos", "post_id"], "__i")
+    meta = with_dense_index(listing_meta(src, p), ["batch_id", "page_nr", "pos", "post_id"], "__i")
     first = meta.groupBy("batch_id").agg(F.min("__i").alias("__first"))
     asked = F.to_date(F.try_to_timestamp(F.col("asked_date_raw"), F.lit("yyyy-MM-dd HH:mm:ssX")))
     return (meta.join(first, "batch_id")
@@ -386,25 +376,20 @@ def page_counts(pages: DataFrame, html_col: str = "content_raw", topic_col: str
 
 
 def separate_page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """C7 over whole pages: (id, n_links, links, text_len) with the post-wide
-    link counter, using the same tree as the post parser."""
-    ship_package(pages.sparkSession)
-    out_schema = T.StructType([T.StructField("post_id", T.LongType()), T.StructField("n_links", T.IntegerType()),
-                               T.StructField("links", T.StringType()), T.StructField("text_len", T.IntegerType())])
-    schema = _arrow_schema(out_schema)
-    src = pages.select(F.col(id_col).cast("long").alias("post_id"), F.col(html_col).alias("html"))
-
-    def job(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                root = parse(r["html"])
-                n = len(root.find_all("a"))
-                txt, links = separate_links(root, itertools.count())
-                rows.append({"post_id": r["post_id"], "n_links": n, "links": links, "text_len": len(txt)})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return src.mapInArrow(job, out_schema)
+    """C7 over whole pages: (id, n_links, links, text_len): the anchors of a page numbered, with their
+    hrefs and single texts, and the length of what text is left without them."""
+    html = M.uncommented(F.col(html_col))
+    found = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)
+    p = pages.select(F.col(id_col).cast("long").alias("post_id"), found.alias("found"),
+                     M.text(F.regexp_replace(html, ANCHOR_RE, "")).alias("rest"))
+
+    def link(a: Column, i: Column) -> Column:
+        head, between, middle, end = re.split(r"\{\w+\}", LINK_TEMPLATE)
+        return F.concat(F.lit(head + "link_id_"), i.cast("string"), F.lit(between),
+                        F.coalesce(M.attribute(a, "href"), F.lit(NO_HREF)), F.lit(middle), M.only_text(a), F.lit(end))
+
+    return p.select("post_id", F.size("found").alias("n_links"), F.array_join(F.transform("found", link), "\n").alias("links"),
+                    F.length(F.regexp_replace("rest", r"^\s+|\s+$", "")).alias("text_len"))
 
 
 def comment_count_expr(answers_col: str = "answers"):

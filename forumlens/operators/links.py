@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumlens.functions.markup import unescape
 from forumlens.functions.scalars import link_type
 
 # Anchor patterns and the missing-href marker.
@@ -24,14 +25,6 @@ TAG_RE = r"<[^>]*>"
 NO_HREF = "#none#"
 
 
-def unescape(c: Column) -> Column:
-    """Common entities, as an HTML parser decodes them (other names and numbers stay)."""
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                    ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
 def anchors(html) -> Column:
     """C14: ``array<struct<text, href>>`` of every ``<a>`` in an HTML string outside
     comments, its href in double, single or no quotes; a missing href becomes

@@ -80,13 +80,41 @@ def test_parse_post_failures():
         X.parse_post(two, 7)
 
 
-def test_listing_and_pages():
-    recs = X.listing_meta(LISTING)
-    r1, r2 = recs
+ODD_LISTING = """<div class="question-summary" id="question-summary-7"><div class="views" title="1 view">1</div></div>
+<!-- <div class="question-summary" id="question-summary-8"></div> -->
+<div class='narrow question-summary' id='question-summary-9'><p>open <div><div class="status"><strong> 4</strong></div></div>
+<span class="vote-count-post"><strong>-2</strong></span><div class="views" title="3 views"></div>
+<div class="excerpt"> a <b> &lt;b&gt; </b> c </div><a class="question-hyperlink" href="/q?a=1&amp;b=2">A &amp; <i>B</i></a></div>
+<div class="user-details">outside</div><div class="question-summary" id="none"></div>
+<div class="question-summary-wide" id="question-summary-11"></div>"""
+
+
+def test_listing_and_pages(spark):
+    pages = spark.createDataFrame([(1, 0, LISTING), (2, 0, ODD_LISTING), (3, 0, None), (4, 0, "")],
+                                  "page_nr long, batch_id long, html string")
+    recs = {(r.page_nr, r.pos): r for r in X.listing_meta(pages).collect()}
+    assert sorted(recs) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    r1, r2 = recs[1, 0], recs[1, 1]
     assert (r1["post_id"], r1["votes"], r1["answers"], r1["views"], r1["answer_status"]) == (101, 3, 2, 1234, "answered-accepted")
     assert (r1["post_url"], r1["heading"], r1["excerpt"]) == ("/questions/101/x", "Title 1", "Some excerpt")
     assert r1["tags"] == ["python", "spark"] and (r1["user"], r1["user_url"]) == ("al", "/users/1/al")
     assert r2["tags"] is None and r2["views"] == 12 and r2["answer_status"] == "unanswered"
+    # a field missing, nested and unclosed tags, single quotes, entities, what lies outside, no id
+    r3, r4, r5 = recs[2, 0], recs[2, 1], recs[2, 2]
+    assert (r3.exit_code, r3.exit_msg, r3.views) == (1, "missing votes for post 7", None)
+    assert (r4.post_id, r4.exit_code, r4.votes, r4.answers, r4.answer_status, r4.views) == (9, 0, -2, 4, None, 3)
+    assert (r4.excerpt, r4.heading, r4.post_url, r4.user) == ("a<b>c", "A & B", "/q?a=1&b=2", None)
+    assert (r5.post_id, r5.exit_code) == (-1, 1) and "without a post id" in r5.exit_msg
+
+
+def test_links_of_pages(spark):
+    html = """<p>see <a href='/x'>one</a><!-- <a href="/no">n</a> --> and <a>two <b>three</b></a><a href="/y"><b>four</b></a></p>"""
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    r = {x.post_id: x for x in X.separate_page_links(pages).collect()}
+    assert (r[1].n_links, r[1].text_len) == (3, len("see  and"))
+    assert r[1].links == ('<a id="link_id_0" href="/x">\none\n</a>\n<a id="link_id_1" href="#none#">\n\n</a>\n'
+                          '<a id="link_id_2" href="/y">\nfour\n</a>')
+    assert (r[2].n_links, r[2].links, r[2].text_len) == (0, "", 0)
 
 
 def test_spark_jobs(spark):
