@@ -1,4 +1,4 @@
-"""Elements of HTML text as Column expressions.
+"""Elements of HTML text as Column expressions.
 
 An element is found by its opening tag and a class token, and ends where its tag's nesting closes, so
 unclosed paragraphs and list items don't matter. Elements of one class are taken not to lie in each
@@ -29,10 +29,16 @@ def uncommented(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), COMMENT, "")
 
 
-def _opening(tag: str, cls: str | None) -> str:
-    if cls is None:
+def _opening(tag: str, cls: str | tuple | None, own_id: str | None) -> str:
+    """The pattern of a tag's beginning, with a token of ``cls`` (or one of them) or with an id."""
+    if own_id is not None:
+        name, value = "id", re.escape(own_id)
+    elif cls is not None:
+        words = "|".join(re.escape(c) for c in ((cls,) if isinstance(cls, str) else cls))
+        name, value = "class", rf"(?:[^>]*?\s)??(?:{words})(?:\s[^>]*?)??"
+    else:
         return rf"<{tag}(?=[\s>])"
-    return rf"""<{tag}\s(?=(?:[^>]*?\s)?class\s*=\s*(?:"(?:[^">]*\s)?{re.escape(cls)}(?:\s[^">]*)?"|'(?:[^'>]*\s)?{re.escape(cls)}(?:\s[^'>]*)?'))"""
+    return rf"""<{tag}\s(?=(?:[^>]*?\s)?{name}\s*=\s*(?:"{value.replace('[^>]', '[^">]')}"|'{value.replace('[^>]', "[^'>]")}'))"""
 
 
 def _closed(chunk: Column, tag: str) -> Column:
@@ -50,9 +56,9 @@ def _closed(chunk: Column, tag: str) -> Column:
     return F.when(stop < 0, chunk).otherwise(F.array_join(F.slice(parts, 1, F.greatest(stop, F.lit(0))), f"</{tag}>"))
 
 
-def elements(html: Column, tag: str, cls: str | None = None) -> Column:
-    """``array<string>``: the elements of a tag (and class token) in order, without their last closing tag."""
-    start = _opening(tag, cls)
+def elements(html: Column, tag: str, cls: str | tuple | None = None, own_id: str | None = None) -> Column:
+    """``array<string>``: the elements of a tag (and class token, or id) in order, without their last closing tag."""
+    start = _opening(tag, cls, own_id)
     chunks = F.filter(F.split(html, f"(?is)(?={start})"), lambda c: F.regexp_like(c, F.lit(f"(?is)^{start}")))
     return F.transform(chunks, lambda c: _closed(c, tag))
 
@@ -85,3 +91,24 @@ def pieces(element: Column) -> Column:
 def only_text(element: Column) -> Column:
     """The text of an element that holds one piece of text and nothing beside it, else ''."""
     return unescape(F.regexp_extract(element, r"(?s)^(?:<[^>]*>)+([^<]*)(?:</[^>]*>)*$", 1))
+
+
+def classes(element: Column) -> Column:
+    return F.filter(F.split(attribute(element, "class"), r"\s+"), lambda c: c != "")
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def time(c: Column) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' with Z or an offset -> timestamp; anything else -> null."""
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss[XXX][XX][X]"))
+
+
+def numbered(html: Column, tag: str, label: str) -> Column:
+    """``html`` with the elements of ``tag`` emptied and given the ids label_0, label_1, ... ."""
+    parts = F.split(html, rf"(?i)</{tag}\s*>")
+    return F.array_join(F.transform(parts, lambda part, i: F.regexp_replace(
+        part, F.lit(rf"(?is)<{tag}(\s[^>]*)?>.*$"), F.concat(F.lit(f'<{tag}$1 id="{label}_'), i.cast("string"), F.lit('">')))),
+        f"</{tag}>")

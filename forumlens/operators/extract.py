@@ -1,32 +1,24 @@
 """HTML extraction jobs.
 
-Listings, page counts and the links of whole pages are column expressions
-(``functions/markup.py``). The post job is one ``mapInArrow`` pass: executors parse
-their rows' HTML with the small tree in ``functions/htmltree.py`` and emit Arrow
-record batches with a declared (nested) schema. Every row yields exactly one outcome: a failure
+Each job is column expressions over the elements of ``functions/markup.py``, all
+in the row: no Python and, but for the listing's order keys, no shuffle.
+Every row yields exactly one outcome: a failure
 keeps ``exit_code = 1`` and the message, with null data (nothing is dropped).
 Class tests are class-token membership.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
-from datetime import datetime, timezone
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forumlens.functions import markup as M
-from forumlens.functions.htmltree import Node, parse
 from forumlens.functions.scalars import split_tag
 from forumlens.operators.assort import with_dense_index
 from forumlens.operators.links import ANCHOR_RE
-from forumlens.session import ship_package
 
 # The page layout the parser expects (overridable profile).
 FORUM_PROFILE = {
@@ -59,11 +51,10 @@ FORUM_PROFILE = {
 }
 # Output templates, markers and messages.
 LINK_TEMPLATE = '<a id="{id}" href="{href}">\n{content}\n</a>'
-CODE_TEMPLATE = "<code id={id}>\n{content}\n</code>"
 NO_HREF = "#none#"
 MSG_MULTI_QUESTION = "Multiple questions found in post {post_id}"
 MSG_NO_QUESTION = "No question found in post {post_id}"
-DATE_FORMAT = "%Y-%m-%d %H:%M:%S%z"
+MSG_BAD_VOTE = "A vote that is no number in post {post_id}"
 
 COMMENT_FIELDS = [
     T.StructField("comment_lst_raw", T.ArrayType(T.StringType())),
@@ -119,172 +110,117 @@ POST_META = T.StructType([
 ])
 
 
-def _arrow_schema(st: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(st, timestamp_utc=True, prefers_large_types=False)
+def _links(block: Column) -> Column:
+    """The anchors of a block as (href, text)."""
+    return F.transform(F.regexp_extract_all(F.coalesce(block, F.lit("")), F.lit(ANCHOR_RE), 0), lambda a: F.struct(
+        F.coalesce(M.attribute(a, "href"), F.lit(NO_HREF)).alias("href"), M.only_text(a).alias("text")))
 
 
-def parse_date(s):
-    """'yyyy-mm-dd HH:MM:SSZ' -> aware datetime; anything else -> None."""
-    try:
-        return datetime.strptime(s.replace("Z", "+00:00"), DATE_FORMAT).astimezone(timezone.utc)
-    except Exception:  # noqa: BLE001
-        return None
+def _listed(links: Column, first: Column) -> Column:
+    """The links as text, numbered from ``first`` on."""
+    head, between, middle, end = re.split(r"\{\w+\}", LINK_TEMPLATE)
+    return F.array_join(F.transform(links, lambda a, i: F.concat(
+        F.lit(head + "link_id_"), (first + i).cast("string"), F.lit(between), a["href"], F.lit(middle), a["text"],
+        F.lit(end))), "\n")
 
 
-# ------------------------------------------------------------ field rules
-#
-# A record is read from its element by a table of rules: where a field stands (tag
-# and the profile's class), and what is taken there. One walker applies any table.
+def _without_links(block: Column) -> Column:
+    return M.stripped(M.text(F.regexp_replace(block, ANCHOR_RE, "")))
 
 
-@dataclass(frozen=True)
-class Rule:
-    field: str
-    tag: str
-    hook: str                      # profile key of the class, or classes
-    take: Callable[[Node], object]  # value of the last element that fits
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda acc, n: acc + n)
 
 
-def _fits(node: Node, hook, p: dict) -> bool:
-    wanted = p[hook]
-    return not set(node.classes()).isdisjoint([wanted] if isinstance(wanted, str) else wanted)
+def _or_none(a: Column) -> Column:
+    return F.coalesce(a, F.array().cast("array<string>"))
 
 
-def elements(base: Node, tag: str, hook: str, p: dict) -> list[Node]:
-    return [n for n in base.find_all(tag) if _fits(n, hook, p)]
+def _comment(item: Column, p: dict) -> Column:
+    """A comment's source, its text block, its user and its time."""
+    stamp = M.attribute(M.last(M.elements(item, "span", p["comment_date_class"])), "title")
+    return F.struct(
+        F.concat(item, F.lit("</li>")).alias("raw"), M.last(M.elements(item, "span", p["comment_copy_class"])).alias("copy"),
+        M.attribute(M.last(M.elements(item, "a", p["comment_user_class"])), "href").alias("user"),
+        M.time(M.first(F.split(stamp, ","))).alias("date"))
 
 
-def read(base: Node, rules: Sequence[Rule], p: dict) -> dict:
-    """Field -> value; a field whose element is absent is None."""
-    out = {}
-    for r in rules:
-        found = elements(base, r.tag, r.hook, p)
-        out[r.field] = r.take(found[-1]) if found else None
-    return out
+def _post_part(html: Column, i: Column, p: dict) -> Column:
+    """The question (part 0) or an answer: its body, its comments and what only answers have."""
+    cells = F.flatten(F.transform(M.elements(html, "div", p["postcell_class"]), lambda c: M.elements(c, "div", p["body_classes"])))
+    body = M.last(F.when(i == 0, cells).otherwise(M.elements(html, "div", p["body_classes"])))
+    comments = F.transform(_or_none(M.elements(M.last(M.elements(html, "div", p["comments_class"])), "li", p["comment_class"])),
+                           lambda c: _comment(c, p))
+    profiles = F.transform(M.elements(html, "div", p["user_details_class"]), lambda d: M.first(F.filter(
+        M.elements(d, "a"), lambda a: F.startswith(M.attribute(a, "href"), F.lit(p["user_prefix"])))))
+    vote = M.last(M.elements(html, "div", p["vote_class"]))
+    return F.struct(
+        body.alias("body"), comments.alias("comments"), M.last(profiles).alias("user"),
+        M.time(M.attribute(M.first(M.elements(M.last(M.elements(html, "div", p["action_time_class"])), "span")), "title")).alias("date"),
+        vote.isNotNull().alias("voted"), F.trim(M.attribute(vote, "data-value")).try_cast("int").alias("vote"),
+        F.coalesce(F.array_contains(M.classes(html), p["accepted_class"]), F.lit(False)).alias("accepted"))
 
 
-def _attr(name: str):
-    return lambda n: n.get(name)
+def _finished(part: Column, p: dict) -> Column:
+    """A part's fields, with its links numbered from ``part.first`` on: the body's, then each comment's."""
+    links = part["links"]
 
+    def comment_links(c: Column, j: Column) -> Column:
+        before = part["first"] + _sum(F.transform(F.slice(links, 1, j + 1), F.size))
+        return F.when(c["copy"].isNotNull(), _listed(F.get(links, j + 1), before))
 
-def _child(tag: str, take):
-    def inner(n: Node):
-        c = n.first(tag)
-        return None if c is None else take(c)
-    return inner
+    comments = part["comments"]
+    return F.struct(
+        F.concat(part["body"], F.lit("</div>")).alias("answer_raw"), _without_links(part["body"]).alias("answer_txt"),
+        _listed(F.get(links, F.lit(0)), part["first"]).alias("answer_links"), M.attribute(part["user"], "href").alias("user_url"),
+        M.text(part["user"]).alias("user_name"), part["date"].alias("answer_date"), part["vote"].alias("answer_vote"),
+        part["accepted"].alias("is_accepted_answer"),
+        F.transform(comments, lambda c: c["raw"]).alias("comment_lst_raw"),
+        F.transform(comments, lambda c: _without_links(c["copy"])).alias("comment_lst"),
+        F.transform(comments, lambda c: c["user"]).alias("comment_user_url_lst"),
+        F.transform(comments, lambda c: c["date"]).alias("comment_date_lst"),
+        F.transform(comments, comment_links).alias("comment_link_lst"))
 
 
-def _profile_link(n: Node, prefix: str) -> Node | None:
-    return next((a for a in n.find_all("a") if (a.get("href") or "").startswith(prefix)), None)
-
-
-ANSWER_RULES = (
-    Rule("answer_vote", "div", "vote_class", lambda n: int(n.get("data-value"))),
-    Rule("answer_date", "div", "action_time_class", _child("span", lambda s: parse_date(s.get("title")))),
-)
-
-
-def detach(nodes: list[Node], label: str, number: Iterator[int]) -> list[tuple[str, Node, str]]:
-    """Give each element the next id and empty it: (id, element, its single text)."""
-    out = []
-    for n in nodes:
-        n.attrs["id"] = f"{label}_{next(number)}"
-        out.append((n.attrs["id"], n, n.string or ""))
-        n.clear()
-    return out
-
-
-def separate_links(node: Node, number: Iterator[int]) -> tuple[str, str]:
-    """(text, links): anchors leave the text and are listed with their ids."""
-    links = [LINK_TEMPLATE.format(id=k, href=a.get("href", NO_HREF) or "", content=s)
-             for k, a, s in detach(node.find_all("a"), "link_id", number)]
-    return node.get_text().strip(), "\n".join(links)
-
-
-def comment_lists(blocks: list[Node], number: Iterator[int], p=FORUM_PROFILE) -> dict:
-    """The comments of a block as five parallel lists."""
-    def one(item: Node) -> tuple:
-        raw = str(item)
-        stamp = [parse_date((n.get("title") or "").split(",")[0]) for n in elements(item, "span", "comment_date_class", p)]
-        user = [n.get("href") for n in elements(item, "a", "comment_user_class", p)]
-        body = [separate_links(n, number) for n in elements(item, "span", "comment_copy_class", p)]
-        text, links = body[-1] if body else (None, None)
-        return raw, text, user[-1] if user else None, stamp[-1] if stamp else None, links
-
-    rows = [one(li) for block in blocks[-1:] for li in elements(block, "li", "comment_class", p)]
-    return {f.name: [r[i] for r in rows] for i, f in enumerate(COMMENT_FIELDS)}
-
-
-def _only(root: Node, key: str, post_id, p: dict) -> Node | None:
-    found = [d for d in root.find_all("div") if d.get("id") == p[key]]
-    if len(found) > 1:
-        raise ValueError(MSG_MULTI_QUESTION.format(post_id=post_id))
-    return found[0] if found else None
-
-
-def _body(nodes: list[Node], number: Iterator[int]) -> tuple:
-    """(html, text, links) of the last of the bodies."""
-    return (str(nodes[-1]), *separate_links(nodes[-1], number)) if nodes else (None, None, "")
-
-
-def _answer(node: Node, number: Iterator[int], p: dict) -> dict:
-    raw, text, links = _body(elements(node, "div", "body_classes", p), number)
-    profile = [_profile_link(n, p["user_prefix"]) for n in elements(node, "div", "user_details_class", p)]
-    user = profile[-1] if profile else None
-    return {"answer_raw": raw, "answer_txt": text, "answer_links": links,
-            "user_url": user and user.get("href"), "user_name": user and user.get_text(),
-            "is_accepted_answer": _fits(node, "accepted_class", p), **read(node, ANSWER_RULES, p),
-            **comment_lists(elements(node, "div", "comments_class", p), number, p)}
-
-
-def parse_post(doc: str | None, post_id, p=FORUM_PROFILE) -> dict:
-    """C6-C11 + C13 for one post page; raises on layout errors. Link ids run through
-    the page: the question's body and comments, then each answer's."""
-    root = parse(doc)
-    codes = detach(root.find_all("code"), "code", itertools.count())
-    asked, replies = _only(root, "question_id", post_id, p), _only(root, "answers_id", post_id, p)
-    cells = elements(asked, "div", "postcell_class", p) if asked else []
-    bodies = [n for c in cells for n in elements(c, "div", "body_classes", p)]
-    if not bodies:
-        raise ValueError(MSG_NO_QUESTION.format(post_id=post_id))
-    number = itertools.count()
-    raw, text, links = _body(bodies, number)
-    comments = comment_lists(elements(asked, "div", "comments_class", p), number, p)
-    answers = [_answer(n, number, p) for n in (elements(replies, "div", "answer_class", p) if replies else [])]
-    own = len(comments["comment_lst"])
-    return {"question_raw": raw, "question_txt": text, "question_links": links,
-            "code_pieces": "\n".join(CODE_TEMPLATE.format(id=k, content=s) for k, _, s in codes),
-            **comments, "answers": answers, "answer_count": len(answers), "comment_count": own,
-            "total_comment_count": own + sum(len(a["comment_lst"]) for a in answers)}
-
-
-# ------------------------------------------------------------- Spark jobs
-
 def parse_posts(raw: DataFrame, html_col: str = "content_raw", profile: dict | None = None) -> DataFrame:
-    """C13 over a DataFrame (post_id, ord_key, ml_tag, <html>): one
-    ``QUESTION_INFO`` row per input row."""
-    ship_package(raw.sparkSession)
+    """C6-C11 + C13 over (post_id, ord_key, ml_tag, <html>): one ``QUESTION_INFO`` row per input row.
+
+    Link ids run through the page: the question's body and comments, then each answer's. A page
+    without a question (null or empty too), with two of them, or with a vote that is no number
+    fails with exit_code 1, a message and null fields. All of it stays in the row: no shuffle."""
     p = dict(FORUM_PROFILE, **(profile or {}))
-    schema = _arrow_schema(QUESTION_INFO)
-    src = raw.select(F.col("post_id").cast("long"), F.col("ord_key").cast("long"),
-                     F.col("ml_tag").cast("int"), F.col(html_col).alias("html"))
-
-    def job(batches):
-        data_keys = [f.name for f in QUESTION_INFO.fields[5:]]
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                base = {"post_id": r["post_id"], "ord_key": r["ord_key"], "ml_tag": r["ml_tag"]}
-                try:
-                    data = parse_post(r["html"], r["post_id"], p)
-                    rows.append({**base, "exit_code": 0, "exit_msg": "", **data})
-                except Exception as exc:  # noqa: BLE001
-                    rows.append({**base, "exit_code": 1, "exit_msg": str(exc),
-                                 **{k: None for k in data_keys}})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return src.mapInArrow(job, QUESTION_INFO)
+    keys = ["post_id", "ord_key", "ml_tag"]
+    html = M.uncommented(F.col(html_col))
+    d = raw.select(F.col("post_id").cast("long"), F.col("ord_key").cast("long"), F.col("ml_tag").cast("int"),
+                   M.elements(html, "code").alias("codes"), M.numbered(html, "code", "code").alias("html"))
+    d = d.select(*keys, "codes", M.elements(F.col("html"), "div", own_id=p["question_id"]).alias("asked"),
+                 M.elements(F.col("html"), "div", own_id=p["answers_id"]).alias("replies"))
+    answers = _or_none(M.elements(M.first(F.col("replies")), "div", p["answer_class"]))
+    d = d.select(*keys, "codes", (F.greatest(F.size("asked"), F.size("replies")) > 1).alias("several"), F.transform(
+        F.concat(F.array(M.first(F.col("asked"))), answers), lambda h, i: _post_part(h, i, p)).alias("parts"))
+    d = d.withColumn("parts", F.transform("parts", lambda x: x.withField(
+        "links", F.concat(F.array(_links(x["body"])), F.transform(x["comments"], lambda c: _links(c["copy"]))))))
+    d = d.withColumn("counts", F.transform("parts", lambda x: _sum(F.transform(x["links"], F.size))))
+    d = d.withColumn("parts", F.transform("parts", lambda x, i: x.withField("first", _sum(F.slice("counts", F.lit(1), i)))))
+    question, shown = F.get("parts", F.lit(0)), F.col("post_id").cast("string")
+
+    def message(template: str) -> Column:
+        return F.concat(F.lit(template.split("{")[0]), shown)
+
+    d = d.select(*keys, F.when(F.col("several"), message(MSG_MULTI_QUESTION)).when(
+        question["body"].isNull(), message(MSG_NO_QUESTION)).when(
+        F.exists("parts", lambda x: x["voted"] & x["vote"].isNull()), message(MSG_BAD_VOTE)).otherwise("").alias("exit_msg"),
+        F.transform("codes", lambda c, i: F.concat(
+            F.lit("<code id=code_"), i.cast("string"), F.lit(">\n"), M.only_text(c), F.lit("\n</code>"))).alias("codes"),
+        F.transform("parts", lambda x: _finished(x, p)).alias("parts"))
+    q, own = F.get("parts", F.lit(0)), F.size(F.get("parts", F.lit(0))["comment_lst"])
+    made = {"question_raw": q["answer_raw"], "question_txt": q["answer_txt"], "question_links": q["answer_links"],
+            "code_pieces": F.array_join("codes", "\n"), **{f.name: q[f.name] for f in COMMENT_FIELDS},
+            "answers": F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1))), "answer_count": F.size("parts") - 1,
+            "comment_count": own, "total_comment_count": _sum(F.transform("parts", lambda x: F.size(x["comment_lst"])))}
+    good = F.col("exit_msg") == ""
+    return d.select(*keys, F.when(good, 0).otherwise(1).alias("exit_code"), "exit_msg",
+                    *[F.when(good, made[f.name]).cast(f.dataType).alias(f.name) for f in QUESTION_INFO.fields[5:]])
 
 
 # The numbers that a question summary must have.
@@ -379,17 +315,12 @@ def separate_page_links(pages: DataFrame, id_col: str = "page_id", html_col: str
     """C7 over whole pages: (id, n_links, links, text_len): the anchors of a page numbered, with their
     hrefs and single texts, and the length of what text is left without them."""
     html = M.uncommented(F.col(html_col))
-    found = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)
+    found = _links(html)
     p = pages.select(F.col(id_col).cast("long").alias("post_id"), found.alias("found"),
-                     M.text(F.regexp_replace(html, ANCHOR_RE, "")).alias("rest"))
-
-    def link(a: Column, i: Column) -> Column:
-        head, between, middle, end = re.split(r"\{\w+\}", LINK_TEMPLATE)
-        return F.concat(F.lit(head + "link_id_"), i.cast("string"), F.lit(between),
-                        F.coalesce(M.attribute(a, "href"), F.lit(NO_HREF)), F.lit(middle), M.only_text(a), F.lit(end))
+                     _without_links(html).alias("rest"))
 
-    return p.select("post_id", F.size("found").alias("n_links"), F.array_join(F.transform("found", link), "\n").alias("links"),
-                    F.length(F.regexp_replace("rest", r"^\s+|\s+$", "")).alias("text_len"))
+    return p.select("post_id", F.size("found").alias("n_links"), _listed(F.col("found"), F.lit(0)).alias("links"),
+                    F.length("rest").alias("text_len"))
 
 
 def comment_count_expr(answers_col: str = "answers"):

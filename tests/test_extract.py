@@ -50,34 +50,67 @@ LISTING = """<html><body>
 </body></html>"""
 
 
-def test_parse_post_golden():
-    d = X.parse_post(POST, 5)
+def _parsed(spark, html, post_id):
+    raw = spark.createDataFrame([(post_id, 0, 0, html)], "post_id long, ord_key long, ml_tag int, content_raw string")
+    return X.parse_posts(raw).first()
+
+
+def _utc(d):
+    return d.astimezone(timezone.utc)
+
+
+def test_parse_post_golden(spark):
+    d = _parsed(spark, POST, 5)
     assert d["code_pieces"] == "<code id=code_0>\nprint(1)\n</code>\n<code id=code_1>\n\n</code>"
     assert d["question_txt"] == "How to  and ?"
     assert d["question_links"] == ('<a id="link_id_0" href="/x">\nlink one\n</a>\n'
                                    '<a id="link_id_1" href="#none#">\nno href\n</a>')
     assert d["comment_lst"] == ["see"]
     assert d["comment_user_url_lst"] == [None]
-    assert d["comment_date_lst"] == [datetime(2021, 3, 4, 5, 6, 7, tzinfo=timezone.utc)]
+    assert [_utc(x) for x in d["comment_date_lst"]] == [datetime(2021, 3, 4, 5, 6, 7, tzinfo=timezone.utc)]
     assert d["comment_link_lst"] == ['<a id="link_id_2" href="http://e.com/a.PNG">\nimg\n</a>']
     a1, a2 = d["answers"]
     assert a1["is_accepted_answer"] and not a2["is_accepted_answer"]
     assert (a1["answer_vote"], a1["answer_txt"], a1["user_url"], a1["user_name"]) == (5, "Answer", "/users/7/bob", "bob")
     assert a1["answer_links"] == '<a id="link_id_3" href="/questions/1">\nq1\n</a>'
-    assert a1["answer_date"] == datetime(2021, 3, 5, tzinfo=timezone.utc)
+    assert _utc(a1["answer_date"]) == datetime(2021, 3, 5, tzinfo=timezone.utc)
     assert a1["comment_lst"] == ["c2"] and a1["comment_user_url_lst"] == ["/users/8"]
     assert a1["comment_date_lst"] == [None]
     assert (a2["answer_vote"], a2["answer_txt"], a2["user_url"]) == (0, "Second", None)
     assert (d["answer_count"], d["comment_count"], d["total_comment_count"]) == (2, 1, 2)
 
 
-def test_parse_post_failures():
-    import pytest
-    with pytest.raises(ValueError, match="No question"):
-        X.parse_post("<html><body><p>x</p></body></html>", 1)
+def test_parse_post_failures(spark):
+    no = _parsed(spark, "<html><body><p>x</p></body></html>", 1)
+    assert (no.exit_code, no.exit_msg, no.question_txt, no.answers) == (1, "No question found in post 1", None, None)
     two = '<div id="question"><div class="postcell"><div class="s-prose">a</div></div></div>' * 2
-    with pytest.raises(ValueError, match="Multiple questions found in post 7"):
-        X.parse_post(two, 7)
+    assert _parsed(spark, two, 7).exit_msg == "Multiple questions found in post 7"
+    bad = _parsed(spark, POST.replace('data-value="0"', 'data-value="many"'), 9)
+    assert (bad.exit_code, bad.exit_msg, bad.answer_count) == (1, "A vote that is no number in post 9", None)
+
+
+def test_parse_post_sources_and_odd_forms(spark):
+    """The source of each body and comment is kept, code emptied; single quotes, unclosed items, entities,
+    comments without a text, an answer without a body, HTML comments."""
+    d = _parsed(spark, POST, 5)
+    assert d.question_raw.startswith('<div class="s-prose js-post-body"><p>How to <a href="/x">')
+    assert d.question_raw.endswith('<code id="code_0"></code><pre><code id="code_1"></code></pre></div>')
+    assert d.comment_lst_raw[0].startswith('<li class="comment">') and d.comment_lst_raw[0].endswith("</li>")
+    odd = """<div id='question'><div class='x postcell y'><div class='js-post-body'>1 &lt; 2<!-- <a href="/no">no</a> --></div></div>
+    <div class="comments"><ul><li class="comment big"><span class="comment-copy"><a href="/1">1</a> <a href="/2">2</a></span>
+    <li class="comment"><b>no text</b><li class="comment"><span class="comment-copy">z <a href="/3">3</a></span></ul></div></div>
+    <div id="answers"><div class="answer"><div class="js-vote-count" data-value=" -3 "></div>
+    <div class="user-details"><a href="/other">o</a><a href="/users/2">two &amp; co</a></div></div>
+    <div class="answer"><div class="s_prose"><a href="/4">4</a></div></div></div>"""
+    o = _parsed(spark, odd, 8)
+    assert (o.exit_code, o.question_txt, o.question_links, o.code_pieces) == (0, "1 < 2", "", "")
+    assert o.comment_lst == ["", None, "z"] and o.comment_count == 3
+    assert o.comment_link_lst == ['<a id="link_id_0" href="/1">\n1\n</a>\n<a id="link_id_1" href="/2">\n2\n</a>', None,
+                                  '<a id="link_id_2" href="/3">\n3\n</a>']
+    a, b = o.answers
+    assert (a.answer_raw, a.answer_txt, a.answer_links, a.answer_vote) == (None, None, "", -3)
+    assert (a.user_url, a.user_name, a.comment_lst) == ("/users/2", "two & co", [])
+    assert b.answer_links == '<a id="link_id_3" href="/4">\n4\n</a>' and b.answer_vote is None
 
 
 ODD_LISTING = """<div class="question-summary" id="question-summary-7"><div class="views" title="1 view">1</div></div>
