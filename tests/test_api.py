@@ -69,3 +69,18 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert rows and set(df.columns) == {"token", "cnt", "rel", "rank"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_steps_are_made_anew_when_a_file_changes(spark, tmp_path):
+    from forumlens.plans.memo import step
+    made = []
+
+    def build():
+        made.append(1)
+        return len(made)
+    folder = str(tmp_path / "tables")
+    spark.range(3).write.parquet(f"{folder}/a.parquet")
+    assert [step(spark, "s", folder, build), step(spark, "s", folder, build)] == [1, 1]
+    assert step(spark, "s", folder, build, "other") == 2
+    spark.range(4).write.mode("overwrite").parquet(f"{folder}/a.parquet")
+    assert [step(spark, "s", folder, build), step(spark, "s", folder, build)] == [3, 3]

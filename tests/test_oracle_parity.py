@@ -10,7 +10,10 @@ from tests.conftest import SF_SMALL
 NAMES = ["token_stats", "vocabulary", "doc_bow", "phrase_scores", "phrase_tokens", "step_summary",
          "upsert_latest", "dist_summary", "link_report", "tag_scores", "time_bins", "user_degrees",
          "doc_degrees", "edge_cosine", "run_lineage", "html_link_separation", "format_tokens", "format_step_records",
-         "step_store", "step_guards", "artefact_values", "qa_counts", "landed_search"]
+         "step_store", "step_guards", "artefact_values", "qa_counts", "landed_search",
+         "training_results", "post_slices", "conformed_posts", "flattened_words", "table_rows", "landed_posts",
+         "exported_steps", "saved_vocabulary", "asker_of_posts", "lemma_tokens", "post_link_union",
+         "phrase_tokens_3gram", "phrase_vocabulary"]
 
 
 @pytest.fixture(scope="module")
