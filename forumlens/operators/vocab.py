@@ -33,20 +33,25 @@ def tokens_frame(posts: DataFrame, text_col: str = "text", to_lower_case: bool =
                  key_cols=KEY_COLS) -> DataFrame:
     """D1-D4 over a post frame -> key columns + ``tokens array<string>``.
 
-    ``lemmas`` (token, lemma) is an optional user table (D2); it is applied
-    with an explode/broadcast-join/re-group only when given.
+    ``lemmas`` (token, lemma) is an optional user table (D2; of several lemmas of a token the
+    least counts). Only a document's different tokens meet it, by a broadcast while it has at most
+    ``IN_ROW_TOKENS`` rows; those with a lemma come back as a map and are replaced in the row.
     """
     keys = [c for c in key_cols if c in posts.columns]
     if lemmas is None:
         return posts.select(*keys, tokenize(text_col, to_lower_case, stop_words, own_stop_words).alias("tokens"))
     # Lemmatize before the stop-word filter: tokenize without stop words first.
     raw = posts.select(*keys, tokenize(text_col, to_lower_case, stop_words=()).alias("tokens"))
-    ex = raw.select(*keys, F.posexplode_outer("tokens").alias("pos", "token"))
-    lem = lemmas.select("token", "lemma")
-    ex = ex.join(lem, "token", "left").withColumn("token", F.coalesce("lemma", "token"))
-    grouped = ex.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("e"))
-    toks = F.transform("e", lambda x: x["token"])
+    lem = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")).where("lemma is not null")
+    lem = F.broadcast(lem) if lem.count() <= IN_ROW_TOKENS else lem
+    hits = (raw.select(*[F.col(c).alias(f"__{c}") for c in keys], F.explode(F.array_distinct("tokens")).alias("token"))
+            .join(lem, "token").groupBy(*[f"__{c}" for c in keys])
+            .agg(F.map_from_entries(F.collect_set(F.struct("token", "lemma"))).alias("__lemmas")))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    grouped = raw.join(hits, same, "left")
+    toks = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("__lemmas"), t), t))
     from forumlens.functions.text import default_stop_words
     stops = list(default_stop_words() if stop_words is None else stop_words) + list(own_stop_words or [])
     if stops:

@@ -22,6 +22,7 @@ from forumlens.schemas import POST_RAW, POST_RESULTS
 from forumlens.session import ensure_checkpoint_dir
 from forumlens.sources import store as S
 from forumlens.sources.landed import scan_landed
+from forumlens.sources.scratch import scratch
 from forumlens.sources.tables import TABLES, catalog_steps, outcomes, posts, table
 
 
@@ -175,7 +176,7 @@ def lemma_tokens(spark, sf_dir):
     p = posts(spark, sf_dir)
     words = V.tokens_frame(p, stop_words=()).select(F.explode("tokens").alias("token")).distinct()
     plural = words.where("length(token) >= 4 and token like '%s'").select("token", F.expr("left(token, length(token) - 1)").alias("lemma"))
-    lemmas = plural.join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi")
+    lemmas = scratch(plural.join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi"), "lemmas")
     t = V.tokens_frame(p, lemmas=lemmas)
     return t.select("ord_key", "ml_tag", F.size("tokens").cast("long").alias("n_tokens"),
                     F.size(F.array_distinct("tokens")).cast("long").alias("n_different"))
