@@ -103,6 +103,18 @@ def test_bags_in_the_row_equal_those_by_join(spark):
     assert row[0].key_tokens == ["zz", "a", "b"]
 
 
+def test_only_rare_tokens_of_a_large_dictionary_are_joined(spark):
+    rows = [(1, 1, 0, ["b", "a", "b", "zz", "new"]), (1, 1, 0, ["a"]), (None, None, 0, ["b", "zz"]), (4, 4, 2, ["new"]), (5, 5, 0, None)]
+    toks = spark.createDataFrame(rows, "post_id long, ord_key long, ml_tag int, tokens array<string>")
+    vocab = spark.createDataFrame([("zz", 0, 2), ("b", 5, 9), ("a", 2, 40)], "token string, token_id int, df int")
+    assert [vocab.where(V.frequent(vocab, m)).count() for m in (0, 1, 2, 5)] == [0, 1, 2, 3]
+    got = [sorted((str(r.ord_key), list(r["keys"]), list(r["values"]), r.key_tokens) for r in V.bag_of_words(toks, vocab, most=m).collect())
+           for m in (0, 1, 2, 3)]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert got[0] == [("1", [0, 2, 5], [1, 1, 2], ["zz", "a", "b"]), ("1", [2], [1], ["a"]), ("4", [], [], []), ("5", [], [], []),
+                      ("None", [0, 5], [1, 1], ["zz", "b"])]
+
+
 def test_language_scores_in_the_row_equal_those_by_join(spark, monkeypatch):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("the dog and the cat", "en"),
                                                   ("die maus und der hund", "de"), ("el gato y el perro", "es"), (None, None), ("12 34", None), ("ñandú 🎈 cat", None)])]
