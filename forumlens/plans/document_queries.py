@@ -16,7 +16,7 @@ from forumlens.plans.outcome_queries import OUTCOMES_CTE, UPSERT_SPLIT_DAY
 from forumlens.plans.registry import register
 from forumlens.plans.report_queries import K
 from forumlens.plans.sqlparts import ml_tag_sql, posts_cte, tokens_cte, vocab_cte
-from forumlens.plans.text_queries import _BOW_SQL, _vocab_and_bow
+from forumlens.plans.text_queries import _BOW_SQL, _vocab_and_bow, _written_tokens
 from forumlens.session import ensure_checkpoint_dir
 from forumlens.sources import catalog as C
 from forumlens.sources import keyed as KD
@@ -56,7 +56,7 @@ WITH {posts_cte()}, {tokens_cte()}
 SELECT ord_key, coalesce(array_to_string(tokens, ' '), '') AS doc FROM toks WHERE ml_tag = 0""")
 def format_unprocessed_tokens(spark, sf_dir):
     """B6 'unprocessed_tokens': the token list of every training document."""
-    d = FM.doc_format(_vocab_and_bow(spark, sf_dir)[0], "unprocessed_tokens", [0])
+    d = FM.doc_format(_written_tokens(spark, sf_dir), "unprocessed_tokens", [0])
     return d.select("ord_key", F.array_join("doc", " ").alias("doc"))
 
 

@@ -17,7 +17,7 @@ from forumlens.plans.outcome_queries import OUTCOMES_CTE
 from forumlens.plans.registry import register
 from forumlens.plans.report_queries import _links_cte
 from forumlens.plans.sqlparts import ml_tag_sql, posts_cte, sql_list, tokens_cte, vocab_cte
-from forumlens.plans.text_queries import _vocab_and_bow
+from forumlens.plans.text_queries import _vocab
 from forumlens.schemas import POST_RAW, POST_RESULTS
 from forumlens.session import ensure_checkpoint_dir
 from forumlens.sources import store as S
@@ -142,7 +142,7 @@ SELECT token, token_id, df, cf FROM vocab WHERE df >= 2""")
 def saved_vocabulary(spark, sf_dir):
     """The dictionary saved as a table and loaded back; the tokens of two documents or more."""
     path = _folder(spark, "dictionary")
-    S.save_table(_vocab_and_bow(spark, sf_dir)[1], path)
+    S.save_table(_vocab(spark, sf_dir), path)
     return S.load_table(spark, path).where("df >= 2").select("token", "token_id", "df", "cf")
 
 

@@ -69,6 +69,24 @@ def test_greedy_merge_matches_brute_force(spark):
         assert pc[(r.a, r.b)] == r.n_ab
 
 
+def test_merge_in_the_row_equals_the_merge_by_joins(spark):
+    rows = [["a", "b", "a", "b", "c"], ["b", "c"], ["a"], [], None, ["a", "b", "c", "a"], ["x", "a", "a", "a", "b"], ["a", "b"]]
+    toks = spark.createDataFrame([(None if i == 7 else i, 0, t) for i, t in enumerate(rows)], "ord_key long, ml_tag int, tokens array<string>")
+    ph = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("b", "c")], "a string, b string")
+    second = spark.createDataFrame([("a_b", "c"), ("a_b", "a_b")], "a string, b string")
+    key = lambda r: (str(r.ord_key), r.tokens)
+    for p in (ph, ph.limit(0)):
+        row, joined = (sorted(map(key, PH.apply_phrases(toks.coalesce(1), p, most=m).collect())) for m in (10, -1))
+        assert row == joined and len(row) == 8
+    assert ("None", ["a", "b"]) in row
+    ext, by_join = (sorted(map(key, PH.extend_by_phrases(toks, [ph, second], most=m).collect())) for m in (10, -1))
+    assert ext == by_join and ("0", rows[0] + ["a_b", "a_b"]) in ext and ("5", rows[5] + ["a_b", "a_b_c"]) in ext
+    twice = toks.unionByName(toks.where("ord_key in (0, 2)"))  # documents that share a key are joined
+    row, joined = (sorted(map(key, PH.apply_phrases(twice, ph, most=m).collect())) for m in (10, -1))
+    assert row == joined
+    assert "Exchange" not in PH._merge_in_row(toks, ph, "ord_key")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_counting_by_hash_loses_no_pair(spark, monkeypatch):
     import numpy as np
     r = np.random.default_rng(5)
