@@ -30,6 +30,7 @@ from forumlens.sources.scratch import scratch
 MAX_N = 3
 ALPHA = 1.0
 OUT_ROWS = 50_000  # of n-grams held before a batch leaves the Python job
+HELD_CODES = 1 << 20  # n-grams of texts that are held before they are summed
 IN_ROW_GRAMS = 1 << 20  # profiles of up to so many n-grams are sent to the executors
 POINT = 21  # bits of a code point; an n-gram of up to three is one 64-bit number
 
@@ -75,6 +76,23 @@ def text_code(gram: str) -> int:
     return sum(ord(c) << (POINT * i) for i, c in enumerate(gram))
 
 
+def _summed_codes(texts, max_n: int = MAX_N, held_codes: int = HELD_CODES) -> dict:
+    """The n-grams of (label, text scalar) by label, as (numbers, counts). They are summed whenever the
+    texts since the last time have ``held_codes`` of them, so what is held doesn't grow with the texts."""
+    def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        return codes, np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+
+    by_lang, held = {}, 0
+    for lang, text in texts:
+        found = gram_codes(text.as_py(), max_n)
+        by_lang.setdefault(lang, []).append(found)
+        held += len(found[0])
+        if held >= held_codes:
+            by_lang, held = {k: [merged(v)] for k, v in by_lang.items()}, 0
+    return {k: merged(v) for k, v in by_lang.items()}
+
+
 def gram_totals(df: DataFrame, text_col: str, lang_col: str, max_n: int = MAX_N) -> DataFrame:
     """(lang_col, gram, cnt): counts of all n-grams by label, already summed over each Arrow batch."""
     from forumlens.session import ship_package
@@ -83,12 +101,7 @@ def gram_totals(df: DataFrame, text_col: str, lang_col: str, max_n: int = MAX_N)
 
     def job(batches):
         for b in batches:
-            by_lang: dict = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(gram_codes(text, max_n))
-            for lang, found in by_lang.items():
-                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                cnt = np.bincount(at, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
+            for lang, (codes, cnt) in _summed_codes(zip(b.column(0).to_pylist(), b.column(1)), max_n).items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()),
                                                   pa.array([code_text(int(c)) for c in codes], pa.string()), pa.array(cnt)],
                                                  [lang_col, "gram", "cnt"])

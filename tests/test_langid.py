@@ -48,3 +48,23 @@ def test_scores_match_brute_force_and_null_labels_teach_nothing(spark):
         assert got[i].lang == "x" and abs(got[i].lang_prob - 2 / 3) < 1e-12
     prof, meta = LI.train_profiles(df.where("lang is null"))
     assert [r.lang for r in LI.detect(ask, prof, meta).collect()] == [None] * 3
+
+
+def test_grams_are_summed_before_they_pile_up():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    letters = np.random.default_rng(2).integers(97, 107, (400, 3000)).astype(np.uint8)
+    texts = [("de" if i % 3 else "en", pa.scalar(" " + row.tobytes().decode() + " ")) for i, row in enumerate(letters)]
+    peak, got = [], []
+    for held in (1 << 14, 1 << 40):
+        tracemalloc.start()
+        got.append(LI._summed_codes(iter(texts), held_codes=held))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[0] < peak[1] / 5
+    assert set(got[0]) == set(got[1]) == {"de", "en"}
+    assert all((a == b).all() for lang in got[0] for a, b in zip(got[0][lang], got[1][lang]))
+    assert sum(int(n.sum()) for _, n in got[0].values()) == 400 * (3002 + 3001 + 3000) - 800
