@@ -121,3 +121,20 @@ def test_graphs_without_vectors_or_edges(spark):
     edges = spark.createDataFrame([(1, 2)], "src long, dst long")
     assert [x.stat for x in AS.permutation_stats(edges, none, 2, 3).collect()] == [None] * 3
     assert [x.stat for x in AS.permutation_stats(edges.limit(0), _vecs(spark, VEC), 2, 3).collect()] == [None] * 3
+
+
+def test_cells_look_only_at_rows_that_meet_a_vector(monkeypatch):
+    """The round functions are tables, and a cell gathers no more rows than its landed nodes have."""
+    calls = []
+    monkeypatch.setattr(AS, "_scramble", lambda x, key, f=AS._scramble: calls.append(len(x)) or f(x, key))
+    AS.keyed_inverse(np.arange(50_000), 900_000, 0, 7)
+    assert sum(calls) <= 6 * 1024  # before: six times the numbers, and again for those walked on
+    node = np.array([0, 2, 3, 5, 8])
+    nodes, at = AS._places(10, node[[4, 0, 1, 1]])
+    assert nodes.tolist() == [0, 2, 8] and at.tolist() == [2, 0, 1, 1]
+    start = AS._starts(at, len(nodes))
+    assert AS._rows_of(np.array([1, 2]), start).tolist() == [1, 2, 3]
+    assert AS._rows_of(np.array([], int), start).tolist() == []
+    got = {int(nodes[a]): int(p) for a, p in zip(*AS._landing(nodes, 10, 2, 7)(3))}
+    all_of = AS.keyed_bijection(np.arange(10), 10, 3, 7)
+    assert got == {int(v): int(all_of[v]) for v in nodes if all_of[v] < 2}
