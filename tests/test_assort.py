@@ -4,6 +4,8 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from forumlens.operators import assort as AS
 
@@ -138,3 +140,42 @@ def test_cells_look_only_at_rows_that_meet_a_vector(monkeypatch):
     got = {int(nodes[a]): int(p) for a, p in zip(*AS._landing(nodes, 10, 2, 7)(3))}
     all_of = AS.keyed_bijection(np.arange(10), 10, 3, 7)
     assert got == {int(v): int(all_of[v]) for v in nodes if all_of[v] < 2}
+
+
+def test_blocks_are_not_copied_for_the_iterations(spark):
+    """As many blocks as cores are dealt once and see all iterations; parts of one weight and of one user agree with a loop."""
+    vecs = _vecs(spark, {i: [1.0 + i % 4, 1.0 + i % 7] if i % 2 else [0.0, 0.0] for i in range(40)})
+    edges = spark.createDataFrame([(i % 40, (i * 7) % 40) for i in range(400)], "src long, dst long")
+    rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    seen = []
+
+    def cell(first, last, table):
+        return pa.table({"it": np.array([last - first], np.int32), "rows": np.array([table.num_rows])})
+
+    for block in (20, 1000):
+        got = AS._cells(rows, F.xxhash64("a"), 400, 12, block, cell, "it int, rows long").collect()
+        seen.append((sum(r.it * r.rows for r in got), sum(r.rows for r in got)))
+    assert [x[0] for x in seen] == [400 * 12] * 2 and seen[0][1] == 400 and seen[1][1] > 400
+    one, many = ({r.it: r.stat for r in AS.permutation_stats(edges, vecs, 2, 9, block_rows=n).collect()} for n in (1 << 23, 20))
+    assert all(abs(one[i] - many[i]) < 1e-12 for i in range(9))
+
+
+def test_user_weights_of_users_without_vectors(spark):
+    """Only the rows of documents with a vector are shuffled, and all users have a row."""
+    from forumlens.operators import graph as G
+    roles = spark.createDataFrame([(1, 7, "asker"), (1, 7, "answerer"), (1, 8, "answerer"), (1, 8, "answerer"), (2, 8, "asker"),
+                                   (3, 9, "asker"), (None, 5, "asker"), (4, None, "asker")], "doc long, user long, role string")
+    vectors = spark.createDataFrame([(1, [0.25, 0.75]), (2, [1.0, 0.0]), (77, [0.5, 0.5])], "doc long, w array<double>")
+    got = {r.node: r.w for r in G.user_topic_weights(roles, vectors, 2).collect()}
+    assert got == {7: [0.25, 0.75], 8: [0.625, 0.375], 9: [None, None], 5: [None, None], G.ANON: [None, None]}
+    plan = G.user_topic_weights(roles, vectors, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_topic_vectors_fold_all_elements(spark, tmp_path):
+    from forumlens.sources.tables import topic_vectors
+    rows = [(1, [1.0, -2.0, 3.0, 0.5, -0.25]), (2, [4.0]), (3, []), (4, None), (5, [1.0, None, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.post_id: r.w for r in topic_vectors(spark, str(tmp_path), 3).collect()}
+    assert got[1] == [1.5 / 6.75, 2.25 / 6.75, 3.0 / 6.75] and got[2] == [1.0, 0.0, 0.0]
+    assert got[3] == got[4] == got[5] == [None] * 3
